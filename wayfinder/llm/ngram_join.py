@@ -34,6 +34,8 @@ SKETCH = 1 << 18
 BLOCKS = 64
 #: 64-bit words of the parity bitmap.
 BITMAP = 16
+#: Cells in which the shingles of sets from LARGE on are counted, where the bitmap is too full to tell sets apart.
+CELLS, LARGE = 1024, 1500
 #: What one posting of an inverted list costs, its share of checks and texts read again included, in subset keys.
 SCAN_COST = 8
 #: Sizes from which enumeration is never cheaper.
@@ -92,6 +94,11 @@ def parity(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
 
 
+def cell_counts(shingles: np.ndarray) -> np.ndarray:
+    """Shingles by cell; the differences of two sets' cells add up to no more than the sets' difference."""
+    return np.bincount((shingles >> np.uint64(34)) % np.uint64(CELLS), minlength=CELLS)
+
+
 def sketch_counts(rows: DataFrame, n: int) -> np.ndarray:
     """Shingles of all texts, counted by SKETCH hash cells."""
 
@@ -114,7 +121,7 @@ def sketch_counts(rows: DataFrame, n: int) -> np.ndarray:
     return total.ravel()
 
 
-KEYED = "id long, n long, h1 long, h2 long, bitmap array<long>, keys array<long>"
+KEYED = "id long, n long, h1 long, h2 long, bitmap array<long>, cells array<int>, keys array<long>"
 
 
 def keyed_sets(rows: DataFrame, order: np.ndarray, n: int, percent: int) -> DataFrame:
@@ -131,9 +138,10 @@ def keyed_sets(rows: DataFrame, order: np.ndarray, n: int, percent: int) -> Data
                     if len(s):
                         ranked = s[np.lexsort((s, sent.value[s % np.uint64(SKETCH)]))]
                         keep = len(s) if len(s) <= MOST_LIGHT else prefix_length(len(s), percent)
-                        out.append((i, len(s), int(np.bitwise_xor.reduce(mixed(s)).view(np.int64)), int(mixed(s + np.uint64(1)).sum().view(np.int64)), parity(s), ranked[:keep].view(np.int64)))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([*(pa.array(list(c), pa.int64()) for c in cols[:4]), *(pa.array(list(c), pa.list_(pa.int64())) for c in cols[4:])], names=["id", "n", "h1", "h2", "bitmap", "keys"])
+                        out.append((i, len(s), int(np.bitwise_xor.reduce(mixed(s)).view(np.int64)), int(mixed(s + np.uint64(1)).sum().view(np.int64)), parity(s), cell_counts(s) if len(s) >= LARGE else None, ranked[:keep].view(np.int64)))
+            cols = list(zip(*out, strict=True)) or [[]] * 7
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["id", "n", "h1", "h2", "bitmap", "cells", "keys"])
 
     return rows.mapInArrow(scan, KEYED)
 
@@ -159,10 +167,12 @@ def light_links(sets: DataFrame, below: int, percent: int) -> DataFrame:
 
 
 def may_link(a: str, b: str, percent: int) -> Column:
-    """Bounds that no linked pair breaks: sizes, and bits in which the parity bitmaps differ against the largest allowed difference."""
+    """Bounds that no linked pair breaks: sizes, and bits or cells in which the sets differ against the largest allowed difference."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     bits = sum((F.bit_count(F.col(f"{a}.bitmap")[k].bitwiseXOR(F.col(f"{b}.bitmap")[k])) for k in range(BITMAP)), F.lit(0))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * bits <= (100 - percent) * (na + nb))
+    most = (100 - percent) * (na + nb)
+    cells = F.aggregate(F.zip_with(f"{a}.cells", f"{b}.cells", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * bits <= most) & F.coalesce((100 + percent) * cells <= most, F.lit(True))
 
 
 def verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
@@ -178,8 +188,7 @@ def verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.list_(pa.int64()))], names=["id", "s"])
 
     wanted = semi_join_checked(rows.where("id is not null"), ids, "id", ids.count()).select("id", "text").mapInArrow(scan, "id long, s array<long>")
-    # repeated ids with other texts: the pair's sets are those that were keyed, so all sets of an id are tried
-    sets = materialize(wanted.distinct(), "sets")
+    sets = materialize(wanted, "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where((100 + percent) * shared >= percent * (F.size("sa") + F.size("sb"))).select("a", "b").distinct()
@@ -212,29 +221,34 @@ def jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: st
     order = sketch_counts(rows, n)
     sets = materialize(keyed_sets(rows, order, n, percent), "keyed")
     classes = materialize(sets.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")), "classes")
-    reps = sets.where("id is not null").join(classes.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.col("rep")), (F.col("id") == F.col("rep")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left_semi").dropDuplicates(["id", "h1", "h2"])
+    copies = materialize(sets.select("id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).where("id <> rep").select("id"), "copies")
+    reps = sets.where("id is not null").join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "id", "left_anti")
     sizes = {r["n"]: r["count"] for r in classes.where(F.col("n") <= MOST_LIGHT).groupBy("n").count().collect()}
     below = boundary(sizes, percent)
 
     by_light = light_links(reps, below, percent)
     prefix = F.slice("keys", 1, (F.col("n") - F.ceil(percent * F.col("n") / 100) + 1).cast("int"))
-    postings = reps.where(100 * F.col("n") >= percent * below).select("id", "n", F.explode(prefix).alias("key"))
+    postings = reps.where(100 * F.col("n") >= percent * below).select("id", F.explode(prefix).alias("key"))
     lists = postings.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("members")).where("members > 1")
     met = materialize(postings.join(lists.select("key", "leader"), "key"), "lists")
-    light = reps.select("id", "n", "bitmap")
-    starred = met.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    starred = starred.join(light.alias("x"), F.col("a") == F.col("x.id")).join(light.alias("y"), F.col("b") == F.col("y.id")).where(may_link("x", "y", percent)).select("a", "b")
-    first = materialize(by_light.unionByName(verified(materialize(starred, "starred"), rows, n, percent)).distinct(), "links")
-    joined = components(first)
+    bounds = reps.select("id", "n", "bitmap", "cells")
+    # one leader for each member: those of its other lists come with the rest, unless they are in one component by then
+    starred = met.where("id <> leader").groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a"))
+    starred = starred.join(bounds.alias("x"), F.col("a") == F.col("x.id")).join(bounds.alias("y"), F.col("b") == F.col("y.id")).where(may_link("x", "y", percent)).select("a", "b")
+    first = components(by_light.unionByName(verified(materialize(starred, "starred"), rows, n, percent)))
 
-    part = met.select("key", "id").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    part = materialize(met.select("key", "id").join(first, "id", "left").withColumn("component", F.coalesce("component", "id")), "part")
     mixed_lists = part.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = materialize(part.join(mixed_lists, "key", "left_semi").join(light, "id"), "rest")
+    rest = materialize(part.join(mixed_lists, "key", "left_semi").join(bounds, "id"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & may_link("x", "y", percent)
-    crossed = x.join(y, apart).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    second = verified(materialize(crossed, "crossed"), rows, n, percent)
-    final = components(first.unionByName(second)).select(F.col("id").alias("rep"), F.col("component"))
+    crossed = materialize(x.join(y, apart).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "crossed")
+    second = verified(crossed, rows, n, percent)
+    over = part.select("id", "component").distinct()
+    merged = components(second.join(over.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(over.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    renamed = merged.select(F.col("id").alias("component"), F.col("component").alias("merged"))
+    final = first.join(renamed, "component", "left").select(F.col("id").alias("rep"), F.coalesce("merged", "component").alias("component"))
+    final = final.unionByName(merged.join(first, "id", "left_anti").select(F.col("id").alias("rep"), "component"))
 
     members = sets.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"]).join(final, "rep", "left")
     linked = members.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
