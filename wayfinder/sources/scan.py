@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,8 @@ GLOBS = (
 REPO_EDGES = {"migration": "migrates", "spec": "specifies"}
 CONTENT_DIRS = ("content", "pages", "blog")
 
+FILES_IN_TASK = 500
+
 
 def ignored(path: Column, patterns: list[str]) -> Column:
     """Whether some exclude glob fits; a pattern for a directory's content also fits what lies below it anywhere."""
@@ -79,20 +84,27 @@ def git_ignored(path: Column, rules: list[tuple[str, str, bool]]) -> Column:
 
 
 def scan_tree(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), honour_ignores: bool = True) -> DataFrame:
-    """path (relative), hash, content of regular files below root, hidden ones included, sorted by path."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").split("://")[-1].lstrip("/")
-    path = F.regexp_replace(F.col("path"), f"^[a-z0-9]+:/+{_quoted(base)}/", "")
-    files = raw.select(path.alias("path"), "content").where(~ignored(F.col("path"), list(exclude)))
+    """path (relative), hash, content of regular files below root, hidden and empty ones included, sorted by path.
+
+    Spark's own binary reader leaves hidden and empty files out, so names are listed once and contents are read in tasks.
+    """
+    store, base = fs.FileSystem.from_uri(root)
+    found = store.get_file_info(fs.FileSelector(base, recursive=True))
+    names = sorted((f.path[len(base) + 1 :],) for f in found if f.type == fs.FileType.File)
+    listed = spark.createDataFrame(names, "path string").where(~ignored(F.col("path"), list(exclude)))
+    parts = max(1, len(names) // FILES_IN_TASK)
+    files = listed.repartition(parts).mapInArrow(lambda b: _contents(b, root), "path string, content binary")
     if honour_ignores and (rules := ignore_rules(files)):
         files = files.where(~git_ignored(F.col("path"), rules))
     return files.select("path", F.sha2("content", 256).alias("hash"), "content").orderBy("path")
 
 
-def _quoted(text: str) -> str:
-    import re
-
-    return re.escape(text)
+def _contents(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
+    store, base = fs.FileSystem.from_uri(root)
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            with store.open_input_stream(f"{base}/{path}") as f:
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.read()], pa.binary())], names=["path", "content"])
 
 
 def file_kind(path: Column) -> Column:
