@@ -27,7 +27,9 @@ from wayfinder.llm.common import LOWER_BYTES, chunks_of, id_text_crc, texts_of
 MAX_FILTER_BYTES = 64 << 20
 VOCABULARY_WORDS = 12_000_000
 #: Text bytes of the corpus for each reduce group; distinct keys that a task holds before it hands them on.
-GROUP_BYTES, HELD_KEYS = 8 << 20, 2_000_000
+GROUP_BYTES, HELD_KEYS = 8 << 20, 1_000_000
+#: Text bytes that are worked on at once.
+CHUNK = 2_000_000
 PROBES, LEVELS = 2, 24
 WEIGHT = 0.7
 
@@ -45,7 +47,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes by word, forgotten beyond a bound."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
@@ -146,7 +148,7 @@ def gather_counts(training: DataFrame, groups: int) -> DataFrame:
 
         for batch in batches:
             texts = texts_of(batch, "text")
-            for a, b in chunks_of(texts, 6_000_000):
+            for a, b in chunks_of(texts, CHUNK):
                 tokens, n = token_hashes(texts[a:b], hashes)
                 for kind, keys in ((0, tokens), (1, pair_keys(tokens, n)[0])):
                     held[kind].append(np.unique(keys, return_counts=True))
@@ -210,28 +212,28 @@ def score(docs: DataFrame, model: tuple[Filter, DataFrame], id_col: str = "doc_i
     spark = docs.sparkSession
     total = slices.agg(F.sum("words").alias("v"), F.sum("tokens").alias("n")).head()
     v, n = total["v"] or 0, total["n"] or 0
-    sent = spark.sparkContext.broadcast((lm.bits, lm.groups))
+    sent = spark.sparkContext.broadcast((lm.bits.tobytes(), lm.groups))  # bytes are read in place, arrays would be copied
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     small = v <= vocabulary_words
     if small:
         blocks = sorted(((r["g"], r["keys"], r["counts"]) for r in slices.select("g", "keys", "counts").toLocalIterator()), key=lambda r: r[0])
-        exact = spark.sparkContext.broadcast((np.frombuffer(b"".join(b[1] for b in blocks), "<u8"), np.frombuffer(b"".join(b[2] for b in blocks), "<u4")))
+        exact = spark.sparkContext.broadcast((b"".join(b[1] for b in blocks), b"".join(b[2] for b in blocks)))
         del blocks
 
     def known_counts(words: np.ndarray) -> np.ndarray:
-        keys, counts = exact.value
+        keys, counts = (np.frombuffer(x, t) for x, t in zip(exact.value, ("<u8", "<u4"), strict=True))
         if not len(keys):
             return np.zeros(len(words))
         at = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
         return np.where(keys[at] == words, counts[at], 0).astype(np.float64)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_ = Filter(*sent.value)
+        filter_ = Filter(np.frombuffer(sent.value[0], np.uint8), sent.value[1])
         hashes = WordHashes()
         for batch in batches:
             texts = texts_of(batch, "text")
             parts = []
-            for a, b in chunks_of(texts):
+            for a, b in chunks_of(texts, CHUNK):
                 tokens, size = token_hashes(texts[a:b], hashes)
                 at = np.cumsum(size) - size
                 words, place = np.unique(tokens, return_inverse=True)
