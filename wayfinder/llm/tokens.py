@@ -14,7 +14,7 @@ import pyarrow as pa
 
 from wayfinder.llm.common import chunks_of
 
-CACHE_BYTES = 96_000_000
+CACHE_BYTES = 150_000_000
 ENTRY_BYTES = 180
 
 
