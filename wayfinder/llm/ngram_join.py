@@ -33,9 +33,9 @@ N, PERCENT = 5, 80
 SKETCH = 1 << 18
 BLOCKS = 64
 #: 64-bit words of the parity bitmap.
-BITMAP = 16
+BITMAP = 8
 #: Cells in which the shingles of sets from LARGE on are counted, where the bitmap is too full to tell sets apart.
-CELLS, LARGE = 1024, 1500
+CELLS, LARGE = 1024, 1000
 #: What one posting of an inverted list costs, its share of checks and texts read again included, in subset keys.
 SCAN_COST = 8
 #: Sizes from which enumeration is never cheaper.
@@ -167,12 +167,23 @@ def light_links(sets: DataFrame, below: int, percent: int) -> DataFrame:
 
 
 def may_link(a: str, b: str, percent: int) -> Column:
-    """Bounds that no linked pair breaks: sizes, and bits or cells in which the sets differ against the largest allowed difference."""
+    """Bounds that no linked pair breaks: sizes, and bits in which the sets differ against the largest allowed difference."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     bits = sum((F.bit_count(F.col(f"{a}.bitmap")[k].bitwiseXOR(F.col(f"{b}.bitmap")[k])) for k in range(BITMAP)), F.lit(0))
-    most = (100 - percent) * (na + nb)
-    cells = F.aggregate(F.zip_with(f"{a}.cells", f"{b}.cells", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * bits <= most) & F.coalesce((100 + percent) * cells <= most, F.lit(True))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * bits <= (100 - percent) * (na + nb))
+
+
+def both_large(a: str, b: str) -> Column:
+    return F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) >= LARGE
+
+
+def within_cells(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of written pairs (a, b, large), those whose cells may link; only pairs of large sets have cells, and only they carry them."""
+    cells = sets.where(F.col("cells").isNotNull()).select("id", "n", "cells")
+    both = pairs.where("large").join(cells.alias("x"), F.col("a") == F.col("x.id")).join(cells.alias("y"), F.col("b") == F.col("y.id"))
+    apart = F.aggregate(F.zip_with("x.cells", "y.cells", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+    near = both.where((100 + percent) * apart <= (100 - percent) * (F.col("x.n") + F.col("y.n"))).select("a", "b")
+    return materialize(pairs.where("not large").select("a", "b").unionByName(near), "near")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
@@ -231,19 +242,19 @@ def jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: st
     postings = reps.where(100 * F.col("n") >= percent * below).select("id", F.explode(prefix).alias("key"))
     lists = postings.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("members")).where("members > 1")
     met = materialize(postings.join(lists.select("key", "leader"), "key"), "lists")
-    bounds = reps.select("id", "n", "bitmap", "cells")
+    bounds = reps.select("id", "n", "bitmap")
     # one leader for each member: those of its other lists come with the rest, unless they are in one component by then
     starred = met.where("id <> leader").groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a"))
-    starred = starred.join(bounds.alias("x"), F.col("a") == F.col("x.id")).join(bounds.alias("y"), F.col("b") == F.col("y.id")).where(may_link("x", "y", percent)).select("a", "b")
-    first = components(by_light.unionByName(verified(materialize(starred, "starred"), rows, n, percent)))
+    starred = starred.join(bounds.alias("x"), F.col("a") == F.col("x.id")).join(bounds.alias("y"), F.col("b") == F.col("y.id")).where(may_link("x", "y", percent)).select("a", "b", both_large("x", "y").alias("large"))
+    first = components(by_light.unionByName(verified(within_cells(materialize(starred, "starred"), sets, percent), rows, n, percent)))
 
     part = materialize(met.select("key", "id").join(first, "id", "left").withColumn("component", F.coalesce("component", "id")), "part")
     mixed_lists = part.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     rest = materialize(part.join(mixed_lists, "key", "left_semi").join(bounds, "id"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & may_link("x", "y", percent)
-    crossed = materialize(x.join(y, apart).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "crossed")
-    second = verified(crossed, rows, n, percent)
+    crossed = materialize(x.join(y, apart).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), both_large("x", "y").alias("large")).distinct(), "crossed")
+    second = verified(within_cells(crossed, sets, percent), rows, n, percent)
     over = part.select("id", "component").distinct()
     merged = components(second.join(over.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(over.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     renamed = merged.select(F.col("id").alias("component"), F.col("component").alias("merged"))
