@@ -29,6 +29,8 @@ from wayfinder.llm.tokens import encoder, squeeze, unsqueeze
 MAGIC = b"RVB1"
 #: Ids in one shard at least, before the next begins.
 SHARD_IDS = 4_000_000
+#: Ids counted at once.
+COUNT_IDS = 1_000_000
 
 #: Bytes of each of the four values that a control byte describes.
 LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
@@ -104,9 +106,16 @@ def ranked_ids(tokens: DataFrame, end_id: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
+            held, room = [], COUNT_IDS
             for n, ids in zip(batch.column("n").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                total += np.bincount(unsqueeze(ids, n), minlength=1 << 16)
-                total[end_id] += 1
+                held.append(unsqueeze(ids, n))
+                room -= n
+                if room < 0:
+                    total += np.bincount(np.concatenate(held), minlength=1 << 16)
+                    held, room = [], COUNT_IDS
+            if held:
+                total += np.bincount(np.concatenate(held), minlength=1 << 16)
+            total[end_id] += batch.num_rows
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
