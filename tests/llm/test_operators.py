@@ -382,3 +382,16 @@ def test_ranked_coding_round_trip():
     blob = token_files.pack_shard([3, None], [1, 2], np.array([7, 70000, 2], np.uint32))
     docs, counts, ranks = token_files.unpack_shard(blob)
     assert (docs, counts.tolist(), ranks.tolist()) == ([3, None], [1, 2], [7, 70000, 2])
+
+
+def test_pieces_encoded_together_equal_pieces_alone():
+    from array import array
+
+    from wayfinder.llm.tokens import PieceEncoder
+
+    coder = PieceEncoder(TOKENIZER)
+    assert coder.ends.any()
+    words = ["plain", "a", "İstanbul", "ΟΔΟΣ", "straße", "ǅ", "étude", "文字", "ﬁne", "x1", "don't", "tail.", "ᾳ", "K"]
+    pieces = [w.encode() for w in dict.fromkeys(words + [f"w{'ab' * (k % 7)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600)])]
+    alone = {x: array("H", coder.tokenizer.encode(x.decode(), add_special_tokens=False).ids).tobytes() for x in pieces}
+    assert dict(coder.encode_pieces(pieces)) == alone

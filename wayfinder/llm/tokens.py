@@ -1,13 +1,15 @@
 """Exact tokenisation with a word cache.
 
 The tokenizer drops white space and never merges across it, so a text's ids are the ids of its blank-separated pieces
-in order. Each distinct piece is encoded once by the tokenizers library and remembered within a bound of bytes.
+in order. Each distinct piece is encoded once by the tokenizers library and remembered within a bound of bytes. Pieces of
+letters only are encoded many at a time and cut after the ids that end a word, if there are as many of these as pieces.
 """
 
 from __future__ import annotations
 
 import os
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,8 @@ from wayfinder.llm.common import chunks_of
 
 CACHE_BYTES = 150_000_000
 ENTRY_BYTES = 180
+#: Pieces of letters that are encoded in one string.
+TOGETHER = 256
 
 
 class PieceEncoder:
@@ -24,10 +28,16 @@ class PieceEncoder:
     def __init__(self, tokenizer_path: str, cache_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits; this vocabulary is larger")
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(1 << 16, bool)
+        vocab = self.tokenizer.get_vocab()
+        if suffix and all(c + suffix in vocab for c in ByteLevel.alphabet()):  # no piece is dropped as unknown
+            self.ends[[i for x, i in vocab.items() if x.endswith(suffix)]] = True
         self.cache: dict[bytes, bytes] = {}
         self.room = self.cache_bytes = cache_bytes
 
@@ -39,10 +49,27 @@ class PieceEncoder:
         if need > self.room:
             self.cache.clear()
             self.room, new = self.cache_bytes, list(pieces)
-        found = self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in new], add_special_tokens=False)
-        self.cache.update(zip(new, (array("H", x.ids).tobytes() for x in found), strict=True))
+        self.cache.update(self.encode_pieces(new))
         self.room -= need
 
+    def encode_pieces(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Every piece with its ids. Each piece ends a word at least once, so equal numbers mean exactly once each."""
+        apart, letters, grouped = [], [], self.ends.any()
+        for x in pieces:
+            (letters if grouped and x.decode("utf-8").isalpha() else apart).append(x)
+        groups = [letters[i : i + TOGETHER] for i in range(0, len(letters), TOGETHER)]
+        joined = self.tokenizer.encode_batch_fast([b" ".join(g).decode("utf-8") for g in groups], add_special_tokens=False)
+        for group, found in zip(groups, joined, strict=True):
+            ids = np.array(found.ids, np.uint16)
+            cuts = (2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) == len(group) and cuts[-1] == 2 * len(ids):
+                data = ids.tobytes()
+                yield from ((x, data[a:b]) for x, a, b in zip(group, [0, *cuts[:-1]], cuts, strict=True))
+            else:
+                apart += group
+        alone = self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in apart], add_special_tokens=False)
+        yield from ((x, array("H", found.ids).tobytes()) for x, found in zip(apart, alone, strict=True))
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
         for a, b in chunks_of(texts, 2_000_000):
