@@ -73,7 +73,7 @@ class Projection:
 
     def summaries(self) -> DataFrame:
         parts = self.table("part").select(text("symbol::part/", key("p_partkey")).alias("entity_id"), text(F.col("p_name"), " ", F.col("p_type")).alias("short_summary"), F.array("p_brand", "p_type").alias("keywords"))
-        docs = self.table("documents").select(text("doc::", F.col("source"), "/", F.col("lang"), "/", key("doc_id")).alias("entity_id"), F.substring("text", 1, 200).alias("short_summary"), F.array("lang", "source").alias("keywords"))
+        docs = self.table("documents").select(text("doc::", F.col("source"), "/", F.col("lang"), "/", key("doc_id")).alias("entity_id"), F.col("text").alias("short_summary"), F.array("lang", "source").alias("keywords"))
         return parts.unionByName(docs).withColumns({"detailed_summary": F.lit(None).cast("string"), "updated_at": F.lit(""), "source_hash": F.sha2("short_summary", 256)})
 
     def embeddings(self) -> DataFrame:
