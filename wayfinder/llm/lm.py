@@ -30,7 +30,9 @@ VOCABULARY_WORDS = 12_000_000
 GROUP_BYTES, HELD_KEYS = 8 << 20, 1_000_000
 #: Text bytes that are worked on at once.
 CHUNK = 2_000_000
-PROBES, LEVELS = 2, 24
+PROBES = 2
+#: Levels of the largest 64-bit count; a trained filter probes no more than its corpus can have entered.
+MOST_LEVELS = 64
 WEIGHT = 0.7
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -85,8 +87,8 @@ def unigram_keys(tokens: np.ndarray) -> np.ndarray:
 class Filter:
     """Bloom filter over (key, level), in ``groups`` slices by the key's upper bits, so that each slice is built on its own."""
 
-    def __init__(self, bits: np.ndarray, groups: int):
-        self.bits, self.groups = bits, groups
+    def __init__(self, bits: np.ndarray, groups: int, levels: int = MOST_LEVELS):
+        self.bits, self.groups, self.levels = bits, groups, levels
         self.slice_bits = len(bits) * 8 // groups
 
     @staticmethod
@@ -104,10 +106,8 @@ class Filter:
     def slice_of(cls, keys: np.ndarray, counts: np.ndarray, slice_bits: int) -> bytes:
         bits = np.zeros(slice_bits, bool)
         level_of = 1 + np.floor(np.log2(np.maximum(counts, 1))).astype(int)
-        for level in range(1, LEVELS + 1):
+        for level in range(1, int(level_of.max(initial=0)) + 1):
             now = keys[level_of >= level]
-            if not len(now):
-                break
             for at in cls.places(now, level, slice_bits):
                 bits[at.astype(np.int64)] = True
         return np.packbits(bits, bitorder="little").tobytes()
@@ -117,7 +117,7 @@ class Filter:
         base = self.group_of(keys, self.groups).astype(np.uint64) * np.uint64(self.slice_bits)
         out = np.zeros(len(keys))
         left = np.arange(len(keys))
-        for level in range(1, LEVELS + 1):
+        for level in range(1, self.levels + 1):
             hit = np.ones(len(left), bool)
             for at in self.places(keys[left], level, self.slice_bits):
                 at = at + base[left]
@@ -190,13 +190,14 @@ def train(training: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES, group_b
             out.append(merged(read("keys", "<u8"), read("counts", "<u4")) if rows else (np.empty(0, np.uint64), np.empty(0, np.int64)))
         (words, n), (pairs, m) = out
         bits = Filter.slice_of(np.concatenate([mixed_into(words, groups), pairs]), np.concatenate([n, m]), slice_bits)
-        return pa.table({"g": [key[0].as_py()], "bits": pa.array([bits], pa.binary()), "keys": pa.array([words.tobytes()], pa.binary()), "counts": pa.array([n.astype("<u4").tobytes()], pa.binary()), "words": pa.array([len(words)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64())})
+        return pa.table({"g": [key[0].as_py()], "bits": pa.array([bits], pa.binary()), "keys": pa.array([words.tobytes()], pa.binary()), "counts": pa.array([n.astype("<u8").tobytes()], pa.binary()), "words": pa.array([len(words)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64())})
 
     slices = materialize(gather_counts(training, groups).groupBy("g").applyInArrow(build, "g long, bits binary, keys binary, counts binary, words long, tokens long"), "lm")
     bits = np.zeros(filter_bytes, np.uint8)
     for row in slices.select("g", "bits").toLocalIterator():
         bits[row["g"] * slice_bits // 8 : (row["g"] + 1) * slice_bits // 8] = np.frombuffer(row["bits"], np.uint8)
-    return Filter(bits, groups), slices
+    tokens = slices.agg(F.sum("tokens")).head()[0] or 0
+    return Filter(bits, groups, int(tokens).bit_length()), slices
 
 
 def mixed_into(words: np.ndarray, groups: int) -> np.ndarray:
@@ -212,23 +213,24 @@ def score(docs: DataFrame, model: tuple[Filter, DataFrame], id_col: str = "doc_i
     spark = docs.sparkSession
     total = slices.agg(F.sum("words").alias("v"), F.sum("tokens").alias("n")).head()
     v, n = total["v"] or 0, total["n"] or 0
-    sent = spark.sparkContext.broadcast((lm.bits.tobytes(), lm.groups))  # bytes are read in place, arrays would be copied
+    sent = spark.sparkContext.broadcast((lm.bits.tobytes(), lm.groups, lm.levels))  # bytes are read in place, arrays would be copied
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     small = v <= vocabulary_words
+    width = "<u4" if n < 1 << 32 else "<u8"
     if small:
         blocks = sorted(((r["g"], r["keys"], r["counts"]) for r in slices.select("g", "keys", "counts").toLocalIterator()), key=lambda r: r[0])
-        exact = spark.sparkContext.broadcast((b"".join(b[1] for b in blocks), b"".join(b[2] for b in blocks)))
+        exact = spark.sparkContext.broadcast((b"".join(b[1] for b in blocks), b"".join(np.frombuffer(b[2], "<u8").astype(width).tobytes() for b in blocks)))
         del blocks
 
     def known_counts(words: np.ndarray) -> np.ndarray:
-        keys, counts = (np.frombuffer(x, t) for x, t in zip(exact.value, ("<u8", "<u4"), strict=True))
+        keys, counts = (np.frombuffer(x, t) for x, t in zip(exact.value, ("<u8", width), strict=True))
         if not len(keys):
             return np.zeros(len(words))
         at = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
         return np.where(keys[at] == words, counts[at], 0).astype(np.float64)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_ = Filter(np.frombuffer(sent.value[0], np.uint8), sent.value[1])
+        filter_ = Filter(np.frombuffer(sent.value[0], np.uint8), *sent.value[1:])
         hashes = WordHashes()
         for batch in batches:
             texts = texts_of(batch, "text")
@@ -288,7 +290,7 @@ def _joined(scored: DataFrame, slices: DataFrame, n: int, v: int) -> DataFrame:
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, "<i8")), pa.array(np.frombuffer(counts, "<u4").astype(np.int64))], names=["w", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, "<i8")), pa.array(np.frombuffer(counts, "<u8").astype(np.int64))], names=["w", "c"])
 
     words = slices.select("keys", "counts").mapInArrow(explode, "w long, c long")
     entries = scored.select("row", F.explode("words").alias("e")).select("row", "e.w", "e.n")
