@@ -5,8 +5,9 @@ Counts of words and word pairs are gathered over the whole training corpus. A co
 until one is missing (Talbot and Osborne, 2007). The filter is broadcast; a word's probability given the one before
 interpolates the pair's relative frequency with an add-one unigram estimate.
 
-The filter grows with the corpus up to MAX_FILTER_BYTES; a larger corpus fills it more, which raises the rate of false
-probes, and nothing is left out. Exact word counts (for the base score) are broadcast only while the counted words fit
+The filter grows with the corpus without bound, so bits per byte of text, and the rate of false probes, stay alike at
+every size. Up to BROADCAST_FILTER_BYTES it is broadcast; a larger one stays in slices in the shared folder, and the
+distinct n-grams of blocks of documents are shuffled to the slices and their levels back. Exact word counts (for the base score) are broadcast only while the counted words fit
 VOCABULARY_WORDS; a larger vocabulary is joined by shuffle.
 
 Defined results: a null or empty text is the end token alone; repeated rows are learned from and scored each; with
@@ -15,7 +16,7 @@ no training rows N and V are 0 and every word is unknown.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +25,19 @@ from pyspark.sql import functions as F
 
 from wayfinder.llm.common import LOWER_BYTES, chunks_of, id_text_crc, texts_of
 
-MAX_FILTER_BYTES = 64 << 20
+BROADCAST_FILTER_BYTES = 64 << 20
 VOCABULARY_WORDS = 12_000_000
 #: Text bytes of the corpus for each reduce group; distinct keys that a task holds before it hands them on.
 GROUP_BYTES, HELD_KEYS = 8 << 20, 1_000_000
 #: Text bytes that are worked on at once.
 CHUNK = 2_000_000
+#: Text bytes whose distinct n-grams are shuffled to the slices of a large filter together.
+BLOCK = 8_000_000
 PROBES = 2
 #: Levels of the largest 64-bit count; a trained filter probes no more than its corpus can have entered.
 MOST_LEVELS = 64
+#: The count that each level stands for.
+COUNT_OF = np.array([0.0, 1.0, *(1.44 * 2.0 ** (level - 1) for level in range(2, MOST_LEVELS + 1))])
 WEIGHT = 0.7
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -87,9 +92,10 @@ def unigram_keys(tokens: np.ndarray) -> np.ndarray:
 class Filter:
     """Bloom filter over (key, level), in ``groups`` slices by the key's upper bits, so that each slice is built on its own."""
 
-    def __init__(self, bits: np.ndarray, groups: int, levels: int = MOST_LEVELS):
+    def __init__(self, bits: np.ndarray | None, groups: int, levels: int = MOST_LEVELS):
+        """bits: None for a filter that stays in slices."""
         self.bits, self.groups, self.levels = bits, groups, levels
-        self.slice_bits = len(bits) * 8 // groups
+        self.slice_bits = len(bits) * 8 // groups if bits is not None else 0
 
     @staticmethod
     def group_of(keys: np.ndarray, groups: int) -> np.ndarray:
@@ -114,8 +120,11 @@ class Filter:
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Read-back counts: 0, 1, or the middle of the power of two that the level stands for."""
+        return COUNT_OF[self.levels_of(keys)]
+
+    def levels_of(self, keys: np.ndarray) -> np.ndarray:
         base = self.group_of(keys, self.groups).astype(np.uint64) * np.uint64(self.slice_bits)
-        out = np.zeros(len(keys))
+        out = np.zeros(len(keys), np.uint8)
         left = np.arange(len(keys))
         for level in range(1, self.levels + 1):
             hit = np.ones(len(left), bool)
@@ -125,7 +134,7 @@ class Filter:
             left = left[hit]
             if not len(left):
                 break
-            out[left] = 1.0 if level == 1 else 1.44 * 2 ** (level - 1)
+            out[left] = level
         return out
 
 
@@ -172,13 +181,13 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k[first], np.add.reduceat(c, first)
 
 
-def train(training: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES, group_bytes: int = GROUP_BYTES) -> tuple[Filter, DataFrame]:
+def train(training: DataFrame, broadcast_filter_bytes: int = BROADCAST_FILTER_BYTES, group_bytes: int = GROUP_BYTES) -> tuple[Filter, DataFrame]:
     """The filter, and g, keys, counts: blocks of the exact word counts (read from the shared folder). training: column text."""
     from wayfinder.llm.common import materialize
 
     size = training.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     groups = 1 << max(2, int(size // group_bytes).bit_length())
-    filter_bytes = min(max_filter_bytes, 1 << max(16, int(size // 16).bit_length()))
+    filter_bytes = 1 << max(16, int(size // 16).bit_length())
     slice_bits = filter_bytes * 8 // groups
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
@@ -193,11 +202,14 @@ def train(training: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES, group_b
         return pa.table({"g": [key[0].as_py()], "bits": pa.array([bits], pa.binary()), "keys": pa.array([words.tobytes()], pa.binary()), "counts": pa.array([n.astype("<u8").tobytes()], pa.binary()), "words": pa.array([len(words)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64())})
 
     slices = materialize(gather_counts(training, groups).groupBy("g").applyInArrow(build, "g long, bits binary, keys binary, counts binary, words long, tokens long"), "lm")
+    tokens = slices.agg(F.sum("tokens")).head()[0] or 0
+    levels = int(tokens).bit_length()
+    if filter_bytes > broadcast_filter_bytes:
+        return Filter(None, groups, levels), slices
     bits = np.zeros(filter_bytes, np.uint8)
     for row in slices.select("g", "bits").toLocalIterator():
         bits[row["g"] * slice_bits // 8 : (row["g"] + 1) * slice_bits // 8] = np.frombuffer(row["bits"], np.uint8)
-    tokens = slices.agg(F.sum("tokens")).head()[0] or 0
-    return Filter(bits, groups, int(tokens).bit_length()), slices
+    return Filter(bits, groups, levels), slices
 
 
 def mixed_into(words: np.ndarray, groups: int) -> np.ndarray:
@@ -207,13 +219,15 @@ def mixed_into(words: np.ndarray, groups: int) -> np.ndarray:
     return (words & ~mask) | (unigram_keys(words) & mask)
 
 
-def score(docs: DataFrame, model: tuple[Filter, DataFrame], id_col: str = "doc_id", text_col: str = "text", vocabulary_words: int = VOCABULARY_WORDS) -> DataFrame:
+def score(docs: DataFrame, model: tuple[Filter, DataFrame], id_col: str = "doc_id", text_col: str = "text", vocabulary_words: int = VOCABULARY_WORDS, block_bytes: int = BLOCK) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row."""
     lm, slices = model
     spark = docs.sparkSession
     total = slices.agg(F.sum("words").alias("v"), F.sum("tokens").alias("n")).head()
     v, n = total["v"] or 0, total["n"] or 0
-    sent = spark.sparkContext.broadcast((lm.bits.tobytes(), lm.groups, lm.levels))  # bytes are read in place, arrays would be copied
+    groups = lm.groups
+    if lm.bits is not None:
+        sent = spark.sparkContext.broadcast((lm.bits.tobytes(), lm.groups, lm.levels))  # bytes are read in place, arrays would be copied
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     small = v <= vocabulary_words
     width = "<u4" if n < 1 << 32 else "<u8"
@@ -229,46 +243,143 @@ def score(docs: DataFrame, model: tuple[Filter, DataFrame], id_col: str = "doc_i
         at = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
         return np.where(keys[at] == words, counts[at], 0).astype(np.float64)
 
+    def measured(ids: pa.Array, chunks: Iterable[tuple[np.ndarray, np.ndarray]], counts_of: Callable[[np.ndarray], np.ndarray]) -> pa.RecordBatch:
+        """Results for texts whose tokens come in chunks (hashes, tokens per text)."""
+        parts = []
+        for tokens, size in chunks:
+            at = np.cumsum(size) - size
+            words, place = np.unique(tokens, return_inverse=True)
+            pairs, context = pair_keys(tokens, size)
+            seen, pair_place = np.unique(pairs, return_inverse=True)
+            rough = counts_of(mixed_into(words, groups))
+            low = ((rough + 1) / (n + v + 1))[place]
+            of_context = rough[np.searchsorted(words, context)]
+            both = np.minimum(counts_of(seen)[pair_place], of_context)
+            p = np.where(of_context > 0, WEIGHT * both / np.maximum(of_context, 1) + (1 - WEIGHT) * low, low)
+            score = np.add.reduceat(np.log10(p), at)
+            if small:
+                c = known_counts(words)
+                base = np.add.reduceat(np.log10((c + 1) / (n + v + 1))[place], at)
+                known = np.add.reduceat((c > 0).astype(np.int64)[place], at)
+                parts.append((size, known, base, score))
+            else:
+                parts.append((size, score, *per_text(tokens, size)))
+        cols = [np.concatenate(c) for c in zip(*[p[: 4 if small else 2] for p in parts], strict=True)] if parts else [np.empty(0)] * (4 if small else 2)
+        arrays = [ids, pa.array(cols[0].astype(np.int64))]
+        if small:
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(cols[1].astype(np.int64)), pa.array(cols[2]), pa.array(cols[3])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        entries = [e for p in parts for e in p[2]]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(cols[1]), pa.array(entries, pa.list_(pa.struct([("w", pa.int64()), ("n", pa.int64())])))], names=["doc_id", "n_tokens", "score", "words"])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = Filter(np.frombuffer(sent.value[0], np.uint8), *sent.value[1:])
         hashes = WordHashes()
         for batch in batches:
             texts = texts_of(batch, "text")
-            parts = []
-            for a, b in chunks_of(texts, CHUNK):
-                tokens, size = token_hashes(texts[a:b], hashes)
-                at = np.cumsum(size) - size
-                words, place = np.unique(tokens, return_inverse=True)
-                pairs, context = pair_keys(tokens, size)
-                seen, pair_place = np.unique(pairs, return_inverse=True)
-                rough = filter_.counts(mixed_into(words, filter_.groups))
-                low = ((rough + 1) / (n + v + 1))[place]
-                of_context = rough[np.searchsorted(words, context)]
-                both = np.minimum(filter_.counts(seen)[pair_place], of_context)
-                p = np.where(of_context > 0, WEIGHT * both / np.maximum(of_context, 1) + (1 - WEIGHT) * low, low)
-                score = np.add.reduceat(np.log10(p), at)
-                if small:
-                    c = known_counts(words)
-                    base = np.add.reduceat(np.log10((c + 1) / (n + v + 1))[place], at)
-                    known = np.add.reduceat((c > 0).astype(np.int64)[place], at)
-                    parts.append((size, known, base, score))
-                else:
-                    parts.append((size, score, *per_text(tokens, size)))
-            cols = [np.concatenate(c) for c in zip(*[p[: 4 if small else 2] for p in parts], strict=True)] if parts else [np.empty(0)] * (4 if small else 2)
-            arrays = [batch.column(0), pa.array(cols[0].astype(np.int64))]
-            if small:
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(cols[1].astype(np.int64)), pa.array(cols[2]), pa.array(cols[3])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
-            else:
-                entries = [e for p in parts for e in p[2]]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(cols[1]), pa.array(entries, pa.list_(pa.struct([("w", pa.int64()), ("n", pa.int64())])))], names=["doc_id", "n_tokens", "score", "words"])
+            yield measured(batch.column(0), (token_hashes(texts[a:b], hashes) for a, b in chunks_of(texts, CHUNK)), filter_.counts)
 
-    if small:
-        found = rows.mapInArrow(scan, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    else:
-        found = _joined(materialize_scored(rows.mapInArrow(scan, "doc_id long, n_tokens long, score double, words array<struct<w: long, n: long>>")), slices, n, v)
+    def scan_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by block: first the levels of its n-grams in the order of the slices, then its documents."""
+        hashes = WordHashes()
+        for levels, ids, texts in whole_blocks(batches):
+            chunks = [token_hashes(texts[a:b], hashes) for a, b in chunks_of(texts, CHUNK)]
+            keys = block_keys(chunks, groups)
+            if len(keys) != len(levels):
+                raise ValueError(f"{len(keys)} n-grams in a block, {len(levels)} levels")
+            yield measured(pa.array(ids, pa.int64()), chunks, lambda k: COUNT_OF[levels[np.searchsorted(keys, k)]])  # noqa: B023
+
+    results = "doc_id long, n_tokens long, " + ("n_known long, base_score double, score double" if small else "score double, words array<struct<w: long, n: long>>")
+    found = rows.mapInArrow(scan, results) if lm.bits is not None else in_blocks(rows, slices, lm, block_bytes).mapInArrow(scan_blocks, results)
+    if not small:
+        found = _joined(materialize_scored(found), slices, n, v)
     return found.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def block_keys(chunks: Iterable[tuple[np.ndarray, np.ndarray]], groups: int) -> np.ndarray:
+    """Distinct filter keys of words and pairs, in order."""
+    parts = [np.unique(np.concatenate([mixed_into(np.unique(tokens), groups), pair_keys(tokens, n)[0]])) for tokens, n in chunks]
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+
+
+BLOCK_ROW = "b long, g long, doc_id long, data binary"
+
+
+def block_rows(b: list[int], g: list[int | None], doc_id: list[int | None], data: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(g, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(data, pa.binary())], names=["b", "g", "doc_id", "data"])
+
+
+def in_blocks(rows: DataFrame, slices: DataFrame, lm: Filter, block_bytes: int) -> DataFrame:
+    """Documents (g null, data the text) in blocks b, each block after the levels of its distinct n-grams (by slice g).
+
+    Blocks are numbered and written once, then their n-grams meet the slices, which are read one at a time."""
+    from wayfinder.llm.common import materialize
+
+    groups, most_levels = lm.groups, lm.levels
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        hashes = WordHashes()
+        b, held, parts = TaskContext.get().partitionId() << 32, 0, []
+
+        def keys_of_block() -> pa.RecordBatch:
+            keys = np.unique(np.concatenate(parts))
+            cut = np.searchsorted(Filter.group_of(keys, groups), np.arange(groups + 1))
+            full = [g for g in range(groups) if cut[g] < cut[g + 1]]
+            return block_rows([b] * len(full), full, [None] * len(full), [keys[cut[g] : cut[g + 1]].tobytes() for g in full])
+
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), texts_of(batch, "text")
+            for x, y in chunks_of(texts, min(CHUNK, block_bytes)):
+                parts.append(block_keys([token_hashes(texts[x:y], hashes)], groups))
+                held += sum(map(len, texts[x:y]))
+                yield block_rows([b] * (y - x), [None] * (y - x), ids[x:y], texts[x:y])
+                if held >= block_bytes:
+                    yield keys_of_block()
+                    b, held, parts = b + 1, 0, []
+        if parts:
+            yield keys_of_block()
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, one = None, None
+        for batch in batches:
+            bs, gs, data = (batch.column(c).to_pylist() for c in ("b", "g", "data"))
+            out = []
+            for b, g, x in zip(bs, gs, data, strict=True):
+                if b < 0:
+                    at, one = g, Filter(np.frombuffer(x, np.uint8), 1, most_levels)
+                else:
+                    keys = np.frombuffer(x, "<u8")
+                    out.append((b, g, None, (one.levels_of(keys) if at == g else np.zeros(len(keys), np.uint8)).tobytes()))
+            if out:
+                yield block_rows(*map(list, zip(*out, strict=True)))
+
+    dealt = materialize(rows.mapInArrow(deal, BLOCK_ROW), "blocks")
+    none = F.lit(None).cast("long").alias("doc_id")
+    keys = dealt.where("g is not null").select("b", "g", none, "data")
+    met = slices.select(F.lit(-1).cast("long").alias("b"), "g", none, F.col("bits").alias("data")).unionByName(keys)
+    levels = met.repartition("g").sortWithinPartitions("g", "b").mapInArrow(probe, BLOCK_ROW)
+    return levels.unionByName(dealt.where("g is null")).repartition("b").sortWithinPartitions("b", F.col("g").asc_nulls_last())
+
+
+def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list, list[bytes]]]:
+    """Levels, ids and texts of each block, from rows in the order of in_blocks."""
+    now, levels, ids, texts = None, [], [], []
+    for batch in batches:
+        for b, g, i, x in zip(*(batch.column(c).to_pylist() for c in ("b", "g", "doc_id", "data")), strict=True):
+            if b != now:
+                if ids:
+                    yield np.frombuffer(b"".join(levels), np.uint8), ids, texts
+                now, levels, ids, texts = b, [], [], []
+            if g is None:
+                ids.append(i)
+                texts.append(x)
+            else:
+                levels.append(x)
+    if ids:
+        yield np.frombuffer(b"".join(levels), np.uint8), ids, texts
+
+
 def materialize_scored(found: DataFrame) -> DataFrame:
     from wayfinder.llm.common import materialize
 
