@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfinder.llm.common import BROADCAST_ROWS, materialize
 from wayfinder.schema import EDGE_KINDS
 
 # Which edges make the explorer's tree: relation, kinds of parent, kind of child, priority.
@@ -55,6 +56,25 @@ def traverse(entities: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth:
     return spark.createDataFrame(found, schema)
 
 
+def depths(entities: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """id, depth of all entities within max_depth edges of seeds (id), without a bound on their number.
+
+    Each level is written to the shared folder and only counted on the driver; a frontier is broadcast while its counted
+    ids fit the bound, so that a hub's edges stay where they are read."""
+    known, links = entities.select("id").distinct(), neighbours(edges)
+    level = found = materialize(seeds.select("id").distinct().join(known, "id", "left_semi").withColumn("depth", F.lit(0)), "level")
+    for depth in range(1, max_depth + 1):
+        n = level.count()
+        if not n:
+            break
+        frontier = level.select("id")
+        near = links.join(F.broadcast(frontier) if n <= broadcast_rows else frontier, "id", "left_semi").select(F.col("other").alias("id")).distinct()
+        fresh = near.join(found.select("id"), "id", "left_anti").join(known, "id", "left_semi")
+        level = materialize(fresh.withColumn("depth", F.lit(depth)), "level")
+        found = found.unionByName(level)
+    return found
+
+
 def edges_between(edges: DataFrame, selected: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Edges with both ends in selected (column id). With max_depth (and column depth), those between two nodes at that depth are left out, as they were never expanded."""
     s = selected.withColumnRenamed("id", "src_id")

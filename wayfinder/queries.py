@@ -213,9 +213,9 @@ def relative_gap_cutoff(m: Model, *_) -> DataFrame:
 
 @query(f"WITH RECURSIVE {SQL}, walk(id, depth) AS (SELECT 'repo::.', 0 UNION SELECT CASE WHEN e.src_id = w.id THEN e.dst_id ELSE e.src_id END, w.depth + 1 FROM walk w JOIN edg e ON (e.src_id = w.id OR e.dst_id = w.id) WHERE w.depth < 3 AND e.rel <> 'defines') SELECT id, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY id")
 def traversal_depths(m: Model, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H1 E5: breadth first from the repository without the part edges, to depth 3, with room for all."""
-    seeds = spark.createDataFrame([("repo::.", 0)], "id string, ord int")
-    return graph.traverse(m.entities, m.edges.where("rel <> 'defines'"), seeds, 3, 1_000_000).select("id", *long("depth"))
+    """H1 E5: breadth first from the repository without the part edges, to depth 3, without a bound on nodes."""
+    seeds = spark.createDataFrame([("repo::.",)], "id string")
+    return graph.depths(m.entities, m.edges.where("rel <> 'defines'"), seeds, 3).select("id", *long("depth"))
 
 
 @query(None)
