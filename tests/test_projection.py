@@ -33,3 +33,8 @@ def test_search_reads_whole_texts(spark, far):
 def test_source_hash_is_of_the_whole_text(spark, far):
     whole = project(spark, far).summaries.where("entity_id = 'doc::s/en/5'").select(F.col("source_hash") == F.sha2(F.concat(F.repeat(F.lit("w "), 150), F.lit("Blue sky")), 256))
     assert whole.head()[0]
+
+
+def test_files_are_of_all_documents(spark, far):
+    files = queries.QUERIES["scan_files"](spark, far)
+    assert sorted(r["path"] for r in files.collect()) == sorted(f"docs/{i}" for i in range(1, 11))

@@ -80,7 +80,7 @@ class Projection:
         return self.table("embeddings").select(text("symbol::part/", key("vec_id")).alias("entity_id"), F.lit("given").alias("model"), F.size("embedding").alias("dimensions"), F.lit("").alias("updated_at"), F.col("embedding").alias("vector"))
 
     def files(self) -> DataFrame:
-        return snapshot(self.table("documents"), "doc_id % 10 <> 0", False)
+        return snapshot(self.table("documents"), "true", False)
 
     def task_routes(self) -> DataFrame:
         return task_routes(self.entities())
