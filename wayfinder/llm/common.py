@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import string
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,12 +36,14 @@ def ascii_lower(col: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a local master gets a temporary one and a cluster is refused."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         if kept.isDefined():
             return kept.get()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -82,3 +87,73 @@ def chunks_of(texts: list[bytes], limit: int = 4_000_000) -> Iterator[tuple[int,
             at, held = i + 1, 0
     if at < len(texts):
         yield at, len(texts)
+
+
+def slices_of(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Every row once, in slices of about limit bytes of text, so that what a task builds doesn't follow Arrow's batch size."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = int(np.searchsorted(size, (size[at - 1] if at else 0) + limit)) + 1
+            yield batch.slice(at, end - at)
+            at = end
+
+
+#: Bytes by byte: blanks become \x20, in the second A-Z also become a-z.
+SPACED = bytes(0x20 if 0x09 <= c <= 0x0D else c for c in range(256))
+SPACED_LOWER = SPACED.translate(LOWER_BYTES)
+
+
+def flat_bytes(texts: pa.Array, table: bytes) -> tuple[bytes, np.ndarray]:
+    """All texts (large strings without nulls) translated byte by byte, and where each begins (with the end of the last)."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = bytes(texts.buffers()[2][offsets[0] : offsets[-1]]) if texts.buffers()[2] else b""
+    return data.translate(table), offsets - offsets[0]
+
+
+def of_bytes(data: bytes, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def whole(texts: pa.Array) -> pa.Array:
+    """Large strings, null as empty."""
+    return pc.fill_null(texts.cast(pa.large_string()), "")
+
+
+def words_in(spaced: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For texts whose words are parted by blanks: the distinct words, each word's number among them, and where each text's words begin."""
+    cut = pc.split_pattern(spaced, " ")
+    pieces = cut.flatten().dictionary_encode()
+    words, which = pieces.dictionary.to_numpy(zero_copy_only=False), pieces.indices.to_numpy()
+    begin = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+    if len(nothing := np.flatnonzero(words == "")):
+        keep = which != nothing[0]
+        return words, which[keep], np.concatenate(([0], np.cumsum(keep)))[begin]
+    return words, which, begin
+
+
+def hashed_words(texts: pa.Array, table: bytes = SPACED_LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, text by text, and where each text's begin (with the end of the last)."""
+    import xxhash
+
+    words, which, begin = words_in(of_bytes(*flat_bytes(whole(texts), table)))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[which], begin
+
+
+MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective 64-bit finaliser (splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * MIX1
+    x = (x ^ (x >> np.uint64(27))) * MIX2
+    return x ^ (x >> np.uint64(31))
+
+
+def sum_by_text(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of values by text; 0 for a text without any."""
+    out = np.zeros(len(begin) - 1, values.dtype)
+    if len(full := np.flatnonzero(np.diff(begin))):
+        out[full] = np.add.reduceat(values, begin[:-1][full])
+    return out

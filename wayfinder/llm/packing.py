@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfinder.llm.common import materialize, texts_of
+from wayfinder.llm.common import materialize, slices_of
 from wayfinder.llm.tokens import encoder, squeeze, unsqueeze
 
 SEQUENCE = 4096
@@ -79,10 +79,10 @@ def tokenize_with_keys(docs: DataFrame, tokenizer_path: str, end_id: int, id_col
     """doc_id, n (ids with the end id), key, ids (compressed 16-bit ids without it)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = encoder(tokenizer_path).encode(texts_of(batch, "text"))
-            arrays = [np.frombuffer(r, "<u2") for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) + 1 for x in arrays], pa.int64()), pa.array(curve_keys(arrays), pa.int64()), pa.array([squeeze(r) for r in rows], pa.binary())], names=["doc_id", "n", "key", "ids"])
+        for part in slices_of(batches):
+            flat, begin = encoder(tokenizer_path).encode(part.column(1))
+            arrays = np.split(flat, begin[1:-1])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(begin) + 1), pa.array(curve_keys(arrays), pa.int64()), pa.array([squeeze(x.tobytes()) for x in arrays], pa.binary())], names=["doc_id", "n", "key", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, "doc_id long, n long, key long, ids binary")
 
