@@ -23,14 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfinder.llm.common import fresh_path, materialize, texts_of
+from wayfinder.llm.common import fresh_path, materialize, slices_of
 from wayfinder.llm.tokens import encoder, squeeze, unsqueeze
 
 MAGIC = b"RVB1"
 #: Ids in one shard at least, before the next begins.
 SHARD_IDS = 4_000_000
-#: Ids counted at once.
-COUNT_IDS = 1_000_000
 
 #: Bytes of each of the four values that a control byte describes.
 LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
@@ -80,7 +78,7 @@ def unpack_shard(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
 
 
 def write_atomically(folder: str, name: str, blob: bytes) -> None:
-    """Through the file system of the folder's address; a reader sees the whole file or none."""
+    """Through the file system of the folder's address; a reader sees the whole file or none. What a lost attempt left goes first."""
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(folder)
@@ -88,39 +86,38 @@ def write_atomically(folder: str, name: str, blob: bytes) -> None:
     store.create_dir(path, recursive=True)
     with store.open_output_stream(part) as f:
         f.write(blob)
+    if store.get_file_info(f"{path}/{name}").type != fs.FileType.NotFound:
+        store.delete_file(f"{path}/{name}")
     store.move(part, f"{path}/{name}")
 
 
+TOKENS = "doc_id long, n long, ids binary, seen array<int>, times array<long>"
+
+
 def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n, ids (compressed); and as the last row of each task the ids that it has seen and how often, with all else null."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = encoder(tokenizer_path).encode(texts_of(batch, "text"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) // 2 for r in rows], pa.int64()), pa.array([squeeze(r) for r in rows], pa.binary())], names=["doc_id", "n", "ids"])
+        total = np.zeros(1 << 16, np.int64)
+        rows = lambda doc, n, ids, seen, times: pa.RecordBatch.from_arrays([doc, pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(seen, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int64()))], names=["doc_id", "n", "ids", "seen", "times"])
+        for part in slices_of(batches):
+            flat, begin = encoder(tokenizer_path).encode(part.column(1))
+            total += np.bincount(flat, minlength=1 << 16)
+            cuts = begin.tolist()
+            yield rows(part.column(0), np.diff(begin), [squeeze(flat[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], [None] * part.num_rows, [None] * part.num_rows)
+        seen = np.flatnonzero(total)
+        yield rows(pa.array([None], pa.int64()), [None], [None], [seen.astype(np.int32)], [total[seen]])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, "doc_id long, n long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, TOKENS)
 
 
 def ranked_ids(tokens: DataFrame, end_id: int) -> np.ndarray:
     """All ids of the corpus by falling frequency, ties to the smaller id; at most 65,536, as ids have 16 bits."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            held, room = [], COUNT_IDS
-            for n, ids in zip(batch.column("n").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                held.append(unsqueeze(ids, n))
-                room -= n
-                if room < 0:
-                    total += np.bincount(np.concatenate(held), minlength=1 << 16)
-                    held, room = [], COUNT_IDS
-            if held:
-                total += np.bincount(np.concatenate(held), minlength=1 << 16)
-            total[end_id] += batch.num_rows
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["id", "n"])
-
-    rows = tokens.select("n", "ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    return np.array([r["id"] for r in sorted(rows, key=lambda r: (-r["n"], r["id"]))], np.uint32)
+    seen = tokens.where("seen is not null").select(F.explode(F.arrays_zip("seen", "times")).alias("x"))
+    counts = dict(seen.groupBy("x.seen").agg(F.sum("x.times")).collect())
+    if documents := tokens.where("n is not null").count():
+        counts[end_id] = counts.get(end_id, 0) + documents
+    return np.array(sorted(counts, key=lambda i: (-counts[i], i)), np.uint32)
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -156,7 +153,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         if names:
             yield flush()
 
-    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n", "ids")
+    # by all that orders rows, so that a repeated id is split over ranges too; a hash stands for the ids, as range bounds are sampled to the driver
+    rows = tokens.where("n is not null").select("doc_id", "n", "ids", F.xxhash64("ids").alias("h"))
+    ordered = rows.repartitionByRange("doc_id", "n", "h").sortWithinPartitions("doc_id", "n", "h", "ids").drop("h")
     return materialize(ordered.mapInArrow(write, "file string, n_docs long, n_tokens long"), "shards")
 
 
@@ -178,9 +177,13 @@ def read_token_files(shards: DataFrame, folder: str) -> DataFrame:
 
     content = blobs("*.ranked").select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     read = content.mapInArrow(decode, "file string, doc_id long, at long, n_tokens long, ids_crc32 long")
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("before"))
-    return read.join(starts, "file").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    # a window over the files of each part, and one over the parts, of which there are as many as tasks that wrote
+    part = F.split("file", "-")[1].cast("int").alias("part")
+    sizes = shards.select(part, "file", "n_tokens")
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", before(Window.orderBy("part")).alias("of_part"))
+    starts = sizes.select("part", "file", before(Window.partitionBy("part").orderBy(F.length("file"), "file")).alias("of_file")).join(parts, "part")
+    return read.join(starts, "file").select("doc_id", (F.col("of_part") + F.col("of_file") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_file_digest(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
