@@ -8,6 +8,7 @@ from itertools import combinations
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -260,10 +261,24 @@ def test_ngram_join_light_and_chained_sets(spark):
             rows.append((len(rows), " ".join(mine[: len(mine) - int(rng.integers(0, 3))])))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     same([tuple(r) for r in ngram_join.jaccard_join(frame).collect()], brute_components(rows))
-    kept = ngram_join.keep_one(frame, ngram_join.jaccard_join(frame))
+    kept = ngram_join.keep_one(frame, ngram_join.grouped_rows(frame))
     same([r["doc_id"] for r in kept.collect()], {c for _, _, c in brute_components(rows)})
 
 
+def test_ngram_join_null_ids_link_and_bridge(spark):
+    """A chain whose middle has no id, a group without any id, repeated ids with other texts and repeated rows."""
+    words = [f"w{k}" for k in range(60)]
+    rows = [(5, " ".join(words)), (None, " ".join([*words[:54], *"abcdef"])), (3, " ".join([*words[:53], "g", *"abcdef"])), (3, "other words that this id has as well"), (None, "x y z u v w"), (None, "x y z u v w"), (9, "x y z u v q"), (9, "x y z u v q"), (None, "alone without any other"), (None, None), (None, "other words that this id has as well")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    assert want[1][2] == want[0][2] == 3
+    same([tuple(r) for r in ngram_join.jaccard_join(frame).collect()], want)
+    wide = frame.selectExpr("*", "1 as rk", "'c' as component", "2 as id")
+    kept = ngram_join.keep_one(wide, ngram_join.grouped_rows(wide))
+    assert kept.columns == wide.columns
+    same([(r["doc_id"], r["text"]) for r in kept.collect()], [rows[2], rows[3], rows[4], rows[6], rows[8], rows[9]])
+
+
 def test_light_boundary_is_cheapest():
     sizes = {n: 100 for n in range(1, 41)}
     x = ngram_join.boundary(sizes)
@@ -319,11 +334,16 @@ def test_word_cache_equals_plain_encoding(texts):
     from wayfinder.llm.tokens import PieceEncoder
 
     plain = Tokenizer.from_file(TOKENIZER)
-    some = [t or "" for _, t in texts] + [t or "" for _, t, _ in ODD] + ["a\u0301 \u0301b \u2000 ΑΣ Σ σς", "x<|endoftext|>y <|startoftext|>"]
+    some = [t or "" for _, t in texts] + [t or "" for _, t, _ in ODD] + ["a\u0301 \u0301b \u2000 ΑΣ Σ σς", "x<|endoftext|>y <|startoftext|>", "A<|ENDOFTEXT|>B.", "end.", ".5 a", "é.è,É! ×. ÷. 😀. İ. ß) x'.s a.'s it's. '.x \u0301. a\u0301. a\u0338= a=\u0338 don't,"]
+    rng, letters = np.random.default_rng(5), [*"aZsé×÷ÀİΣ9.,'!<|>=^`~ \t\n\u0301\u0338\u00a0\x1c\u2028😀文"]
+    some += ["".join(rng.choice(letters, int(rng.integers(1, 40)))) for _ in range(3000)]
     for bound in (96_000_000, 2_000):
-        got = PieceEncoder(TOKENIZER, bound).encode([t.encode() for t in some])
-        for t, ids in zip(some, got, strict=True):
-            assert plain.encode(t, add_special_tokens=False).ids == np.frombuffer(ids, "<u2").tolist(), t[:50]
+        coder = PieceEncoder(TOKENIZER, bound)
+        assert coder.grouped and coder.lowers and coder.cuts
+        for texts in (some, some[-300:], []):
+            flat, begin = coder.encode(pa.array([*texts, None], pa.string()))
+            for t, a, b in zip([*texts, ""], begin[:-1], begin[1:], strict=True):
+                assert plain.encode(t, add_special_tokens=False).ids == flat[a:b].tolist(), t[:50]
 
 
 def plain_ids(rows, end):
@@ -390,8 +410,7 @@ def test_pieces_encoded_together_equal_pieces_alone():
     from wayfinder.llm.tokens import PieceEncoder
 
     coder = PieceEncoder(TOKENIZER)
-    assert coder.ends.any()
-    words = ["plain", "a", "İstanbul", "ΟΔΟΣ", "straße", "ǅ", "étude", "文字", "ﬁne", "x1", "don't", "tail.", "ᾳ", "K"]
-    pieces = [w.encode() for w in dict.fromkeys(words + [f"w{'ab' * (k % 7)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600)])]
-    alone = {x: array("H", coder.tokenizer.encode(x.decode(), add_special_tokens=False).ids).tobytes() for x in pieces}
-    assert dict(coder.encode_pieces(pieces)) == alone
+    words = ["plain", "a", "İstanbul", "ΟΔΟΣ", "straße", "ǅ", "étude", "文字", "ﬁne", "x1", "don't", "tail.", "ᾳ", "K"]
+    pieces = list(dict.fromkeys(words + [f"w{'ab' * (k % 7)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600)]))
+    alone = {x: array("H", coder.tokenizer.encode(x, add_special_tokens=False).ids).tobytes() for x in pieces}
+    assert coder.encode_words(pieces) == alone

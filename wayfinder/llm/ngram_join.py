@@ -11,7 +11,8 @@ the histogram of set sizes.
 No pairs within a group of linked sets are listed, equal sets are one class, and no member of a list is left out.
 
 Defined results: a null or blank text has an empty set, is linked with nothing and is its own component; fewer words than
-n make one shingle; repeated rows each get a row; an empty table gives no row.
+n make one shingle; repeated rows each get a row; rows with a null id link and bridge as others do, and a component of such
+rows only has a null id; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -19,14 +20,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import combinations
 from math import ceil, comb, floor
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfinder.llm.common import BROADCAST_ROWS, LOWER_BYTES, chunks_of, materialize, semi_join_checked, texts_of
-from wayfinder.llm.lm import WordHashes, mixed
+from wayfinder.llm.common import BROADCAST_ROWS, hashed_words, materialize, mixed, semi_join_checked, slices_of
 
 N, PERCENT = 5, 80
 #: Counters of the frequency sketch that orders shingles: 2 MB for each task and in all, whatever the input.
@@ -67,24 +68,22 @@ def boundary(sizes: dict[int, int], percent: int = PERCENT) -> int:
     return at
 
 
-def shingle_sets(texts: list[bytes], hashes: WordHashes, n: int = N) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, n: int = N) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the n-word shingles of each text."""
-    words = [t.translate(LOWER_BYTES).split() for t in texts]
-    size = np.array([len(w) for w in words], np.int64)
-    flat = np.fromiter((h for w in words for h in map(hashes.__getitem__, w)), np.uint64, int(size.sum()))
+    flat, begin = hashed_words(texts)
     rolled = np.zeros(len(flat), np.uint64)
     for k in range(n):
         if len(flat) > k:
             rolled[: len(flat) - k] = mixed(rolled[: len(flat) - k] + flat[k:] + np.uint64(k))
     out = []
-    for end, m in zip(np.cumsum(size).tolist(), size.tolist(), strict=True):
-        if m >= n:
-            out.append(np.unique(rolled[end - m : end - n + 1]))
+    for at, end in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+        if end - at >= n:
+            out.append(np.unique(rolled[at : end - n + 1]))
         else:
             short = np.zeros(1, np.uint64)
-            for k in range(m):
-                short = mixed(short + flat[end - m + k] + np.uint64(k))
-            out.append(short + np.uint64(m) if m else np.empty(0, np.uint64))
+            for k in range(end - at):
+                short = mixed(short + flat[at + k] + np.uint64(k))
+            out.append(short + np.uint64(end - at) if end > at else np.empty(0, np.uint64))
     return out
 
 
@@ -103,11 +102,9 @@ def sketch_counts(rows: DataFrame, n: int) -> np.ndarray:
     """Shingles of all texts, counted by SKETCH hash cells."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total = WordHashes(), np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            texts = texts_of(batch, "text")
-            for a, b in chunks_of(texts):
-                total += np.bincount(np.concatenate([np.empty(0, np.uint64), *shingle_sets(texts[a:b], hashes, n)]) % np.uint64(SKETCH), minlength=SKETCH)
+        total = np.zeros(SKETCH, np.int64)
+        for part in slices_of(batches):
+            total += np.bincount(np.concatenate(shingle_sets(part.column(0), n)) % np.uint64(SKETCH), minlength=SKETCH)
         yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in np.split(total, BLOCKS)], pa.binary())], names=["block", "counts"])
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
@@ -121,27 +118,27 @@ def sketch_counts(rows: DataFrame, n: int) -> np.ndarray:
     return total.ravel()
 
 
-KEYED = "id long, n long, h1 long, h2 long, bitmap array<long>, cells array<int>, keys array<long>"
+KEYED = "id long, rk long, n long, h1 long, h2 long, bitmap array<long>, cells array<int>, keys array<long>"
 
 
 def keyed_sets(rows: DataFrame, order: np.ndarray, n: int, percent: int) -> DataFrame:
     """Size, two hashes of the whole set, bitmap, and the prefix (sets of up to MOST_LIGHT: all shingles), rarest first."""
     sent = rows.sparkSession.sparkContext.broadcast(order.astype(np.uint32 if order.max(initial=0) < 1 << 32 else np.int64))
+    kinds = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            texts = texts_of(batch, "text")
-            ids, out = batch.column(0).to_pylist(), []
-            for a, b in chunks_of(texts):
-                for i, s in zip(ids[a:b], shingle_sets(texts[a:b], hashes, n), strict=True):
-                    if len(s):
-                        ranked = s[np.lexsort((s, sent.value[s % np.uint64(SKETCH)]))]
-                        keep = len(s) if len(s) <= MOST_LIGHT else prefix_length(len(s), percent)
-                        out.append((i, len(s), int(np.bitwise_xor.reduce(mixed(s)).view(np.int64)), int(mixed(s + np.uint64(1)).sum().view(np.int64)), parity(s), cell_counts(s) if len(s) >= LARGE else None, ranked[:keep].view(np.int64)))
-            cols = list(zip(*out, strict=True)) or [[]] * 7
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["id", "n", "h1", "h2", "bitmap", "cells", "keys"])
+        for part in slices_of(batches):
+            found = shingle_sets(part.column(2), n)
+            full = [i for i, s in enumerate(found) if len(s)]
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            for s in (found[i] for i in full):
+                ranked = s[np.lexsort((s, sent.value[s % np.uint64(SKETCH)]))]
+                keep = len(s) if len(s) <= MOST_LIGHT else prefix_length(len(s), percent)
+                row = len(s), int(np.bitwise_xor.reduce(mixed(s)).view(np.int64)), int(mixed(s + np.uint64(1)).sum().view(np.int64)), parity(s), cell_counts(s) if len(s) >= LARGE else None, ranked[:keep].view(np.int64)
+                for col, x in zip(out, row, strict=True):
+                    col.append(x)
+            own = part.select([0, 1]).take(pa.array(full, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["id", "rk", "n", "h1", "h2", "bitmap", "cells", "keys"])
 
     return rows.mapInArrow(scan, KEYED)
 
@@ -186,20 +183,20 @@ def within_cells(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(pairs.where("not large").select("a", "b").unionByName(near), "near")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b), those that link by their whole sets; the sets are made again for the ids in pairs only."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+def verified(pairs: DataFrame, names: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of candidate pairs (a, b), those that link by their whole sets. names: id of each set and rk of a row that has it; the
+    sets are made again for the rows in pairs only, once in a task for each rk."""
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(names, "id"), "ids")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            texts, out = texts_of(batch, "text"), []
-            for a, b in chunks_of(texts):
-                out += [s.view(np.int64) for s in shingle_sets(texts[a:b], hashes, n)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.list_(pa.int64()))], names=["id", "s"])
-
-    wanted = semi_join_checked(rows.where("id is not null"), ids, "id", ids.count()).select("id", "text").mapInArrow(scan, "id long, s array<long>")
-    sets = materialize(wanted, "sets")
+        done: set[int] = set()
+        for part in slices_of(batches):
+            new = [i for i, rk in enumerate(part.column(0).to_pylist()) if rk not in done and not done.add(rk)]
+            own = part.take(pa.array(new, pa.int64()))
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array([s.view(np.int64) for s in shingle_sets(own.column(1), n)], pa.list_(pa.int64()))], names=["rk", "s"])
+
+    wanted = semi_join_checked(rows, ids, "rk", ids.count()).select("rk", "text").mapInArrow(scan, "rk long, s array<long>")
+    sets = materialize(wanted.join(ids, "rk").select("id", "s"), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where((100 + percent) * shared >= percent * (F.size("sa") + F.size("sb"))).select("a", "b").distinct()
@@ -228,12 +225,25 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
 
 def jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id that links of Jaccard similarity percent / 100 reach."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return grouped_rows(docs, n, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), text_col)
+
+
+def grouped_rows(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, and rk (row_key) and component (a number of the component, null without words) of every row.
+
+    Sets go by the number of their written row (id below), as a doc_id may be null."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("rk"), F.col(text_col).alias("text"))
     order = sketch_counts(rows, n)
-    sets = materialize(keyed_sets(rows, order, n, percent), "keyed")
-    classes = materialize(sets.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")), "classes")
+    sets = keyed_sets(rows, order, n, percent).withColumnRenamed("id", "doc")
+    sets = materialize(sets.withColumn("id", F.monotonically_increasing_id()), "keyed")
+    classes = materialize(sets.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.min("doc").alias("least")), "classes")
     copies = materialize(sets.select("id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).where("id <> rep").select("id"), "copies")
-    reps = sets.where("id is not null").join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "id", "left_anti")
+    reps = sets.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "id", "left_anti")
+    names = reps.select("id", "rk")
     sizes = {r["n"]: r["count"] for r in classes.where(F.col("n") <= MOST_LIGHT).groupBy("n").count().collect()}
     below = boundary(sizes, percent)
 
@@ -246,7 +256,7 @@ def jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: st
     # one leader for each member: those of its other lists come with the rest, unless they are in one component by then
     starred = met.where("id <> leader").groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a"))
     starred = starred.join(bounds.alias("x"), F.col("a") == F.col("x.id")).join(bounds.alias("y"), F.col("b") == F.col("y.id")).where(may_link("x", "y", percent)).select("a", "b", both_large("x", "y").alias("large"))
-    first = components(by_light.unionByName(verified(within_cells(materialize(starred, "starred"), sets, percent), rows, n, percent)))
+    first = components(by_light.unionByName(verified(within_cells(materialize(starred, "starred"), sets, percent), names, rows, n, percent)))
 
     part = materialize(met.select("key", "id").join(first, "id", "left").withColumn("component", F.coalesce("component", "id")), "part")
     mixed_lists = part.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
@@ -254,24 +264,34 @@ def jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: st
     x, y = rest.alias("x"), rest.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & may_link("x", "y", percent)
     crossed = materialize(x.join(y, apart).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), both_large("x", "y").alias("large")).distinct(), "crossed")
-    second = verified(within_cells(crossed, sets, percent), rows, n, percent)
+    second = verified(within_cells(crossed, sets, percent), names, rows, n, percent)
     over = part.select("id", "component").distinct()
     merged = components(second.join(over.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(over.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     renamed = merged.select(F.col("id").alias("component"), F.col("component").alias("merged"))
     final = first.join(renamed, "component", "left").select(F.col("id").alias("rep"), F.coalesce("merged", "component").alias("component"))
-    final = final.unionByName(merged.join(first, "id", "left_anti").select(F.col("id").alias("rep"), "component"))
-
-    members = sets.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"]).join(final, "rep", "left")
-    linked = members.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    blank = rows.where(F.coalesce(F.regexp_replace("text", r"[\x20\x09-\x0D]+", ""), F.lit("")) == "").select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"))
-    return linked.unionByName(blank)
-
-
-def keep_one(docs: DataFrame, joined: DataFrame) -> DataFrame:
-    """One document of each component (its smallest id; of repeated ids one row), with all columns; documents without words all stay."""
-    gone = materialize(joined.where("doc_id <> component_id and n_shingles > 0").select("doc_id").distinct(), "gone")
-    twice = materialize(joined.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    listed = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    left = docs.join(listed(gone), "doc_id", "left_anti")
+    final = materialize(final.unionByName(merged.join(first, "id", "left_anti").select(F.col("id").alias("rep"), "component")), "final")
+
+    linked = classes.join(final, "rep")
+    names_of = linked.groupBy("component").agg(F.min("least").alias("named"))
+    known = classes.join(linked.select("rep", "component").join(names_of, "component"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("named")).alias("component_id"))
+    members = sets.select("doc", "rk", "n", "h1", "h2").join(known, ["h1", "h2", "n"]).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "rk", "component")
+    blank = rows.where(F.coalesce(F.regexp_replace("text", r"[\x20\x09-\x0D]+", ""), F.lit("")) == "").select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"), "rk", F.lit(None).cast("long").alias("component"))
+    return members.unionByName(blank)
+
+
+def keep_one(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of grouped_rows (that of the smallest id, null last), with all columns; rows without words all stay."""
+    found = materialize(grouped.where("component is not null").select("component", "rk", F.col("doc_id").isNull().alias("last"), "doc_id"), "grouped")
+    best = found.groupBy("component").agg(F.min(F.struct("last", "doc_id", "rk")).alias("best"))
+    judged = found.join(best, "component").select("component", "rk", (F.col("rk") == F.col("best.rk")).alias("kept"))
+    gone = materialize(judged.where("not kept").select("rk").distinct(), "gone")
+    twice = materialize(judged.where("kept").groupBy("rk").count().where("count > 1").select("rk"), "twice")
+    rk = f"__rk_{uuid4().hex}"  # clashes with no column
+
+    def listed(keys: DataFrame) -> DataFrame:
+        named = keys.withColumnRenamed("rk", rk)
+        return F.broadcast(named) if keys.count() <= BROADCAST_ROWS else named
+
+    left = docs.withColumn(rk, row_key(id_col, text_col)).join(listed(gone), rk, "left_anti")
     again = listed(twice)
-    return left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return left.join(again, rk, "left_anti").unionByName(left.join(again, rk, "left_semi").dropDuplicates([rk])).drop(rk)
