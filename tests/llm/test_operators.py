@@ -125,12 +125,8 @@ def test_toxicity_odd_rows(spark, odd):
 
 def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(1)
-    lengths = np.array([3, 1, 4, 0, 2])
-    scores, move, start = rng.normal(size=10), np.exp(rng.normal(size=(2, 2))), np.exp(rng.normal(size=2))
-    place, widths = toxicity.time_major(lengths)
-    moved = np.empty(10)
-    moved[place] = scores
-    p, pairs = toxicity.forward_backward(moved, widths, move, start)
+    lengths = np.array([3, 1, 4, 0, 2, 7])
+    scores, move, start = rng.normal(size=17), np.exp(rng.normal(size=(2, 2))), np.exp(rng.normal(size=2))
     want, want_pairs = [], np.zeros((2, 2))
     for end, n in zip(np.cumsum(lengths), lengths, strict=True):
         s, total, hit, joint = scores[end - n : end], 0.0, np.zeros(n), np.zeros((2, 2))
@@ -142,7 +138,60 @@ def test_forward_backward_against_enumeration():
                 joint[path[t], path[t + 1]] += w
         want += list(hit / total)
         want_pairs += joint / total
-    assert np.allclose(p[place], want) and np.allclose(pairs, want_pairs)
+    for block in (1, 2, 3, 4, 100):  # a text in several blocks gives what it gives in one
+        p, pairs = toxicity.forward_backward(scores, lengths, move, start, block)
+        assert np.allclose(p, want) and np.allclose(pairs, want_pairs)
+    assert len(toxicity.forward_backward(np.empty(0), np.array([0, 0]), move, start)[0]) == 0
+
+
+def plain_toxicity(text, model):
+    """The whole score of a text, token by token."""
+    words = ALNUM.findall((text or "").translate(LOW))
+    odds = [np.exp(np.clip(model.bias + sum(model.weights.get(f, 0.0) for f in [w, *(w[:n] + "*" for n in toxicity.STEMS if len(w) >= n)]), -30, 30)) for w in words]
+    ahead, behind = [], [np.ones(2)]
+    for x in odds:
+        f = (ahead[-1] @ model.move if ahead else model.start) * [1, x]
+        ahead.append(f / f.sum())
+    for x in odds[:0:-1]:
+        b = model.move @ ([1, x] * behind[-1])
+        behind.append(b / b.sum())
+    p = [float(a[1] * b[1] / (a * b).sum()) for a, b in zip(ahead, behind[::-1], strict=False)]
+    features = [1, max(p), np.log1p(sum(p)), sum(p) / np.sqrt(len(p))] if p else [1, 0, 0, 0]
+    return 1 / (1 + np.exp(-np.clip(features @ model.head, -30, 30)))
+
+
+def test_toxicity_scores_against_token_by_token(spark, odd, docs, texts):
+    wide = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    model = toxicity.train(wide, queries.table(spark, "/root/testdata/sf0.01", "labels"))
+    assert model.weights and model.head is not None
+    for frame, rows in both(docs, odd, texts):
+        got = toxicity.score_documents(frame, model).collect()
+        same([(r["doc_id"], round(r["score"], 6), r["predicted"]) for r in got], [(i, round(float(x), 6), int(x >= 0.3)) for i, x in ((i, plain_toxicity(t, model)) for i, t in rows)])
+        words = {r["doc_id"]: r["spans"] for r in got}
+        for i, t in rows:
+            assert all(ALNUM.fullmatch(t[x["start"] : x["end"]].translate(LOW)) and x["marginal"] >= 0.5 for x in words[i])
+
+
+def test_toxicity_ignores_labels_of_absent_documents_and_bounds_its_sample(spark):
+    rows = [(i, f"plain words about nothing {i} " + ("vile nasty slur " * 3 if i % 3 == 0 else "kind gentle note ")) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    want = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels).collect()}
+    ghosts = labels.unionByName(spark.range(1000, 21000).selectExpr("id as doc_id", "1 as toxic"))
+    assert {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, ghosts).collect()} == want
+    assert all((x >= 0.3) == (i % 3 == 0) for i, x in want.items())
+    again = docs.unionByName(docs.where("doc_id = 0")).unionByName(docs.where("doc_id = 0"))  # a repeated row weighs once
+    assert {r["doc_id"]: r["score"] for r in toxicity.toxicity(again, labels).collect()} == want
+    assert toxicity.train(docs, labels, sample_bytes=10).head is None
+
+
+def test_toxicity_of_a_very_long_text_takes_no_step_for_each_token():
+    import time
+
+    model = toxicity.Model({"bad": 3.0}, -2.0, np.array([[2.0, 0.5], [0.5, 2.0]]), np.ones(2), np.array([-3.0, 2.0, 1.0, 0.5]))
+    began = time.process_time()
+    scores, spans = toxicity.judge(pa.array(["bad word " * 100_000, None], pa.string()), model, toxicity.WordScores(model))
+    assert time.process_time() - began < 3 and scores[0] > scores[1] and len(spans[0]) >= 1
 
 
 def test_licenses(odd, docs, texts):

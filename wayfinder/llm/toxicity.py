@@ -5,11 +5,11 @@ far likelier in toxic than in clean documents. The field (two states; word and s
 gradient ascent on its log-likelihood, a small logistic model on held-back documents turns forward-backward marginals
 into a score, and tokens whose marginal is at least one half are the offending spans.
 
-Fitting uses a bounded sample: SAMPLE_DOCS toxic and as many clean labelled rows, chosen by hash of the id. Scoring
-reads every whole text. Only the text enters a score.
+Fitting uses a bounded sample: SAMPLE_DOCS toxic and as many clean labelled documents of SAMPLE_BYTES of text each,
+chosen by hash of the id. Scoring reads every whole text. Only the text enters a score.
 
 Defined results: a null or empty text has no tokens and gets the score of no evidence; labels that are null or name no
-document are ignored, of several the largest holds; without labels of both kinds every score is 0; repeated rows each
+document are ignored, of several the largest holds, of a repeated id one text is learned from; without labels of both kinds every score is 0; repeated rows each
 get a row.
 """
 
@@ -21,12 +21,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfinder.llm.common import WORD_BYTES, chunks_of, id_text_crc, texts_of
+from wayfinder.llm.common import WORD_BYTES, flat_bytes, id_text_crc, of_bytes, slices_of, whole, words_in
 
 SAMPLE_DOCS = 1000
+#: UTF-8 bytes of the texts of either kind: documents are taken in order of the hash of their id until they would exceed it.
+SAMPLE_BYTES = 32_000_000
+#: Tokens that are worked through one after another; longer texts are cut into such blocks, with the same result.
+STRIDE = 128
 #: A feature marks toxic tokens if it is so many times likelier in toxic documents and in so many of them at least (number, share); rarer features than LEAST_DOCS get no weight.
 LIFT, LEAST_DOCS, LEAST_SHARE = 5.0, 3, 0.02
 STEMS = (4, 5, 6)
@@ -34,65 +38,102 @@ BLOCK, STEPS, RATE, DECAY = 64, 30, 0.3, 0.05
 CUT = 0.3
 
 
-def features_of(word: bytes) -> list[bytes]:
-    """The word and its stems (a stem's last byte is * so that it differs from a word)."""
-    return [word, *(word[:n] + b"*" for n in STEMS if len(word) >= n)]
+def features_of(word: str) -> list[str]:
+    """The word and its stems (a stem ends in * so that it differs from a word)."""
+    return [word, *(word[:n] + "*" for n in STEMS if len(word) >= n)]
 
 
-def forward_backward(scores: np.ndarray, widths: np.ndarray, move: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of state 1 and summed pair marginals (2 x 2).
+def time_major(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sequences laid end to end: the time-major place of every token, the widths of the steps, and each sequence's rank
+    by falling length. Step t holds widths[t] sequences, so that those which go on are always the first ones."""
+    rank = np.empty(len(lengths), np.int64)
+    rank[np.argsort(-lengths, kind="stable")] = np.arange(len(lengths))
+    longest = int(lengths.max(initial=0))
+    widths = len(lengths) - np.searchsorted(np.sort(lengths), np.arange(longest), side="right")
+    begin = np.cumsum(lengths) - lengths
+    step = np.arange(int(lengths.sum())) - np.repeat(begin, lengths)
+    return np.concatenate(([0], np.cumsum(widths)))[step] + np.repeat(rank, lengths), widths, rank
+
+
+def transfers(odds: np.ndarray, widths: np.ndarray, lead: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """2 x 2 by block: how the state before a block weighs its last state, up to one factor for each block."""
+    out, at = lead.copy(), 0
+    for t, n in enumerate(widths):
+        m, now = out[:, :, :n], odds[at : at + n]
+        if t:
+            m[:, 0], m[:, 1] = m[:, 0] * move[0, 0] + m[:, 1] * move[1, 0], m[:, 0] * move[0, 1] + m[:, 1] * move[1, 1]
+        m[:, 1] *= now
+        m /= m.sum(axis=(0, 1))
+        at += n
+    return out
+
 
-    scores: log odds of state 1 by token, time-major: step t holds widths[t] sequences, which are sorted by falling
-    length, so that the sequences that go on are always the first ones.
+def forward_backward(scores: np.ndarray, lengths: np.ndarray, move: np.ndarray, start: np.ndarray, block: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of state 1 by token and summed pair marginals (2 x 2), for sequences laid end to end.
+
+    scores: log odds of state 1 by token. Sequences are cut into blocks that are worked through side by side; what a block
+    does to the messages that pass it is a 2 x 2 product, so that a sequence takes steps as its blocks and not as its tokens.
     """
+    blocks = -(-lengths // block)
+    owner, first = np.repeat(np.arange(len(lengths)), blocks), np.cumsum(blocks) - blocks
+    number = np.arange(len(owner)) - first[owner]
+    place, widths, rank = time_major(np.minimum(block, lengths[owner] - number * block))
     at = np.concatenate(([0], np.cumsum(widths)))
-    odds = np.exp(np.clip(scores, -30, 30))
-    ahead = np.empty((2, at[-1]))
+    odds = np.empty(len(scores))
+    odds[place] = np.exp(np.clip(scores, -30, 30))
+    lead = np.empty((2, 2, len(owner)))
+    lead[:, :, rank] = np.where(number == 0, start[None, :, None], move[:, :, None])
+    into, behind = np.full((2, len(owner)), 0.5), np.ones((2, len(owner)))
+    if len(owner) > len(lengths) - (lengths == 0).sum():
+        by = transfers(odds, widths, lead, move)
+        chain = [rank[first[blocks > k] + k] for k in range(int(blocks.max()))]
+        before = [rank[first[blocks > k + 1] + k] for k in range(len(chain) - 1)]
+        for here, after in zip(before, chain[1:], strict=True):
+            passed = np.einsum("in,ijn->jn", into[:, here], by[:, :, here])
+            into[:, after] = passed / passed.sum(axis=0)
+        for here, after in zip(before[::-1], chain[:0:-1], strict=True):
+            passed = np.einsum("ijn,jn->in", by[:, :, after], behind[:, after])
+            behind[:, here] = passed / passed.sum(axis=0)
+    ahead = np.empty((2, len(scores)))
     for t, n in enumerate(widths):
         now = slice(at[t], at[t + 1])
         if t:
             a0, a1 = ahead[:, at[t - 1] : at[t - 1] + n]
-            f0, f1 = a0 * move[0, 0] + a1 * move[1, 0], (a0 * move[0, 1] + a1 * move[1, 1]) * odds[now]
+            f0, f1 = a0 * move[0, 0] + a1 * move[1, 0], a0 * move[0, 1] + a1 * move[1, 1]
         else:
-            f0, f1 = np.full(n, start[0]), start[1] * odds[now]
+            f0, f1 = np.einsum("in,ijn->jn", into, lead)
+        f1 = f1 * odds[now]
         total = f0 + f1
         ahead[0, now], ahead[1, now] = f0 / total, f1 / total
-    marginal, pairs = np.empty(at[-1]), np.zeros((2, 2))
+    marginal, pairs = np.empty(len(scores)), np.zeros((2, 2))
+
+    def joint(a: np.ndarray, e: list[np.ndarray]) -> np.ndarray:
+        parts = np.array([[a[i] * move[i, j] * e[j] for j in (0, 1)] for i in (0, 1)])
+        return (parts / parts.sum(axis=(0, 1))).sum(axis=2)
+
     b0 = b1 = np.empty(0)
     for t in range(len(widths) - 1, -1, -1):
         n, more = widths[t], len(b0)
         now = slice(at[t], at[t + 1])
-        c0, c1 = np.ones(n), np.ones(n)
+        c0, c1 = behind[0, :n].copy(), behind[1, :n].copy()
         if more:
-            a0, a1 = ahead[:, at[t] : at[t] + more]
-            e0, e1 = b0, b1 * odds[at[t + 1] : at[t + 1] + more]
-            joint = [a0 * move[0, 0] * e0, a0 * move[0, 1] * e1, a1 * move[1, 0] * e0, a1 * move[1, 1] * e1]
-            total = joint[0] + joint[1] + joint[2] + joint[3]
-            pairs += np.array([(j / total).sum() for j in joint]).reshape(2, 2)
-            n0, n1 = move[0, 0] * e0 + move[0, 1] * e1, move[1, 0] * e0 + move[1, 1] * e1
+            e = [b0, b1 * odds[at[t + 1] : at[t + 1] + more]]
+            pairs += joint(ahead[:, at[t] : at[t] + more], e)
+            n0, n1 = move[0, 0] * e[0] + move[0, 1] * e[1], move[1, 0] * e[0] + move[1, 1] * e[1]
             c0[:more], c1[:more] = n0 / (n0 + n1), n1 / (n0 + n1)
         p0, p1 = ahead[0, now] * c0, ahead[1, now] * c1
         marginal[now] = p1 / (p0 + p1)
         b0, b1 = c0, c1
-    return marginal, pairs
-
-
-def time_major(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For sequences laid end to end: the time-major place of every token, and the widths of the steps."""
-    rank = np.empty(len(lengths), np.int64)
-    rank[np.argsort(-lengths, kind="stable")] = np.arange(len(lengths))
-    longest = int(lengths.max(initial=0))
-    widths = len(lengths) - np.searchsorted(np.sort(lengths), np.arange(longest), side="right")
-    begin = np.cumsum(lengths) - lengths
-    step = np.arange(int(lengths.sum())) - np.repeat(begin, lengths)
-    return np.concatenate(([0], np.cumsum(widths)))[step] + np.repeat(rank, lengths), widths
+    if len(later := rank[number > 0]):
+        pairs += joint(into[:, later], [b0[later], (b1 * odds[: len(b1)])[later]])
+    return marginal[place], pairs
 
 
 @dataclass
 class Model:
     """weights: log odds by feature; move and start: potentials of the chain; head: logistic model on a document's marginals."""
 
-    weights: dict[bytes, float] = field(default_factory=dict)
+    weights: dict[str, float] = field(default_factory=dict)
     bias: float = 0.0
     move: np.ndarray = field(default_factory=lambda: np.ones((2, 2)))
     start: np.ndarray = field(default_factory=lambda: np.ones(2))
@@ -106,7 +147,7 @@ class WordScores(dict):
         super().__init__()
         self.model, self.most = model, most
 
-    def __missing__(self, word: bytes) -> float:
+    def __missing__(self, word: str) -> float:
         if len(self) >= self.most:
             self.clear()
         get = self.model.weights.get
@@ -114,15 +155,11 @@ class WordScores(dict):
         return out
 
 
-def tag(texts: list[bytes], model: Model, known: WordScores) -> tuple[np.ndarray, np.ndarray]:
+def tag(texts: pa.Array, model: Model, known: WordScores) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of all tokens, text by text, and tokens per text."""
-    words = [t.translate(WORD_BYTES).split() for t in texts]
-    lengths = np.array([len(w) for w in words], np.int64)
-    scores = np.fromiter((s for w in words for s in map(known.__getitem__, w)), np.float64, int(lengths.sum()))
-    place, widths = time_major(lengths)
-    moved = np.empty_like(scores)
-    moved[place] = scores
-    return forward_backward(moved, widths, model.move, model.start)[0][place], lengths
+    words, which, begin = words_in(of_bytes(*flat_bytes(whole(texts), WORD_BYTES)))
+    scores = np.fromiter(map(known.__getitem__, words), np.float64, len(words))[which]
+    return forward_backward(scores, np.diff(begin), model.move, model.start)[0], np.diff(begin)
 
 
 def summary(marginals: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -137,7 +174,7 @@ def summary(marginals: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(rows: list[tuple[bytes, int]], prior: float) -> Model:
+def fit(rows: list[tuple[str, int]], prior: float) -> Model:
     """From (text, toxic) rows: the head from marginals of chains that were fitted on the other half, the chain from all."""
     if len({y for _, y in rows}) < 2:
         return Model()
@@ -147,29 +184,30 @@ def fit(rows: list[tuple[bytes, int]], prior: float) -> Model:
     for own, other in (halves, halves[::-1]):
         chain = fit_chain(own)
         known, texts = WordScores(chain), [t for t, _ in other]
-        x += [summary(*tag(texts[a:b], chain, known)) for a, b in chunks_of(texts)]
+        x += [summary(*tag(pa.array(texts[a : a + 100], pa.large_string()), chain, known)) for a in range(0, len(texts), 100)]
         y += [v for _, v in other]
     model = fit_chain(rows)
     model.head = logistic(np.concatenate(x), np.array(y, float), prior)
     return model
 
 
-def fit_chain(rows: list[tuple[bytes, int]]) -> Model:
+def fit_chain(rows: list[tuple[str, int]]) -> Model:
     """Token labels from document labels by lift, then gradient ascent (each step scaled by the gradients so far) over blocks of tokens."""
     counts = {0: Counter(), 1: Counter()}
     sizes = Counter(y for _, y in rows)
-    cut = [(t.translate(WORD_BYTES).split(), y) for t, y in rows]
+    cut = [(t.encode("utf-8").translate(WORD_BYTES).decode("utf-8").split(" "), y) for t, y in rows]
+    cut = [([w for w in words if w], y) for words, y in cut]
     for words, y in cut:
         counts[y].update({f for w in set(words) for f in features_of(w)})
     least = max(LEAST_DOCS, LEAST_SHARE * sizes[1])
     lift = {f: (n / max(1, sizes[1])) / ((counts[0][f] + 0.5) / max(1, sizes[0])) for f, n in counts[1].items() if n >= least}
     marked = {f for f, x in lift.items() if x >= LIFT}
     common = {f for c in counts.values() for f in c if counts[0][f] + counts[1][f] >= LEAST_DOCS}
-    index: dict[bytes, int] = {}
+    index: dict[str, int] = {}
     token_features: list[list[int]] = []
     labels: list[bool] = []
     lengths: list[int] = []
-    seen: dict[bytes, tuple[list[int], bool]] = {}
+    seen: dict[str, tuple[list[int], bool]] = {}
     for words, y in cut:
         lengths += [min(BLOCK, len(words) - a) for a in range(0, len(words), BLOCK)]
         for w in words:
@@ -185,7 +223,6 @@ def fit_chain(rows: list[tuple[bytes, int]]) -> Model:
     flat = np.fromiter((i for x in token_features for i in x), np.int64, int(width.sum()))
     owner = np.repeat(np.arange(len(y)), width)
     size = np.array(lengths)
-    place, widths = time_major(size)
     inner = np.ones(len(y), bool)
     inner[np.cumsum(size) - size] = False
     seen_pairs = np.zeros((2, 2))
@@ -194,10 +231,8 @@ def fit_chain(rows: list[tuple[bytes, int]]) -> Model:
     weights, move, bias = np.zeros(len(index)), np.zeros((2, 2)), float(np.log(share / (1 - share)))
     slow, slow_move, slow_bias = np.full(len(index), 1e-8), np.full((2, 2), 1e-8), 1e-8
     for _ in range(STEPS):
-        moved = np.empty(len(y))
-        moved[place] = bias + np.bincount(owner, weights[flat], len(y))
-        p, pairs = forward_backward(moved, widths, np.exp(move), np.ones(2))
-        error = y - p[place]
+        p, pairs = forward_backward(bias + np.bincount(owner, weights[flat], len(y)), size, np.exp(move), np.ones(2))
+        error = y - p
         g = np.bincount(flat, error[owner], len(index)) - DECAY * weights
         gm, gb = seen_pairs - pairs, error.sum()
         slow, slow_move, slow_bias = slow + g * g, slow_move + gm * gm, slow_bias + gb * gb
@@ -222,19 +257,24 @@ def logistic(x: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learns=None) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learns=None, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """learns: a condition on the id; rows for which it fails are not learned from."""
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     marks = marks.where(learns(F.col("id"))) if learns else marks
     marks = marks.groupBy("id").agg(F.max("y").alias("y"))
+    marks = marks.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi")
     share = marks.agg(F.avg("y")).head()[0]
     if share is None:
         return Model()
     order = [F.xxhash64("id"), "id"]
     chosen = marks.where("y = 1").orderBy(*order).limit(sample_docs).unionByName(marks.where("y = 0").orderBy(*order).limit(sample_docs))
-    # at most twice sample_docs ids: fit to be broadcast
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).cast("binary").alias("text")).join(F.broadcast(chosen), "id").collect()
-    return fit([(bytes(r["text"]), r["y"]) for r in sorted(rows, key=lambda r: (r["id"] * 2654435761 % (1 << 32), r["id"], r["text"]))], float(share))
+    # at most twice sample_docs ids: fit to be broadcast, as is what is left of them below
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    sized = texts.select("id", "h", F.octet_length("text").cast("long").alias("size")).join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min(F.struct("h", "size")).alias("one"))
+    so_far = F.sum("one.size").over(Window.partitionBy("y").orderBy(*order))
+    kept = sized.withColumn("so_far", so_far).where(F.col("so_far") <= sample_bytes).select("id", "y", "one.h")
+    rows = texts.join(F.broadcast(kept), ["id", "h"]).groupBy("id", "y").agg(F.min("text").alias("text")).collect()
+    return fit([(r["text"], r["y"]) for r in sorted(rows, key=lambda r: (r["id"] * 2654435761 % (1 << 32), r["id"]))], float(share))
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
@@ -245,19 +285,14 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         known = WordScores(m)
-        for batch in batches:
-            texts = texts_of(batch, "text")
-            scores, spans = [], []
-            for a, b in chunks_of(texts):
-                s, found = judge(texts[a:b], m, known)
-                scores += s.tolist()
-                spans += found
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= cut) for s in scores], pa.int32()), pa.array(spans, spans_type)], names=["doc_id", "score", "predicted", "spans"])
+        for part in slices_of(batches):
+            scores, spans = judge(part.column(1), m, known)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array((scores >= cut).astype(np.int32)), pa.array(spans, spans_type)], names=["doc_id", "score", "predicted", "spans"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, "doc_id long, score double, predicted int, spans array<struct<start: int, end: int, marginal: double>>")
 
 
-def judge(texts: list[bytes], model: Model, known: WordScores) -> tuple[np.ndarray, list[list[dict]]]:
+def judge(texts: pa.Array, model: Model, known: WordScores) -> tuple[np.ndarray, list[list[dict]]]:
     if model.head is None:
         return np.zeros(len(texts)), [[] for _ in texts]
     marginals, lengths = tag(texts, model, known)
@@ -267,11 +302,11 @@ def judge(texts: list[bytes], model: Model, known: WordScores) -> tuple[np.ndarr
     spans: list[list[dict]] = [[] for _ in texts]
     owner = np.searchsorted(ends, bad, side="right")
     for i in np.unique(owner).tolist():
-        here = bad[owner == i]
+        here, text = bad[owner == i], texts[i].as_py().encode("utf-8")
         at = here - (ends[i] - lengths[i])
-        edge = np.diff(np.concatenate(([0], np.frombuffer(texts[i].translate(WORD_BYTES), np.uint8) != 0x20, [0])).astype(np.int8))
+        edge = np.diff(np.concatenate(([0], np.frombuffer(text.translate(WORD_BYTES), np.uint8) != 0x20, [0])).astype(np.int8))
         begin, end = np.flatnonzero(edge == 1)[at], np.flatnonzero(edge == -1)[at]
-        chars = np.concatenate(([0], np.cumsum(np.frombuffer(texts[i], np.uint8) & 0xC0 != 0x80)))
+        chars = np.concatenate(([0], np.cumsum(np.frombuffer(text, np.uint8) & 0xC0 != 0x80)))
         spans[i] = [{"start": int(s), "end": int(e), "marginal": float(p)} for s, e, p in zip(chars[begin], chars[end], marginals[here], strict=True)]
     return scores, spans
 
@@ -288,14 +323,13 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def reject_toxic(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     """The documents whose score is below cut, with all their columns as they are."""
+    at = docs.columns.index("text")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         known = WordScores(m)
-        for batch in batches:
-            texts = texts_of(batch, "text")
-            good = np.concatenate([np.empty(0, bool), *(judge(texts[a:b], m, known)[0] < cut for a, b in chunks_of(texts))])
-            yield batch.filter(pa.array(good, pa.bool_()))
+        for part in slices_of(batches):
+            yield part.filter(pa.array(judge(part.column(at), m, known)[0] < cut))
 
     return docs.mapInArrow(keep, docs.schema)
