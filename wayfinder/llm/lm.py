@@ -7,8 +7,8 @@ interpolates the pair's relative frequency with an add-one unigram estimate.
 
 The filter grows with the corpus without bound, so bits per byte of text, and the rate of false probes, stay alike at
 every size. Up to BROADCAST_FILTER_BYTES it is broadcast; a larger one stays in slices in the shared folder, and the
-distinct n-grams of blocks of documents are shuffled to the slices and their levels back. Exact word counts (for the base score) are broadcast only while the counted words fit
-VOCABULARY_WORDS; a larger vocabulary is joined by shuffle.
+distinct n-grams of blocks of documents are shuffled to the slices and their levels back. Exact word counts (for the
+base score) are broadcast only while the counted words fit VOCABULARY_WORDS; a larger vocabulary is joined by shuffle.
 
 Defined results: a null or empty text is the end token alone; repeated rows are learned from and scored each; with
 no training rows N and V are 0 and every word is unknown.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfinder.llm.common import LOWER_BYTES, chunks_of, id_text_crc, texts_of
+from wayfinder.llm.common import chunks_of, hashed_words, id_text_crc, materialize, mixed, slices_of, texts_of
 
 BROADCAST_FILTER_BYTES = 64 << 20
 VOCABULARY_WORDS = 12_000_000
@@ -40,40 +40,14 @@ MOST_LEVELS = 64
 COUNT_OF = np.array([0.0, 1.0, *(1.44 * 2.0 ** (level - 1) for level in range(2, MOST_LEVELS + 1))])
 WEIGHT = 0.7
 
-MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-END = b""
+#: Stands for the end token; no word has it but by the chance of 64 bits.
+END = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective 64-bit finaliser (splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * MIX1
-    x = (x ^ (x >> np.uint64(27))) * MIX2
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHashes(dict):
-    """64-bit hashes by word, forgotten beyond a bound."""
-
-    def __init__(self, most: int = 200_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def token_hashes(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens (words, then the end, text by text) and tokens per text."""
-    words = [t.translate(LOWER_BYTES).split() for t in texts]
-    n = np.array([len(w) + 1 for w in words], np.int64)
-    for w in words:
-        w.append(END)
-    return np.fromiter((h for w in words for h in map(hashes.__getitem__, w)), np.uint64, int(n.sum())), n
+    flat, begin = hashed_words(texts)
+    return np.insert(flat, begin[1:], END), np.diff(begin) + 1
 
 
 def pair_keys(tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +116,6 @@ def gather_counts(training: DataFrame, groups: int) -> DataFrame:
     """g, kind (0 words, 1 pairs), keys, counts: binary blocks of distinct keys, one for each task, kind and group."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
         size = 0
 
@@ -155,16 +128,14 @@ def gather_counts(training: DataFrame, groups: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([kind] * len(full), pa.int32()), pa.array([keys[cut[g] : cut[g + 1]].tobytes() for g in full], pa.binary()), pa.array([counts[cut[g] : cut[g + 1]].astype("<u4").tobytes() for g in full], pa.binary())], names=["g", "kind", "keys", "counts"])
                     parts.clear()
 
-        for batch in batches:
-            texts = texts_of(batch, "text")
-            for a, b in chunks_of(texts, CHUNK):
-                tokens, n = token_hashes(texts[a:b], hashes)
-                for kind, keys in ((0, tokens), (1, pair_keys(tokens, n)[0])):
-                    held[kind].append(np.unique(keys, return_counts=True))
-                    size += len(held[kind][-1][0])
-                if size >= HELD_KEYS:
-                    yield from flush()
-                    size = 0
+        for part in slices_of(batches, limit=CHUNK):
+            tokens, n = token_hashes(part.column(0))
+            for kind, keys in ((0, tokens), (1, pair_keys(tokens, n)[0])):
+                held[kind].append(np.unique(keys, return_counts=True))
+                size += len(held[kind][-1][0])
+            if size >= HELD_KEYS:
+                yield from flush()
+                size = 0
         yield from flush()
 
     return training.mapInArrow(scan, "g long, kind int, keys binary, counts binary")
@@ -183,8 +154,6 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 def train(training: DataFrame, broadcast_filter_bytes: int = BROADCAST_FILTER_BYTES, group_bytes: int = GROUP_BYTES) -> tuple[Filter, DataFrame]:
     """The filter, and g, keys, counts: blocks of the exact word counts (read from the shared folder). training: column text."""
-    from wayfinder.llm.common import materialize
-
     size = training.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     groups = 1 << max(2, int(size // group_bytes).bit_length())
     filter_bytes = 1 << max(16, int(size // 16).bit_length())
@@ -252,7 +221,7 @@ def score(docs: DataFrame, model: tuple[Filter, DataFrame], id_col: str = "doc_i
             pairs, context = pair_keys(tokens, size)
             seen, pair_place = np.unique(pairs, return_inverse=True)
             rough = counts_of(mixed_into(words, groups))
-            low = ((rough + 1) / (n + v + 1))[place]
+            low = np.minimum((rough + 1) / (n + v + 1), 1.0)[place]  # never over 1, however a probe reads
             of_context = rough[np.searchsorted(words, context)]
             both = np.minimum(counts_of(seen)[pair_place], of_context)
             p = np.where(of_context > 0, WEIGHT * both / np.maximum(of_context, 1) + (1 - WEIGHT) * low, low)
@@ -273,16 +242,13 @@ def score(docs: DataFrame, model: tuple[Filter, DataFrame], id_col: str = "doc_i
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = Filter(np.frombuffer(sent.value[0], np.uint8), *sent.value[1:])
-        hashes = WordHashes()
-        for batch in batches:
-            texts = texts_of(batch, "text")
-            yield measured(batch.column(0), (token_hashes(texts[a:b], hashes) for a, b in chunks_of(texts, CHUNK)), filter_.counts)
+        for part in slices_of(batches, limit=CHUNK):
+            yield measured(part.column(0), [token_hashes(part.column(1))], filter_.counts)
 
     def scan_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows by block: first the levels of its n-grams in the order of the slices, then its documents."""
-        hashes = WordHashes()
         for levels, ids, texts in whole_blocks(batches):
-            chunks = [token_hashes(texts[a:b], hashes) for a, b in chunks_of(texts, CHUNK)]
+            chunks = [token_hashes(as_strings(texts[a:b])) for a, b in chunks_of(texts, CHUNK)]
             keys = block_keys(chunks, groups)
             if len(keys) != len(levels):
                 raise ValueError(f"{len(keys)} n-grams in a block, {len(levels)} levels")
@@ -304,6 +270,10 @@ def block_keys(chunks: Iterable[tuple[np.ndarray, np.ndarray]], groups: int) ->
 BLOCK_ROW = "b long, g long, doc_id long, data binary"
 
 
+def as_strings(texts: list[bytes]) -> pa.Array:
+    return pa.array(texts, pa.large_binary()).cast(pa.large_string())
+
+
 def block_rows(b: list[int], g: list[int | None], doc_id: list[int | None], data: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(g, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(data, pa.binary())], names=["b", "g", "doc_id", "data"])
 
@@ -312,14 +282,11 @@ def in_blocks(rows: DataFrame, slices: DataFrame, lm: Filter, block_bytes: int)
     """Documents (g null, data the text) in blocks b, each block after the levels of its distinct n-grams (by slice g).
 
     Blocks are numbered and written once, then their n-grams meet the slices, which are read one at a time."""
-    from wayfinder.llm.common import materialize
-
     groups, most_levels = lm.groups, lm.levels
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        hashes = WordHashes()
         b, held, parts = TaskContext.get().partitionId() << 32, 0, []
 
         def keys_of_block() -> pa.RecordBatch:
@@ -331,7 +298,7 @@ def in_blocks(rows: DataFrame, slices: DataFrame, lm: Filter, block_bytes: int)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), texts_of(batch, "text")
             for x, y in chunks_of(texts, min(CHUNK, block_bytes)):
-                parts.append(block_keys([token_hashes(texts[x:y], hashes)], groups))
+                parts.append(block_keys([token_hashes(as_strings(texts[x:y]))], groups))
                 held += sum(map(len, texts[x:y]))
                 yield block_rows([b] * (y - x), [None] * (y - x), ids[x:y], texts[x:y])
                 if held >= block_bytes:
@@ -381,8 +348,6 @@ def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
 
 
 def materialize_scored(found: DataFrame) -> DataFrame:
-    from wayfinder.llm.common import materialize
-
     return materialize(found.withColumn("row", F.monotonically_increasing_id()), "scored")
 
 
