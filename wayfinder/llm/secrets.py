@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfinder.llm.common import LOWER_BYTES, chunks_of, texts_of
+from wayfinder.llm.common import LOWER_BYTES, chunks_of, slices_of, texts_of
 
 
 @dataclass(frozen=True)
@@ -196,7 +196,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
-        for batch in batches:
+        for batch in slices_of(batches):
             texts = texts_of(batch, "text")
             found = scanner.scan(texts)
             spans = [[{"kind": rules[k].kind, "start": s, "end": e} for s, k, e, *_ in found.get(i, ())] for i in range(len(texts))]
@@ -228,7 +228,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[redac
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
-        for batch in batches:
+        for batch in slices_of(batches):
             texts = texts_of(batch, "text")
             cols = list(batch.columns)
             if found := scanner.scan(texts):
