@@ -232,7 +232,11 @@ def test_decontamination(spark, sf_dir, odd, docs, texts):
     for frame, rows in both(docs, odd, texts):
         want = list(brute_contamination(rows, items))
         same([tuple(r[:6]) for r in decontamination.decontaminate(frame, bench).collect()], want)
-        same([tuple(r[:6]) for r in decontamination.decontaminate(frame, bench, automaton_bytes=2000).collect()], want)  # several rounds
+        same([tuple(r[:6]) for r in decontamination.decontaminate(frame, bench, automaton_words=400).collect()], want)  # several rounds, some items in two
+    clash = odd.selectExpr("*", "'m' as __hit_mask", "'i' as __hit_items", "'t' as item_id")
+    kept = decontamination.drop_contaminated(clash, bench, automaton_words=400)
+    assert kept.columns == clash.columns
+    same([r["doc_id"] for r in kept.collect()], [w[0] for w in brute_contamination([(i, t) for i, t, _ in ODD], items) if not w[5]])
     spans = {r["doc_id"]: r["spans"] for r in decontamination.decontaminate(odd, bench).collect()}
     assert [ODD[5][1][s["start"] : s["end"]] for s in spans[5]] == ["two three"]
     assert {r["n_hit"] for r in decontamination.decontaminate(odd, bench.limit(0)).collect()} == {0}

@@ -2,7 +2,8 @@
 
 Every window of ``window`` consecutive item words (an item of fewer words, but not none, is one window) becomes a
 pattern; each document is normalised once, scanned once, and the words inside any occurrence are hit. Spans are mapped
-back to character offsets of the original text.
+back to character offsets of the original text. A word of the benchmark is written as a few digits from alphabets of
+their own, so that the automaton has few nodes and matches begin and end with words.
 
 Defined results: a null text has no words, is never contaminated and has no items; null or empty items give no
 patterns; repeated items count once; repeated documents each get a row; an empty benchmark hits nothing.
@@ -12,40 +13,82 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfinder.llm.common import WORD_BYTES, materialize, texts_of
+from wayfinder.llm.common import WORD_BYTES, flat_bytes, materialize, of_bytes, slices_of, whole, words_in
 
 WINDOW = 13
-#: UTF-8 bytes of benchmark text in one automaton; more items are scanned in several rounds of this size.
-AUTOMATON_BYTES = 8_000_000
+#: Benchmark words in one automaton, which begin as many windows of some 26 nodes at most (50 bytes each); more are scanned in several rounds.
+AUTOMATON_WORDS = 120_000
+#: Letters of each digit's alphabet.
+BASE = 256
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start: int, end: int>>"
 
 
-def item_windows(text: bytes, window: int) -> set[bytes]:
-    words = text.translate(WORD_BYTES).split()
-    return {b" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1))} if words else set()
-
-
-def build_automaton(items: list[tuple[str, bytes]], window: int):
-    """Patterns hold blanks at both ends; latin-1 keeps one character for each byte."""
-    import ahocorasick
-
-    owners: dict[bytes, list[str]] = {}
-    for item, text in items:
-        for w in item_windows(text, window):
-            owners.setdefault(w, []).append(item)
-    automaton = ahocorasick.Automaton()
-    for w, who in owners.items():
-        automaton.add_word(f" {w.decode('latin-1')} ", (len(w), w.count(b" ") + 1, tuple(who)))
-    if owners:
-        automaton.make_automaton()
-    return automaton if owners else None
+def normal_words(text: str) -> list[str]:
+    return [w for w in text.encode("utf-8").translate(WORD_BYTES).decode("utf-8").split(" ") if w]
+
+
+class Matcher:
+    """The automaton of (item, words) pairs."""
+
+    def __init__(self, items: list[tuple[str, list[str]]], window: int):
+        import ahocorasick
+
+        self.number = {w: i for i, w in enumerate(dict.fromkeys(w for _, words in items for w in words))}
+        self.width = 2 if len(self.number) <= BASE**2 else 3
+        owners: dict[str, tuple[int, set[str]]] = {}
+        for item, words in items:
+            line = self.written(np.array([self.number[w] for w in words], np.int64))
+            for i in range(max(1, len(words) - window + 1) if words else 0):
+                n = min(window, len(words))
+                owners.setdefault(line[i * self.width : (i + n) * self.width], (n, set()))[1].add(item)
+        self.automaton = ahocorasick.Automaton()
+        for pattern, (n, who) in owners.items():
+            self.automaton.add_word(pattern, (n, tuple(sorted(who))))
+        if owners:
+            self.automaton.make_automaton()
+        self.empty = not owners
+
+    def written(self, numbers: np.ndarray) -> str:
+        """Digits of words, each from the alphabet of its place; -1 (a word that no item has) is a letter of none."""
+        digits = [np.where(numbers < 0, BASE * self.width, numbers // BASE**k % BASE + BASE * k) for k in range(self.width)]
+        return np.stack(digits, axis=1).astype("<u2").tobytes().decode("utf-16-le")
+
+    def scan(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray | None, set[str]]]:
+        """Number of words, mask of hit words (None: none) and the items found, by text."""
+        words, which, begin = words_in(of_bytes(*flat_bytes(whole(texts), WORD_BYTES)))
+        get = self.number.get
+        numbers = np.array([get(w, -1) for w in words], np.int64)[which] if len(words) else np.empty(0, np.int64)
+        line, known = self.written(numbers), np.concatenate(([0], np.cumsum(numbers >= 0)))
+        for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+            mask, found = None, set()
+            if not self.empty and known[b] > known[a]:
+                for end, (n, who) in self.automaton.iter(line[a * self.width : b * self.width]):
+                    if mask is None:
+                        mask = np.zeros(b - a, bool)
+                    last = end // self.width + 1
+                    mask[last - n : last] = True
+                    found.update(who)
+            yield b - a, mask, found
+
+
+_matchers: dict[str, Matcher] = {}
+
+
+def matcher(name: str, sent: Broadcast, window: int) -> Matcher:
+    """One automaton for each Python worker, kept from task to task."""
+    if name not in _matchers:
+        _matchers.clear()
+        _matchers[name] = Matcher(sent.value, window)
+    return _matchers[name]
 
 
 def original_spans(text: bytes, mask: np.ndarray) -> list[dict]:
@@ -58,102 +101,97 @@ def original_spans(text: bytes, mask: np.ndarray) -> list[dict]:
     return [{"start": int(chars[begins[a]] - 1), "end": int(chars[ends[b - 1] - 1])} for a, b in zip(np.flatnonzero(runs == 1), np.flatnonzero(runs == -1), strict=True)]
 
 
-def scan_text(text: bytes, automaton) -> tuple[int, np.ndarray | None, set[str]]:
-    """Number of words, mask of hit words (None: none) and the items found."""
-    words = text.translate(WORD_BYTES).split()
-    mask, found = None, set()
-    if words and automaton is not None:
-        line = f" {b' '.join(words).decode('latin-1')} "
-        for end, (n_chars, n_words, who) in automaton.iter(line):
-            if mask is None:
-                mask, starts = np.zeros(len(words), bool), np.cumsum([1, *(len(w) + 1 for w in words[:-1])])
-            at = int(np.searchsorted(starts, end - n_chars))
-            mask[at : at + n_words] = True
-            found.update(who)
-    return len(words), mask, found
-
-
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", SPANS)])
-#: Columns that carry what earlier rounds found.
-MASK, ITEMS = "__hit_mask", "__hit_items"
+NAMES = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
 
 
-def benchmark_rounds(benchmark: DataFrame, item_cols: tuple[str, ...], most_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """Distinct (item, text) in parts of about most_bytes, one at least; streamed, not collected at once."""
-    rounds: list[list[tuple[str, bytes]]] = [[]]
+def rounds_of(benchmark: DataFrame, item_cols: tuple[str, ...], window: int, most_words: int) -> Iterator[list[tuple[str, list[str]]]]:
+    """Distinct (item, words) in parts of about most_words, one part at least; longer items are cut where windows overlap. Read as they are asked for."""
+    part: list[tuple[str, list[str]]] = []
     held = 0
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.explode(F.array(*item_cols)).alias("text")).where("item is not null and text is not null").distinct()
     for row in items.toLocalIterator():
-        text = row["text"].encode("utf-8")
-        if held and held + len(text) > most_bytes:
-            rounds.append([])
-            held = 0
-        rounds[-1].append((row["item"], text))
-        held += len(text)
-    return rounds
-
-
-def _scan_all(docs: DataFrame, rounds: list, window: int) -> DataFrame:
-    """All rounds but the last: the documents with the columns MASK and ITEMS. A text is scanned once for each automaton."""
-    state = docs.withColumns({MASK: F.lit(None).cast("binary"), ITEMS: F.lit(None).cast("array<string>")})
-    for part in rounds[:-1]:
-        sent = docs.sparkSession.sparkContext.broadcast(part)
-        state = materialize(state.mapInArrow(lambda b, sent=sent: _round(b, sent.value, window), state.schema), "decontamination")
-    return state
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_cols: tuple[str, ...] = ("text",), id_col: str = "doc_id", text_col: str = "text", share: int = 20, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+        words = normal_words(row["text"])
+        for a in range(0, max(1, len(words) - window + 1), most_words):
+            piece = words[a : a + most_words + window - 1]
+            if part and held + len(piece) > most_words:
+                yield part
+                part, held = [], 0
+            part.append((row["item"], piece))
+            held += len(piece)
+    yield part
+
+
+def scan_all(docs: DataFrame, benchmark: DataFrame, window: int, item_cols: tuple[str, ...], text_col: str, automaton_words: int):
+    """The documents after all parts of the benchmark but the last (a written table if there are several), the names of two
+    columns with what these found, and a function for tasks that adds the last part."""
+    tag = uuid4().hex
+    own = mask_col, items_col = f"__mask_{tag}", f"__items_{tag}"  # they clash with no column
+    state = docs.withColumns({mask_col: F.lit(None).cast("binary"), items_col: F.lit(None).cast("array<string>")})
+
+    def scanner(items: list):
+        name, sent = uuid4().hex, docs.sparkSession.sparkContext.broadcast(items)
+
+        def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+            """Slices with words, hit mask (None: no hit) and items of each row, with what earlier parts found."""
+            match = matcher(name, sent, window)
+            for part in slices_of(batches, text_col):
+                text, mask, had = (part.column(part.schema.get_field_index(c)) for c in (text_col, *own))
+                out = []
+                for (n, hit, found), before, more in zip(match.scan(text), mask.to_pylist(), had.to_pylist(), strict=True):
+                    if before is not None:
+                        old = np.unpackbits(np.frombuffer(before, np.uint8), count=n).astype(bool)
+                        hit = old if hit is None else hit | old
+                    out.append((n, hit, found.union(more or ())))
+                yield part, out
+
+        return scanned
+
+    last = None
+    for items in rounds_of(benchmark, item_cols, window, automaton_words):
+        if last is not None:
+
+            def go(batches: Iterator[pa.RecordBatch], scanned=last) -> Iterator[pa.RecordBatch]:
+                for part, rows in scanned(batches):
+                    found = [pa.array([None if m is None else np.packbits(m).tobytes() for _, m, _ in rows], pa.binary()), pa.array([sorted(f) for *_, f in rows], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays([*part.drop_columns(list(own)).columns, *found], names=part.schema.names)
+
+            state = materialize(state.mapInArrow(go, state.schema), "decontamination")
+        last = scanner(items)
+    return state, own, last
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_cols: tuple[str, ...] = ("text",), id_col: str = "doc_id", text_col: str = "text", share: int = 20, automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
     """One row per document; contaminated means n_hit > 0 and share * n_hit >= n_words.
 
-    The questions and answers in ``item_cols`` make one automaton of at most ``automaton_bytes`` of text, the bound of
-    what is broadcast. A larger benchmark takes several rounds, each of which scans the written state of the one before,
-    so that every pattern meets every document and no worker holds more than one automaton.
+    The questions and answers in ``item_cols`` make one automaton of at most ``automaton_words`` words, the bound of what
+    is broadcast. A larger benchmark takes several rounds, each of which scans the written state of the one before, so
+    that every pattern meets every document and no worker holds more than one automaton.
     """
-    rounds = benchmark_rounds(benchmark, item_cols, automaton_bytes)
-    rows = _scan_all(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), rounds, window)
-    sent = docs.sparkSession.sparkContext.broadcast(rounds[-1])
-    return rows.mapInArrow(lambda b: _verdicts(b, sent.value, window, share), SCHEMA)
+    rows, _, scanned = scan_all(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), benchmark, window, item_cols, "text", automaton_words)
+
+    def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in scanned(batches):
+            hits = [0 if mask is None else int(mask.sum()) for _, mask, _ in found]
+            texts = part.column(1)
+            cols = [
+                part.column(0), pa.array([n for n, *_ in found], pa.int64()), pa.array(hits, pa.int64()), pa.array([len(who) for *_, who in found], pa.int64()),
+                pa.array([hashlib.sha256(",".join(sorted(who)).encode()).hexdigest() for *_, who in found], pa.string()),
+                pa.array([hit > 0 and share * hit >= n for hit, (n, *_) in zip(hits, found, strict=True)], pa.bool_()),
+                pa.array([original_spans(texts[i].as_py().encode("utf-8"), mask) if mask is not None else [] for i, (_, mask, _) in enumerate(found)], SPANS),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names=NAMES)
 
+    return rows.mapInArrow(verdicts, SCHEMA)
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_cols: tuple[str, ...] = ("text",), share: int = 20, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_cols: tuple[str, ...] = ("text",), share: int = 20, automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
     """The documents that are not contaminated, with all their columns as they are."""
-    rounds = benchmark_rounds(benchmark, item_cols, automaton_bytes)
-    rows = _scan_all(docs, rounds, window)
-    sent = docs.sparkSession.sparkContext.broadcast(rounds[-1])
+    rows, own, scanned = scan_all(docs, benchmark, window, item_cols, "text", automaton_words)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = build_automaton(sent.value, window)
-        for batch in batches:
-            clean = [mask is None or share * int(mask.sum()) < n for _, n, mask, _ in _scanned(batch, automaton)]
-            yield batch.drop_columns([MASK, ITEMS]).filter(pa.array(clean, pa.bool_()))
+        for part, found in scanned(batches):
+            clean = [mask is None or share * int(mask.sum()) < n for n, mask, _ in found]
+            yield part.drop_columns(list(own)).filter(pa.array(clean, pa.bool_()))
 
     return rows.mapInArrow(keep, docs.schema)
-
-
-def _scanned(batch: pa.RecordBatch, automaton) -> Iterator[tuple[bytes, int, np.ndarray | None, set[str]]]:
-    """Text, words, hit mask (None: no hit) and items of each row, with what earlier rounds found."""
-    for text, mask, items in zip(texts_of(batch, "text"), batch.column(MASK).to_pylist(), batch.column(ITEMS).to_pylist(), strict=True):
-        n, hit, found = scan_text(text, automaton)
-        if mask is not None:
-            before = np.unpackbits(np.frombuffer(mask, np.uint8), count=n).astype(bool)
-            hit = before if hit is None else hit | before
-        yield text, n, hit, found.union(items or ())
-
-
-def _round(batches: Iterator[pa.RecordBatch], items: list, window: int) -> Iterator[pa.RecordBatch]:
-    automaton = build_automaton(items, window)
-    for batch in batches:
-        rows = list(_scanned(batch, automaton))
-        found = [pa.array([None if m is None else np.packbits(m).tobytes() for _, _, m, _ in rows], pa.binary()), pa.array([sorted(f) for *_, f in rows], pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays([*batch.drop_columns([MASK, ITEMS]).columns, *found], names=batch.schema.names)
-
-
-def _verdicts(batches: Iterator[pa.RecordBatch], items: list, window: int, share: int) -> Iterator[pa.RecordBatch]:
-    automaton = build_automaton(items, window)
-    for batch in batches:
-        out = []
-        for doc, (text, n, mask, found) in zip(batch.column("doc_id").to_pylist(), _scanned(batch, automaton), strict=True):
-            hit = 0 if mask is None else int(mask.sum())
-            out.append({"doc_id": doc, "n_words": n, "n_hit": hit, "n_items": len(found), "items_sha256": hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), "contaminated": hit > 0 and share * hit >= n, "spans": original_spans(text, mask) if hit else []})
-        yield pa.RecordBatch.from_pylist(out, schema=OUT)
