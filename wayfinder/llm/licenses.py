@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfinder.llm.common import NON_WORD, ascii_lower
+from wayfinder.llm.common import NON_WORD, ascii_lower, materialize
 
 #: The base phrases and their labels.
 BASE_PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -67,6 +67,7 @@ def scan_licenses(docs: DataFrame, base=BASE_PHRASES, notices=NOTICES, id_col: s
     rolling = placed.select("doc_id", "text_hash", "i", "w1", two.alias("w2"), three.alias("w3"), F.xxhash64("w1", two).alias("h"))
     same = (rolling["h"] == grams["h"]) & (F.col("w1") == F.col("t1")) & (F.col("w2") == F.col("t2")) & (F.col("t3").isNull() | (F.col("w3") == F.col("t3")))
     votes = rolling.join(F.broadcast(grams), same).groupBy("doc_id", "text_hash", "template", "label", "t_words", "t_grams", (F.col("i") - F.col("pos")).alias("diagonal")).agg(F.collect_set("pos").alias("places"))
+    votes = materialize(votes, "votes")  # read twice below; texts are cut into words and joined once
 
     exact = votes.where("template like 'b%' and size(places) = t_grams")
     by_place = Window.partitionBy("doc_id", "text_hash", "template").orderBy(F.col("diagonal") + F.array_min("places"), "diagonal")
