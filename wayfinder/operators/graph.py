@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfinder.llm.common import BROADCAST_ROWS, materialize
 from wayfinder.schema import EDGE_KINDS
+from wayfinder.shared import BROADCAST_ROWS, materialize
 
 # Which edges make the explorer's tree: relation, kinds of parent, kind of child, priority.
 TREE = (("contains", ("repo",), "component", 60), ("documented_by", ("repo", "component"), "doc", 55), ("contains", ("component",), "source_unit", 50), ("defines", ("source_unit",), "symbol", 40), ("tested_by", ("source_unit",), "test", 39), ("benchmarked_by", ("source_unit",), "bench", 38))
