@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfinder.llm import decontamination, ngram_join, packing, secrets, toxicity
-from wayfinder.llm.common import materialize
 from wayfinder.llm.queries import TOKENIZER, table
+from wayfinder.shared import materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

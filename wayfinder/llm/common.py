@@ -1,19 +1,18 @@
-"""Shared pieces of the training-data operators: the shared folder, word rules and checked joins."""
+"""Shared pieces of the training-data operators: word rules, slices of texts and checked joins."""
 
 from __future__ import annotations
 
-import re
 import string
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfinder.shared import BROADCAST_ROWS
+
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 #: Separators of alphanumeric words (ASCII other than digits and lower-case letters, after lower-casing).
@@ -27,39 +26,11 @@ WORD_BYTES = bytes(
 #: A-Z become a-z, all else stays; bytes.split() then cuts at \x20 and \x09-\x0D.
 LOWER_BYTES = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
-#: Rows of an id list that may be broadcast (8 bytes each); longer lists are shuffled.
-BROADCAST_ROWS = 1_000_000
-
 
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none, a local master gets a temporary one and a cluster is refused."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if kept.isDefined():
-            return kept.get()
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there and lost executors cost nothing."""
-    path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def semi_join_checked(df: DataFrame, ids: DataFrame, key: str, rows: int) -> DataFrame:
     """Rows of df whose key is in ids; ids are broadcast only if their counted rows fit the bound."""
     ids = ids.select(key)

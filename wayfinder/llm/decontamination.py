@@ -21,7 +21,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfinder.llm.common import WORD_BYTES, flat_bytes, materialize, of_bytes, slices_of, whole, words_in
+from wayfinder.llm.common import WORD_BYTES, flat_bytes, of_bytes, slices_of, whole, words_in
+from wayfinder.shared import materialize
 
 WINDOW = 13
 #: Benchmark words in one automaton, which begin as many windows of some 26 nodes at most (50 bytes each); more are scanned in several rounds.

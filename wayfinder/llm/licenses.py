@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfinder.llm.common import NON_WORD, ascii_lower, materialize
+from wayfinder.llm.common import NON_WORD, ascii_lower
+from wayfinder.shared import materialize
 
 #: The base phrases and their labels.
 BASE_PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))

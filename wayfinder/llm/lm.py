@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfinder.llm.common import chunks_of, hashed_words, id_text_crc, materialize, mixed, slices_of, texts_of
+from wayfinder.llm.common import chunks_of, hashed_words, id_text_crc, mixed, slices_of, texts_of
+from wayfinder.shared import materialize
 
 BROADCAST_FILTER_BYTES = 64 << 20
 VOCABULARY_WORDS = 12_000_000

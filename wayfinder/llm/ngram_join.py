@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfinder.llm.common import BROADCAST_ROWS, hashed_words, materialize, mixed, semi_join_checked, slices_of
+from wayfinder.llm.common import hashed_words, mixed, semi_join_checked, slices_of
+from wayfinder.shared import BROADCAST_ROWS, materialize
 
 N, PERCENT = 5, 80
 #: Counters of the frequency sketch that orders shingles: 2 MB for each task and in all, whatever the input.

@@ -20,8 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfinder.llm.common import materialize, slices_of
+from wayfinder.llm.common import slices_of
 from wayfinder.llm.tokens import encoder, squeeze, unsqueeze
+from wayfinder.shared import materialize
 
 SEQUENCE = 4096
 DIMENSIONS, BITS, FEATURES, SEED = 4, 8, 1024, 7

@@ -23,8 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfinder.llm.common import fresh_path, materialize, slices_of
+from wayfinder.llm.common import slices_of
 from wayfinder.llm.tokens import encoder, squeeze, unsqueeze
+from wayfinder.shared import fresh_path, materialize
 
 MAGIC = b"RVB1"
 #: Ids in one shard at least, before the next begins.

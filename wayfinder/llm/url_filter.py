@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfinder.llm.common import BROADCAST_ROWS, ascii_lower, materialize
+from wayfinder.llm.common import ascii_lower
+from wayfinder.shared import BROADCAST_ROWS, materialize
 
 #: Host, path, verdict.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
