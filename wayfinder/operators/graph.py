@@ -56,6 +56,14 @@ def traverse(entities: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth:
     return spark.createDataFrame(found, schema)
 
 
+def drawing_seeds(entities: DataFrame, start: str | None = None) -> DataFrame:
+    """id, ord: where a drawing begins: the given entity, or the repository, or, without one, every entity."""
+    if start is not None:
+        return entities.sparkSession.createDataFrame([(start, 0)], "id string, ord int")
+    repo = entities.where("id = 'repo::.'")
+    return (entities if repo.isEmpty() else repo).select("id", F.lit(0).alias("ord"))
+
+
 def depths(entities: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """id, depth of all entities within max_depth edges of seeds (id), without a bound on their number.
 

@@ -48,15 +48,29 @@ def apply_changes(m: Model, changes: DataFrame, facts: Model) -> Model:
 
 
 def component_profile(entities: DataFrame) -> DataFrame:
-    """Per component: symbols, tests, benches, sorted source and document paths."""
-    paths = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("path"))))
+    """Per component: symbols, tests, benches, sorted source and document paths (names where there is no path)."""
+    paths = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.coalesce("path", "name"))))
     return entities.where("component_id is not null").groupBy("component_id").agg(
         *(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("symbol", "test", "bench")), paths("source_unit").alias("sources"), paths("doc").alias("docs")
     )
 
 
-def repo_profile(entities: DataFrame, kinds: tuple[str, ...] = ("component", "source_unit", "symbol", "test", "bench", "doc", "task")) -> DataFrame:
-    return entities.agg(*(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds), F.array_sort(F.collect_list(F.when(F.col("kind") == "component", F.col("name")))).alias("components"))
+def repo_profile(entities: DataFrame, kinds: tuple[str, ...] = ("component", "source_unit", "symbol", "test", "bench", "doc", "task", "feature"), listed: int = 11) -> DataFrame:
+    """One row: entities by kind, and the first names of components and paths of documents (``listed`` at most, in order)."""
+
+    def first(kind: str, name: str, value: Column) -> DataFrame:
+        top = entities.where(F.col("kind") == kind).select(value.alias("v")).orderBy("v").limit(listed)
+        return top.agg(F.array_sort(F.collect_list("v")).alias(name))
+
+    counts = entities.agg(*(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds))
+    rows = counts.unionByName(first("component", "components", F.col("name")), True).unionByName(first("doc", "docs", F.coalesce("path", "name")), True)
+    return rows.agg(*(F.max(f"n_{k}").alias(f"n_{k}") for k in kinds), *(F.first(c, True).alias(c) for c in ("components", "docs")))
+
+
+def related_names(entities: DataFrame, edges: DataFrame, rel: str) -> DataFrame:
+    """src_id, names: distinct names of the existing entities that edges of the relation lead to, in order."""
+    to = edges.where(F.col("rel") == rel).join(entities.select(F.col("id").alias("dst_id"), "name"), "dst_id")
+    return to.groupBy("src_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
 
 
 def work_batches(work: DataFrame, order: Column, size: int, partition: str = "component_id") -> DataFrame:

@@ -49,6 +49,28 @@ def routes_where(routes: DataFrame, task: str | None = None, entity: str | None
     return routes.where(F.col("task_name") == task) if task is not None else routes.where(F.col("entity_id") == entity)
 
 
+def file_at(files: DataFrame, path: str) -> DataFrame:
+    return files.where(F.col("path") == path)
+
+
+def vector_meta(embeddings: DataFrame, entity: str | None = None, key: Column | None = None, value: int | None = None) -> DataFrame:
+    """What is known of vectors besides the vector: of an entity, or of those whose key has the value."""
+    if (entity is None) == (key is None or value is None):
+        raise ValueError("give an entity, or a key and its value")
+    fits = F.col("entity_id") == entity if entity is not None else key == value
+    return embeddings.where(fits).select("entity_id", "model", "dimensions", "updated_at")
+
+
+def editor_links(entities: DataFrame, root: str, template: str) -> DataFrame:
+    """id, link: the template with {abs_path}, {repo_path}, {line}, {column} and {entity_id} filled in."""
+    path = F.coalesce("path", F.lit("."))
+    whole = F.when(path == ".", F.lit(root)).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
+    link = F.lit(template)
+    for name, value in (("{abs_path}", whole), ("{repo_path}", path), ("{line}", F.coalesce("line_start", F.lit(1)).cast("string")), ("{column}", F.lit("1")), ("{entity_id}", F.col("id"))):
+        link = F.replace(link, F.lit(name), value)
+    return entities.select("id", link.alias("link"))
+
+
 def entity_view(m: Model, entity_id: str) -> dict[str, DataFrame]:
     """All about one entity."""
     return {

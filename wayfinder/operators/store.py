@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -77,14 +78,27 @@ def save(m: Model, root: str) -> str:
     version = uuid.uuid4().hex
     for name, df in m.tables().items():
         df.write.parquet(f"{root}/versions/{version}/{name}")
-    pointer = spark.createDataFrame([(version, SCHEMA_VERSION)], "version string, schema_version int").withColumn("at", F.current_timestamp())
-    pointer.coalesce(1).write.mode("append").parquet(f"{root}/current")
+    published = [r[0] for r in _pointers(spark, root).agg(F.max("number")).collect()]
+    number = (published[0] or 0) + 1  # rises, whatever the clocks of two writers say
+    spark.createDataFrame([(version, SCHEMA_VERSION, number)], POINTER).coalesce(1).write.mode("append").parquet(f"{root}/current")
     return version
 
 
+POINTER = "version string, schema_version int, number long"
+
+
+def _pointers(spark: SparkSession, root: str) -> DataFrame:
+    try:
+        return spark.read.schema(POINTER).parquet(f"{root}/current")
+    except AnalysisException:  # nothing is published yet
+        return spark.createDataFrame([], POINTER)
+
+
 def load(spark: SparkSession, root: str) -> Model:
-    """The version that was published last; an error for another schema version."""
-    last = spark.read.parquet(f"{root}/current").orderBy(F.desc("at")).head()
+    """The version that was published last (of two published at once the larger name); an error for another schema version or for none."""
+    last = _pointers(spark, root).orderBy(F.desc("number"), F.desc("version")).head()
+    if last is None:
+        raise FileNotFoundError(f"no model is published in {root}")
     if last["schema_version"] != SCHEMA_VERSION:
         raise ValueError(f"schema version {last['schema_version']} can't be read")
     return Model(**{name: spark.read.schema(ddl.replace(" NOT NULL", "")).parquet(f"{root}/versions/{last['version']}/{name}") for name, ddl in TABLES.items()})

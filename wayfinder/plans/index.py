@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfinder.operators.incremental import apply_changes, classify_files
+from wayfinder.config import Config
+from wayfinder.operators.incremental import apply_changes, classify_files, stale_embeddings
 from wayfinder.operators.routes import task_routes
-from wayfinder.operators.store import last_wins
+from wayfinder.operators.store import check_dimensions, last_wins, upsert_table
+from wayfinder.plans.models import Provider, embed_rows
+from wayfinder.plans.summarise import stale_work, summarise
 from wayfinder.schema import Model
+from wayfinder.shared import materialize
 from wayfinder.sources.manifests import assign_owners, manifest_facts, read_manifests, registry
 from wayfinder.sources.rust import extract_rust
 from wayfinder.sources.scan import document_facts, file_kind, scan_tree, scanned_facts, site_facts
@@ -22,8 +28,12 @@ def whole_entity(df: DataFrame) -> DataFrame:
 
 def extract(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> Model:
     """All facts of a tree, as one lazy plan."""
-    tree = scan_tree(spark, root, exclude)
-    manifests = read_manifests(tree)
+    return facts_of(scan_tree(spark, root, exclude))
+
+
+def facts_of(tree: DataFrame) -> Model:
+    """All facts of files (path, hash, content)."""
+    spark, manifests = tree.sparkSession, read_manifests(tree)
     components = registry(manifests)
     owned = assign_owners(tree, components)
     parts = [manifest_facts(manifests, components), extract_rust(owned), document_facts(owned), scanned_facts(owned), site_facts(owned)]
@@ -42,3 +52,25 @@ def reindex(m: Model, root: str, exclude: tuple[str, ...] = ()) -> tuple[Model,
     facts = extract(m.files.sparkSession, root, exclude)
     changes = classify_files(facts.files, m.files)
     return apply_changes(m, changes, facts), changes
+
+
+def text_contents(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """path, content: the texts that summaries are made of; bytes that are not UTF-8 are replaced."""
+    return scan_tree(spark, root, exclude).select("path", F.decode("content", F.lit("UTF-8")).alias("content"))
+
+
+def index(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), stored: Model | None = None, config: Config | None = None, summaries: Callable[[], Provider] | None = None, vectors: Callable[[], Provider] | None = None, force: bool = False) -> Model:
+    """The whole run: facts (of changed files only where a stored model is given and the run isn't forced), then summaries of
+    entities that have none or one of another source, then vectors of summaries that have none of the configured model."""
+    c = config or Config()
+    m = extract(spark, root, exclude) if stored is None or force else reindex(stored, root, exclude)[0]
+    if summaries is not None:
+        work = stale_work(m, text_contents(spark, root, exclude), c.summary.exported_only)
+        made = materialize(summarise(work, summaries, c.summary), "summaries")  # models are asked once
+        m = m.with_tables(embeddings=m.embeddings.join(made.select("entity_id"), "entity_id", "left_anti"))
+        m = upsert_table(m, "summaries", made)
+    if vectors is not None:
+        due = stale_embeddings(m.summaries, m.entities, m.embeddings, c.embedding.model)
+        made = materialize(embed_rows(due, vectors, c.embedding.model, c.embedding.dimensions, c.embedding.batch_size), "vectors")
+        m = upsert_table(m, "embeddings", check_dimensions(made, c.embedding.dimensions))
+    return m

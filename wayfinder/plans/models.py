@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import math
@@ -95,15 +96,58 @@ class HttpProvider:
 
 
 def tolerant_json(text: str) -> dict | None:
-    """The first JSON object in a reply: whole, in a code fence, amid prose, or, for a cut-off one, its string fields."""
+    """The first JSON object in a reply: whole, in a code fence, amid prose, with ) for the last }, or cut off."""
     for start in (m.start() for m in re.finditer(r"\{", text)):
         try:
             found, _ = json.JSONDecoder().raw_decode(text[start:])
             return found
         except ValueError:
-            continue
-    fields = dict(re.findall(r'"(\w+)"\s*:\s*"((?:[^"\\]|\\.)*)"', text))
-    return fields or None
+            pass
+        for candidate in mended(text[start:]):
+            try:
+                return json.loads(candidate)
+            except ValueError:
+                continue
+    return None
+
+
+def mended(text: str) -> Iterator[str]:
+    """A cut-off object closed after what it holds, then after ever less of it, back to its last whole values."""
+    text = text.strip().removesuffix("```").strip()
+    if text.endswith(")"):
+        text = text[:-1] + "}"
+    open_, inside, escaped, ends = [], False, False, []
+    for i, c in enumerate(text):
+        if inside:
+            inside, escaped = escaped or c != '"', c == "\\" and not escaped
+            if not inside:
+                ends.append((i + 1, "".join(open_)))
+        elif c == '"':
+            inside = True
+        elif c in "{[":
+            open_.append("}" if c == "{" else "]")
+        elif c in "}]":
+            if not open_:
+                break
+            open_.pop()
+            ends.append((i + 1, "".join(open_)))
+        elif c.isdigit() or c in "el":  # numbers, true, false, null
+            ends.append((i + 1, "".join(open_)))
+    yield text + ('"' if inside else "") + "".join(reversed(open_))
+    for end, closing in reversed(ends):
+        yield text[:end] + closing[::-1]
+
+
+def make_provider(config, name: str, model: str, key: str = "") -> Callable[[], Provider] | None:
+    """What makes the configured provider in a task; None for no name, 'offline' for the stand-in."""
+    if not name:
+        return None
+    if name == "offline":
+        return functools.partial(OfflineProvider, config.embedding.dimensions)
+    if name not in config.providers:
+        raise ValueError(f"no provider is called {name!r}")
+    given = config.providers[name]
+    return functools.partial(HttpProvider, given["base_url"], model or config.summary.model, config.embedding.model, key or given.get("api_key", ""), float(given.get("timeout_secs", 60)), config.summary.temperature)
 
 
 def embedding_text() -> Column:

@@ -197,8 +197,8 @@ def candidates_for(m: Model, query: str, category: str, query_vector: list[float
     return m.entities.join(found, "id").withColumn("is_context", F.lit(False))
 
 
-def ranked_entries(m: Model, query: str, category: str | None = None, query_vector: list[float] | None = None, limit: int | None = None, search: Search | None = None, expansion: bool = True) -> DataFrame:
-    """All candidates and their neighbours in order: rank, entity columns, signals, score, breakdown, reasons."""
+def ranked_entries(m: Model, query: str, category: str | None = None, query_vector: list[float] | None = None, limit: int | None = None, search: Search | None = None, expansion: bool = True, keep: int | None = None) -> DataFrame:
+    """Candidates and their neighbours in order, the first ``keep`` of them (limit by default): rank, entity columns, signals, score, breakdown, reasons."""
     s = search or Search()
     limit, category = limit or s.default_limit, category or classify(query)
     first = scored(candidates_for(m, query, category, query_vector, max(s.default_limit, 15) * 3), category, s.rerank_weights)
@@ -207,20 +207,20 @@ def ranked_entries(m: Model, query: str, category: str | None = None, query_vect
         context = m.entities.join(F.broadcast(more), "id").withColumn("is_context", F.lit(True))
         blank = context.withColumns({c: F.lit(None).cast("double") for c in SIGNALS})
         first = first.unionByName(scored(blank, category, s.rerank_weights))
-    top = first.orderBy(F.desc("final_score"), "id").limit(max(limit, s.max_results, 1) if not expansion else 100_000)
+    top = first.orderBy(F.desc("final_score"), "id").limit(keep or limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("final_score"), "id"))).withColumn("reasons", reasons())
 
 
 def search(m: Model, query: str, category: str | None = None, query_vector: list[float] | None = None, limit: int | None = None, config: Search | None = None, show_all: bool = False, scorer=None, top_k: int = 25) -> ReadingPlan:
     s = config or Search()
     limit, category = limit or s.default_limit, category or classify(query)
-    entries = ranked_entries(m, query, category, query_vector, limit, s)
-    entries = entries.where(F.col("rank") <= max(limit, top_k, s.max_results + 1))
+    # neither the rerank nor the cutoff looks further
+    entries = ranked_entries(m, query, category, query_vector, limit, s, keep=max(limit, top_k if scorer else 0, s.max_results + 1, s.min_results + 1))
     if scorer is not None:
         entries = rerank(entries, m.summaries, scorer, top_k)
-    total = None
+    shown, total = entries.where(F.col("rank") <= limit), None
     if s.cutoff != "none" and not show_all:
-        kept = cutoff(entries, s.cutoff, s.relative_gap_threshold, s.min_results, min(s.max_results, limit)).where(F.col("rank") <= limit)
-        before, after = entries.count(), kept.count()
-        total, entries = (before if after < before else None), kept
-    return ReadingPlan(query, category, entries.where(F.col("rank") <= limit), total)
+        whole = shown.count()
+        shown = cutoff(entries, s.cutoff, s.relative_gap_threshold, s.min_results, min(s.max_results, limit)).where(F.col("rank") <= limit)
+        total = whole if shown.count() < whole else None
+    return ReadingPlan(query, category, shown, total)

@@ -117,6 +117,6 @@ edg AS (
   UNION ALL SELECT 'repo::.', 'tested_by', 'test::bench/' || item_id FROM benchmark),
 summ AS (
   SELECT 'symbol::part/' || p_partkey AS entity_id, p_name || ' ' || p_type AS short_summary, [p_brand, p_type] AS keywords FROM part
-  UNION ALL SELECT 'doc::' || source || '/' || lang || '/' || doc_id, substr(text, 1, 200), [lang, source] FROM documents),
+  UNION ALL SELECT 'doc::' || source || '/' || lang || '/' || doc_id, text, [lang, source] FROM documents),
 embs AS (SELECT 'symbol::part/' || vec_id AS entity_id, embedding AS vector FROM embeddings)
 """

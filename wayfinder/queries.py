@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +13,7 @@ from wayfinder.config import Weights
 from wayfinder.functions.text import ancestors, first_of, hit_ratio, one_sentence, truncated, xml_escaped
 from wayfinder.operators import graph, incremental, lookup, store
 from wayfinder.operators.routes import task_routes
-from wayfinder.plans import evaluate, search
+from wayfinder.plans import evaluate, search, summarise
 from wayfinder.projection import SQL, project, snapshot
 from wayfinder.schema import ENTITY_KINDS, Model
 from wayfinder.sources.manifests import assign_owners
@@ -96,7 +98,7 @@ def scan_embedding_metas(m: Model, *_) -> DataFrame:
     return m.embeddings.select("entity_id", *long("dimensions"))
 
 
-@query("SELECT 'docs/' || doc_id AS path, sha256(text) AS hash FROM documents WHERE doc_id % 10 <> 0")
+@query("SELECT 'docs/' || doc_id AS path, sha256(text) AS hash FROM documents")
 def scan_files(m: Model, *_) -> DataFrame:
     return m.files.select("path", "hash")
 
@@ -379,14 +381,14 @@ def path_depth(m: Model, *_) -> DataFrame:
     return m.entities.select("id", F.size(ancestors(F.col("path"))).cast("long").alias("depth"))
 
 
-@query("SELECT component_id, count(*) FILTER (kind = 'symbol') AS n_symbol, count(*) FILTER (kind = 'test') AS n_test, count(*) FILTER (kind = 'bench') AS n_bench, string_agg(CASE WHEN kind = 'source_unit' THEN path END, ',' ORDER BY path) AS sources FROM ents WHERE component_id IS NOT NULL GROUP BY component_id")
+@query("SELECT component_id, count(*) FILTER (kind = 'symbol') AS n_symbol, count(*) FILTER (kind = 'test') AS n_test, count(*) FILTER (kind = 'bench') AS n_bench, coalesce(string_agg(CASE WHEN kind = 'source_unit' THEN path END, ',' ORDER BY path), '') AS sources, coalesce(string_agg(CASE WHEN kind = 'doc' THEN path END, ',' ORDER BY path), '') AS docs FROM ents WHERE component_id IS NOT NULL GROUP BY component_id")
 def component_profile(m: Model, *_) -> DataFrame:
-    return incremental.component_profile(m.entities).select("component_id", "n_symbol", "n_test", "n_bench", F.array_join("sources", ",").alias("sources"))
+    return incremental.component_profile(m.entities).select("component_id", "n_symbol", "n_test", "n_bench", F.array_join("sources", ",").alias("sources"), F.array_join("docs", ",").alias("docs"))
 
 
-@query("SELECT count(*) FILTER (kind = 'component') AS n_component, count(*) FILTER (kind = 'source_unit') AS n_source_unit, count(*) FILTER (kind = 'symbol') AS n_symbol, count(*) FILTER (kind = 'test') AS n_test, count(*) FILTER (kind = 'bench') AS n_bench, count(*) FILTER (kind = 'doc') AS n_doc, count(*) FILTER (kind = 'task') AS n_task FROM ents")
+@query("SELECT count(*) FILTER (kind = 'component') AS n_component, count(*) FILTER (kind = 'source_unit') AS n_source_unit, count(*) FILTER (kind = 'symbol') AS n_symbol, count(*) FILTER (kind = 'test') AS n_test, count(*) FILTER (kind = 'bench') AS n_bench, count(*) FILTER (kind = 'doc') AS n_doc, count(*) FILTER (kind = 'task') AS n_task, count(*) FILTER (kind = 'feature') AS n_feature, (SELECT string_agg(name, ',' ORDER BY name) FROM (SELECT name FROM ents WHERE kind = 'component' ORDER BY name LIMIT 11)) AS components, (SELECT string_agg(path, ',' ORDER BY path) FROM (SELECT path FROM ents WHERE kind = 'doc' ORDER BY path LIMIT 11)) AS docs FROM ents")
 def repo_profile(m: Model, *_) -> DataFrame:
-    return incremental.repo_profile(m.entities).drop("components")
+    return incremental.repo_profile(m.entities).withColumns({c: F.array_join(c, ",") for c in ("components", "docs")})
 
 
 @query("SELECT component_id, (SELECT string_agg('- ' || x, chr(10)) FROM (SELECT unnest(s[1:3]) AS x)) || CASE WHEN len(s) > 3 THEN chr(10) || '- …and ' || (len(s) - 3) || ' more' ELSE '' END AS listed FROM (SELECT component_id, list_sort(list(path) FILTER (kind = 'source_unit')) AS s FROM ents WHERE component_id IS NOT NULL GROUP BY component_id)")
@@ -438,3 +440,143 @@ def one_sentence_summaries(m: Model, *_) -> DataFrame:
 @query("SELECT id, kind, CAST(CASE kind WHEN 'symbol' THEN 1 WHEN 'doc' THEN 2 WHEN 'component' THEN 3 ELSE 4 END AS BIGINT) AS work_order FROM ents WHERE (kind = 'symbol' AND exported) OR kind IN ('doc', 'component', 'repo')")
 def summary_candidates(m: Model, *_) -> DataFrame:
     return lookup.summary_candidates(m.entities).select("id", "kind", *long("work_order"))
+
+
+@query("SELECT path, hash, 'component::docs::' || source AS component_id FROM (SELECT 'docs/' || doc_id AS path, sha256(text) AS hash, source FROM documents) WHERE path = 'docs/7'")
+def file_lookup(m: Model, *_) -> DataFrame:
+    return lookup.file_at(m.files, "docs/7").select("path", "hash", "component_id")
+
+
+@query("SELECT entity_id, 'given' AS model, CAST(len(vector) AS BIGINT) AS dimensions FROM embs WHERE entity_id = 'symbol::part/7' OR CAST(split_part(entity_id, '/', 2) AS BIGINT) = 9")
+def vector_meta(m: Model, *_) -> DataFrame:
+    """What is known of a vector, by entity and by key."""
+    key = F.substring_index("entity_id", "/", -1).cast("long")
+    return lookup.vector_meta(m.embeddings, "symbol::part/7").unionByName(lookup.vector_meta(m.embeddings, key=key, value=9)).select("entity_id", "model", *long("dimensions"))
+
+
+@query("SELECT src_id, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT src_id, name FROM edg JOIN ents ON id = dst_id WHERE rel = 'owns_task') GROUP BY src_id")
+def related_names(m: Model, *_) -> DataFrame:
+    """Names of the entities that edges of a relation lead to."""
+    return incremental.related_names(m.entities, m.edges, "owns_task").select("src_id", F.array_join("names", ",").alias("names"))
+
+
+@query("SELECT id, 'vscode://file//work/tree' || CASE WHEN path = '.' THEN '' ELSE '/' || path END || ':1:1#' || id AS link FROM ents")
+def editor_links(m: Model, *_) -> DataFrame:
+    return lookup.editor_links(m.entities, "/work/tree", "vscode://file/{abs_path}:{line}:{column}#{entity_id}")
+
+
+@query("SELECT id, CAST(0 AS BIGINT) AS ord FROM ents WHERE kind = 'component'")
+def drawing_seeds(m: Model, *_) -> DataFrame:
+    """H4: a graph without its repository is drawn from all its entities."""
+    return graph.drawing_seeds(m.entities.where("kind = 'component'")).select("id", *long("ord"))
+
+
+@query("SELECT doc_id, substr(array_to_string(string_split(regexp_replace(text, '\\n$', ''), chr(10))[1:120], chr(10)), 1, 6000) AS excerpt, array_to_string(string_split(regexp_replace(text, '\\n$', ''), chr(10))[2:4], chr(10)) AS snippet FROM (SELECT doc_id, replace(text, '. ', '.' || chr(10)) AS text FROM documents)")
+def excerpts(m: Model, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounded excerpts and snippets, of documents with a line for each sentence."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n")).alias("text"))
+    return docs.select("doc_id", summarise.excerpt(F.col("text")).alias("excerpt"), F.coalesce(summarise.snippet(F.col("text"), F.lit(2), F.lit(4)), F.lit("")).alias("snippet"))
+
+
+@query("""WITH RECURSIVE w AS (SELECT p_brand AS brand, p_partkey AS n, CASE WHEN p_partkey % 7 = 0 THEN 'doc' ELSE 'symbol' END AS kind, p_size AS t, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part),
+g AS (SELECT brand, n, kind, r, 10 + t + 5 AS used, 1 AS size, 1 AS batch FROM w WHERE r = 1 UNION ALL
+ SELECT w.brand, w.n, w.kind, w.r, CASE WHEN apart THEN 10 ELSE used END + w.t + 5, CASE WHEN apart THEN 1 ELSE size + 1 END, CASE WHEN apart THEN batch + 1 ELSE batch END
+ FROM (SELECT w.*, g.used, g.size, g.batch, w.kind <> 'symbol' OR g.kind <> 'symbol' OR g.size >= 4 OR g.used + w.t + 5 > 100 AS apart FROM g JOIN w ON w.brand = g.brand AND w.r = g.r + 1) w)
+SELECT brand, n, CAST(batch AS BIGINT) AS batch FROM g""")
+def budget_batches(m: Model, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of at most four symbols whose tokens, with what is fixed and a reply for each, fit a window."""
+
+    def run(frames):
+        import pandas as pd
+
+        rows = (r for f in frames for r in f.itertuples(index=False))
+        for brand, own in itertools.groupby(rows, key=lambda r: r.brand):
+            for batch, some in enumerate(summarise.in_budget(own, 4, lambda r: r.kind == "symbol", lambda r: r.t, 10, 5, 100), 1):
+                yield pd.DataFrame({"brand": [brand] * len(some), "n": [r.n for r in some], "batch": [batch] * len(some)})
+
+    work = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("n"), F.when(F.col("p_partkey") % 7 == 0, "doc").otherwise("symbol").alias("kind"), F.col("p_size").alias("t"))
+    return work.repartition("brand").sortWithinPartitions("brand", "n").mapInPandas(run, "brand string, n long, batch long")
+
+
+#: Labelled queries over the model: text, tokens, and the labels' rule by p_size.
+LABELLED = (("blue bolt", "first"), ("red widget", "first"), ("hot gear", "second"))
+SEARCHED = " UNION ALL ".join(f"SELECT '{t}' AS query, '{b}' AS bucket, '{t.split()[0]}' AS t1, '{t.split()[1]}' AS t2" for t, b in LABELLED)
+SHARE = "CAST((CASE WHEN contains(lower({t}), t1) THEN 1 ELSE 0 END) + (CASE WHEN contains(lower({t}), t2) THEN 1 ELSE 0 END) AS DOUBLE) / 2.0"
+FOUND_SQL = f"""q AS ({SEARCHED}),
+kw AS (SELECT query, entity_id AS id, {SHARE.format(t=TEXT)} AS keyword FROM summ, q WHERE contains(lower({TEXT}), t1) OR contains(lower({TEXT}), t2)),
+nm AS (SELECT query, id, {SHARE.format(t="name")} AS name_match, {SHARE.format(t="coalesce(path, '')")} AS path_match FROM ents, q WHERE kind IN ('component', 'source_unit', 'symbol') AND (contains(lower(name), t1) OR contains(lower(name), t2) OR contains(lower(coalesce(path, '')), t1) OR contains(lower(coalesce(path, '')), t2))),
+ranked AS (SELECT query, e.id, row_number() OVER (PARTITION BY query ORDER BY round(0.25 * coalesce(keyword, 0) + 0.20 * coalesce(name_match, 0) + 0.10 * (CASE WHEN kind IN ('component', 'source_unit', 'symbol') THEN 1 ELSE 0 END) + 0.10 * (CASE WHEN exported THEN 1 ELSE 0 END) + 0.10 * coalesce(path_match, 0), 9) DESC, e.id) AS rank
+ FROM kw FULL JOIN nm USING (query, id) JOIN ents e USING (id)),
+r AS (SELECT * FROM ranked WHERE rank <= 10),
+l AS (SELECT query, bucket, 'symbol::part/' || p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN 2 ELSE 1 END AS gain FROM part JOIN q ON contains(p_name, t1) AND contains(p_name, t2) AND p_size % 3 <> 2)"""
+
+
+@query(f"""WITH {SQL}, {FOUND_SQL},
+x AS (SELECT r.query, rank, coalesce(gain, 0) AS gain FROM r LEFT JOIN l USING (query, id)),
+s AS (SELECT query, count(*) FILTER (gain = 2 AND rank <= 5) AS found, min(rank) FILTER (gain = 2) AS first, sum((pow(2, gain) - 1) / log2(rank + 1)) AS dcg, avg(CASE WHEN gain = 0 THEN 1.0 ELSE 0.0 END) FILTER (rank > 5) AS noise FROM x GROUP BY query),
+w AS (SELECT q.query, q.bucket, count(*) FILTER (gain = 2) AS rel, count(*) FILTER (gain = 1) AS acc FROM q LEFT JOIN l USING (query) GROUP BY q.query, q.bucket),
+i AS (SELECT query, sum((CASE WHEN p <= rel THEN 3.0 WHEN p <= rel + acc THEN 1.0 ELSE 0 END) / log2(p + 1)) AS ideal FROM (SELECT *, unnest(range(1, 11)) AS p FROM w) GROUP BY query),
+m AS (SELECT query, bucket, coalesce(found / nullif(rel, 0), 0.0) AS recall_at_5, coalesce(1.0 / first, 0.0) AS mrr_at_10, coalesce(dcg / nullif(ideal, 0), 0.0) AS ndcg_at_10, coalesce(noise, 0.0) AS noise_tail_rate FROM w JOIN i USING (query) LEFT JOIN s USING (query))
+SELECT query, bucket, {ROUNDED} FROM m""")
+def evaluation_of_search(m: Model, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search run over labelled queries, without a cutoff, and measured."""
+    parts = table(spark, sf_dir, "part")
+    # labels are a benchmark file's: as many as the parts that hold both words
+    names = [r for r in parts.where("p_size % 3 <> 2").where(F.col("p_name").isin([t for t, _ in LABELLED])).select("p_partkey", "p_name", "p_size").collect()]
+    of = lambda text, rest: tuple(f"symbol::part/{r['p_partkey']}" for r in names if r["p_name"] == text and r["p_size"] % 3 == rest)
+    queries = [evaluate.LabelledQuery(t, b, of(t, 0), of(t, 1)) for t, b in LABELLED]
+    found = evaluate.evaluate(m, queries).by_query
+    texts = F.array(*(F.lit(t) for t, _ in LABELLED))
+    return found.select(F.get(texts, F.col("query")).alias("query"), "bucket", *(F.round(c, 6).alias(c) for c in METRICS))
+
+
+@query(f"""WITH {SQL}, {SCORED}, ranked AS (SELECT row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank, score FROM scored),
+gap AS (SELECT min(rank) AS g FROM (SELECT rank, score, lag(score) OVER (ORDER BY rank) AS before FROM ranked) WHERE rank > 3 AND score / before < 0.8),
+n AS (SELECT count(*) AS found, (SELECT g FROM gap) AS g FROM ranked), c AS (SELECT * FROM (VALUES (5, 8), (15, 8), (2, 8), (30, 40)) v(lim, most)),
+k AS (SELECT lim, least(found, lim) AS whole, least(least(coalesce(g - 1, least(most, lim)), least(most, lim)), lim) AS shown FROM c, n)
+SELECT CAST(lim AS BIGINT) AS "limit", CAST(shown AS BIGINT) AS shown, CASE WHEN shown < whole THEN CAST(whole AS BIGINT) END AS total FROM k""")
+def plan_totals(m: Model, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a plan shows after the cutoff, and the total before it where the cutoff kept fewer than the limit lets through."""
+    from wayfinder.config import Search
+
+    plans = [(n, search.search(m, "blue bolt", "general", limit=n, config=Search(cutoff="relative_gap", max_results=most))) for n, most in ((5, 8), (15, 8), (2, 8), (30, 40))]
+    return spark.createDataFrame([(n, p.entries.count(), p.total_before_cutoff) for n, p in plans], "limit long, shown long, total long")
+
+
+@query("SELECT src_id, rel, dst_id, CASE WHEN rel = 'contains' THEN 'a/b.rs' WHEN dst_id = 'added' THEN 'new' END AS provenance_path FROM (SELECT src_id, rel, dst_id FROM edg UNION ALL SELECT 'repo::.', 'builds', 'added') WHERE rel <> 'owns_task'")
+def upsert_and_delete_edges(m: Model, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges replaced and added by key, then those gone whose provenance is a deleted file."""
+    given = m.edges.withColumn("provenance_path", F.when(F.col("rel") == "owns_task", "gone.rs"))
+    added = m.edges.where("rel = 'contains' and src_id = 'repo::.'").limit(1).withColumns({"rel": F.lit("builds"), "dst_id": F.lit("added"), "provenance_path": F.lit("new")})
+    new = store.upsert_table(m.with_tables(edges=given), "edges", m.edges.where("rel = 'contains'").withColumn("provenance_path", F.lit("a/b.rs")).unionByName(added))
+    return store.cascade_files(new, spark.createDataFrame([("gone.rs",)], "path string")).edges.select("src_id", "rel", "dst_id", "provenance_path")
+
+
+@query("SELECT path, CASE WHEN path LIKE '%5' THEN 'new' ELSE hash END AS hash FROM (SELECT 'docs/' || doc_id AS path, sha256(text) AS hash, source FROM documents) WHERE source <> (SELECT min(source) FROM documents)")
+def upsert_and_delete_files(m: Model, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files replaced by path, then those of a component deleted."""
+    new = store.upsert_table(m, "files", m.files.where("path like '%5'").withColumn("hash", F.lit("new"))).files
+    first = m.files.agg(F.min("component_id")).head()[0]
+    return store.delete_where(new, F.col("component_id") == first).select("path", "hash")
+
+
+@query("SELECT 'summaries' AS \"table\", entity_id AS k, CASE WHEN entity_id LIKE '%7' THEN 'new' ELSE short_summary END AS v FROM summ UNION ALL SELECT 'embeddings', entity_id, CASE WHEN entity_id LIKE '%7' THEN 'new' ELSE 'given' END FROM embs")
+def upsert_summaries_and_vectors(m: Model, *_) -> DataFrame:
+    """B4 B6."""
+    s = store.upsert_table(m, "summaries", m.summaries.where("entity_id like '%7'").withColumn("short_summary", F.lit("new"))).summaries
+    e = store.upsert_table(m, "embeddings", m.embeddings.where("entity_id like '%7'").withColumn("model", F.lit("new"))).embeddings
+    return s.select(F.lit("summaries").alias("table"), F.col("entity_id").alias("k"), F.col("short_summary").alias("v")).unionByName(e.select(F.lit("embeddings").alias("table"), F.col("entity_id").alias("k"), F.col("model").alias("v")))
+
+
+@query(f"WITH {SQL}, {ROUTE_SQL} SELECT task_name, entity_id, CASE WHEN task_name = 'debug' THEN 1 ELSE priority END AS priority FROM routes WHERE task_name <> 'build'")
+def upsert_and_delete_routes(m: Model, *_) -> DataFrame:
+    """Routes replaced by key, others deleted by key."""
+    new = store.upsert_table(m, "task_routes", m.task_routes.where("task_name = 'debug'").withColumn("priority", F.lit(1))).task_routes
+    return store.delete_keys(new, m.task_routes.where("task_name = 'build'"), ["task_name", "entity_id"]).select("task_name", "entity_id", *long("priority"))
+
+
+@query("SELECT 'entity' AS part, name AS what FROM ents WHERE id = 'symbol::part/7' UNION ALL SELECT 'summary', short_summary FROM summ WHERE entity_id = 'symbol::part/7' UNION ALL SELECT 'routes', unnest(['build', 'implement']) FROM ents WHERE id = 'symbol::part/7' UNION ALL SELECT 'in', src_id FROM edg WHERE dst_id = 'symbol::part/7' UNION ALL SELECT 'out', dst_id FROM edg WHERE src_id = 'symbol::part/7'")
+def entity_view(m: Model, *_) -> DataFrame:
+    """H3: all five parts."""
+    view, shown = lookup.entity_view(m, "symbol::part/7"), {"entity": "name", "summary": "short_summary", "routes": "task_name", "out": "dst_id", "in": "src_id"}
+    return functools.reduce(DataFrame.unionByName, [view[p].select(F.lit(p).alias("part"), F.col(c).alias("what")) for p, c in shown.items()])
