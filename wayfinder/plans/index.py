@@ -56,7 +56,7 @@ def reindex(m: Model, root: str, exclude: tuple[str, ...] = ()) -> tuple[Model,
 
 def text_contents(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
     """path, content: the texts that summaries are made of; bytes that are not UTF-8 are replaced."""
-    return scan_tree(spark, root, exclude).select("path", F.decode("content", F.lit("UTF-8")).alias("content"))
+    return scan_tree(spark, root, exclude).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def index(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), stored: Model | None = None, config: Config | None = None, summaries: Callable[[], Provider] | None = None, vectors: Callable[[], Provider] | None = None, force: bool = False) -> Model:

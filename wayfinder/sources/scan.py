@@ -137,7 +137,7 @@ def document_facts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Markdown files as documents of their component or the repository, and pages with front matter in content folders. files: path, component_id, content."""
     md = files.where(F.col("path").endswith(".md"))
     doc = md.select(F.concat(F.lit("doc::"), "path").alias("id"), F.lit("doc").alias("kind"), basename(F.col("path")).alias("name"), "component_id", "path", F.lit(True).alias("exported"))
-    text = F.ltrim(F.decode(F.substring("content", 1, 16), "utf-8"))
+    text = F.ltrim(F.substring(F.col("content").cast("string"), 1, 16))  # a cast takes any bytes
     folders = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
     pages = md.where(F.arrays_overlap(folders, F.array(*map(F.lit, CONTENT_DIRS))) & (text.startswith("+++") | text.startswith("---")))
     page = pages.select(F.concat(F.lit("content_page::"), "path").alias("id"), F.lit("content_page").alias("kind"), stem(F.col("path")).alias("name"), "component_id", "path", F.lit(True).alias("exported"))
@@ -149,7 +149,7 @@ def site_facts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sites by their marker files, joined with the files below their roots by ancestor folder. files: path, component_id, content."""
     from wayfinder.functions.text import ancestors
 
-    name, text = basename(F.col("path")), F.decode("content", "utf-8")
+    name, text = basename(F.col("path")), F.col("content").cast("string")
     hugo_root = (F.col("path") == "config.toml") & (text.contains("baseURL") | text.contains("theme"))
     kind = F.when(name == "site.toml", "site").when(name.startswith("astro.config."), "astro-site").when((name == "hugo.toml") | hugo_root, "hugo-site")
     root = F.element_at(ancestors(F.col("path")), -1)
