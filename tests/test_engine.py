@@ -1,15 +1,19 @@
 """The engine against small fixtures and plain Python."""
 
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from wayfinder import config, queries
+from wayfinder import config, extraction_queries, queries
 from wayfinder.functions.text import glob_regex
-from wayfinder.operators import graph, store
+from wayfinder.operators import graph, lookup, store
 from wayfinder.operators.routes import task_routes
-from wayfinder.plans import index, models, search
+from wayfinder.plans import evaluate, index, models, search, summarise
 from wayfinder.schema import Model
 from wayfinder.sources.rust import rust_facts
+from wayfinder.streaming import changes
 
 E = "id string, kind string, name string, component_id string, path string, exported boolean"
 D = "src_id string, rel string, dst_id string"
@@ -27,22 +31,30 @@ def small(spark, entities, edges, summaries=()):
     return m.with_tables(entities=e, edges=d, summaries=s, task_routes=task_routes(e))
 
 
-CUTS = [
-    ([1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3], "none", 8, 8),
-    ([1.0, 0.90, 0.80, 0.70, 0.50, 0.40, 0.30], "relative_gap", 8, 4),
-    ([1.0, 0.90, 0.10, 0.05], "relative_gap", 8, 3),
-    ([1.0, 0.95, 0.90, 0.86, 0.82, 0.78, 0.75, 0.72, 0.70, 0.68], "relative_gap", 5, 5),
-    ([1.0, 0.5], "relative_gap", 8, 2),
-    ([0.5] * 5, "relative_gap", 8, 5),
-    ([0.5, 0.3, 0.0, 0.0], "relative_gap", 8, 3),
-    ([], "relative_gap", 8, 0),
-]
+def plain_cut(scores, mode, threshold, least, most):
+    if mode == "none" or len(scores) <= least:
+        return len(scores)
+    gaps = [i for i in range(least, len(scores)) if scores[i - 1] <= 0 or scores[i] / scores[i - 1] < threshold]
+    return min(gaps[0] if gaps else most, most, len(scores))
 
 
-def test_cutoff(spark):
-    for scores, mode, most, keep in CUTS:
+def test_cutoff_against_plain_python(spark):
+    draw = random.Random(7)
+    shapes = [[], [0.0], [0.0] * 6, *([round(draw.random() ** draw.choice([0.2, 1, 4]), 3) for _ in range(n)] for n in (2, 3, 4, 5, 7, 9, 12, 12, 15))]
+    for n, scores in enumerate(shapes):
+        scores = sorted(scores, reverse=True)
         df = spark.createDataFrame([(i + 1, s) for i, s in enumerate(scores)], "rank int, final_score double")
-        assert search.cutoff(df, mode, 0.80, 3, most).count() == keep, scores
+        mode, threshold, least, most = ("none" if n == 5 else "relative_gap"), draw.choice([0.5, 0.8, 0.95]), draw.choice([1, 3]), draw.choice([4, 6, 20])
+        assert search.cutoff(df, mode, threshold, least, most).count() == plain_cut(scores, mode, threshold, least, most), scores
+
+
+def test_a_plan_tells_its_total_only_if_the_cutoff_kept_fewer(spark):
+    """Forty entities of equal score: the limit alone bounds them."""
+    m = small(spark, [(f"e{k:02}", "component", f"lamp {k}", f"p{k}", True) for k in range(40)], [("e00", "depends_on", "e01")])
+    plan = lambda n, **k: search.search(m, "lamp", limit=n, config=config.Search(cutoff="relative_gap", **k))
+    assert (plan(5).entries.count(), plan(5).total_before_cutoff) == (5, None)
+    assert (plan(15).entries.count(), plan(15).total_before_cutoff) == (8, 15)
+    assert (plan(60, max_results=100).entries.count(), plan(60, max_results=100).total_before_cutoff) == (40, None)
 
 
 def test_expansion_is_greedy_across_seeds(spark):
@@ -52,13 +64,49 @@ def test_expansion_is_greedy_across_seeds(spark):
     assert [r[0] for r in rows(search.expand(c, m.entities, m.edges, 15))] == ["n0", "n1", "n2", "n3", "n4", "n9"]
 
 
+LAMPS = ([("wick", "symbol", "trim_wick", "lamp/wick.rs", True), ("glass", "symbol", "polish", "lamp/glass.rs", False), ("oil", "component", "oil", "oil", True)], [("wick", "related_to", "glass")], [("wick", "Trims a wick that smokes"), ("oil", "Stores oil")])
+
+
 def test_search_finds_ranks_and_expands(spark):
-    m = small(spark, [("a", "symbol", "auth_handler", "src/a", True), ("b", "symbol", "helper", "src/b", False)], [("a", "defines", "b")], [("a", "Handles authentication")])
-    plan = search.search(m, "auth debug")
+    m = small(spark, *LAMPS)
+    plan = search.search(m, "trace wick")
     found = plan.entries.orderBy("rank").collect()
-    assert plan.category == "debug" and [r["id"] for r in found] == ["a", "b"] and found[1]["is_context"] and found[1]["reasons"] == ["graph neighbor"]
-    assert found[0]["reasons"] == ["keyword match", "name match"] and "auth_handler" in plan.to_text(verbose=True) and '"category": "debug"' in plan.to_json()
-    assert search.search(m, "auth debug", scorer=lambda t: [(1, 0.9), (0, 0.1), (9, 1.0)]).entries.orderBy("rank").head()["id"] == "b"
+    assert plan.category == "debug" and [r["id"] for r in found] == ["wick", "glass"] and found[1]["is_context"] and found[1]["reasons"] == ["graph neighbor"]
+    assert found[0]["reasons"] == ["keyword match", "name match", "path match"] and "trim_wick" in plan.to_text(verbose=True) and '"category": "debug"' in plan.to_json()
+    assert search.search(m, "trace wick", scorer=lambda t: [(1, 0.9), (0, 0.1), (9, 1.0)]).entries.orderBy("rank").head()["id"] == "glass"
+
+
+def test_labelled_queries_are_searched_and_measured(spark):
+    m = small(spark, *LAMPS)
+    text = """version = 1
+[[queries]]
+text = "trim wick"
+bucket = "names"
+relevant = ["wick"]
+acceptable = ["glass", "wick"]
+[[queries]]
+text = "oil"
+bucket = "names"
+category = "understand"
+relevant = ["wick"]
+[[queries]]
+text = "zzz"
+bucket = "none"
+category = "no such"
+relevant = []
+"""
+    queries_ = evaluate.read_labelled(text)
+    assert [q.category for q in queries_] == [None, "understand", None]
+    got = evaluate.evaluate(m, queries_)
+    report = got.report()
+    first, second, third = report["queries"]
+    assert first["results"] == ["wick", "glass"] and first["recall_at_5"] == first["mrr_at_10"] == first["ndcg_at_10"] == 1.0
+    assert second["results"] == ["oil"] and second["recall_at_5"] == second["mrr_at_10"] == second["ndcg_at_10"] == 0.0
+    assert third["results"] == [] and third["noise_tail_rate"] == 0.0
+    assert report["overall"]["query_count"] == 3 and report["overall"]["recall_at_5"] == pytest.approx(1 / 3) and report["by_bucket"]["names"]["mrr_at_10"] == 0.5
+    assert "names: 2 queries" in got.to_text() and json.loads(got.to_json())["queries"][0]["text"] == "trim wick"
+    with pytest.raises(ValueError):
+        evaluate.read_labelled("version = 2\nqueries = []")
 
 
 def test_traversal(spark):
@@ -144,8 +192,102 @@ def test_models_fall_back(spark):
     work = spark.createDataFrame([("a", "symbol", "good", "fine", ["k"]), ("b", "symbol", "bad", "x", [])], "entity_id string, kind string, name string, short_summary string, keywords array<string>")
     assert [r["entity_id"] for r in models.embed_rows(work, Flaky, "m", 64).collect()] == ["a"]
     assert models.tolerant_json('Sure: ```json\n{"short_summary": "x"}\n```') == {"short_summary": "x"} and models.tolerant_json('{"short_summary": "cut", "keywo') == {"short_summary": "cut"} and models.tolerant_json("none") is None
-    todo = spark.createDataFrame([("a", "Summarise this function", "h")], "entity_id string, prompt string, source_hash string")
-    assert models.summarize_rows(todo, models.OfflineProvider).head()["short_summary"] == "Summarise this function"
+    for cut, whole in (('{"a": ["x", "y"', {"a": ["x", "y"]}), ('{"a": {"b": 1)', {"a": {"b": 1}}), ('{"a": ["x", "y", "z', {"a": ["x", "y", "z"]}), ('{"a": [1, 2], "b":', {"a": [1, 2]}), ('{"a": "q\\"", "b": [', {"a": 'q"', "b": []})):
+        assert models.tolerant_json(cut) == whole, cut
+    assert models.make_provider(config.Config(), "", "") is None and isinstance(models.make_provider(config.Config(), "offline", "")(), models.OfflineProvider) and models.make_provider(config.Config(), "ollama", "m")().base_url.startswith("http")
+    with pytest.raises(ValueError):
+        models.make_provider(config.Config(), "nobody", "")
+
+
+def notes():
+    class Notes:  # within a function, so that it is sent to tasks by value
+        """Answers with the ids that it is asked about; leaves one out of a batch, and fails for one batch as a whole."""
+
+        def complete(self, prompt, max_tokens):
+            ids = [x.removeprefix("Entity ID: ") for x in prompt.split("\n") if x.startswith("Entity ID: ")]
+            if len(ids) > 1 and any("fails" in i for i in ids):
+                raise models.RequestFailed("no", False)
+            made = [{"entity_id": i, "short_summary": f"{len(ids)} of {i}", "keywords": ["k", 1]} for i in ids if len(ids) == 1 or "left_out" not in i]
+            return json.dumps({"summaries": made} if len(ids) > 1 else made[0])
+
+        def embed(self, texts):
+            return [[1.0] * 768 for _ in texts]
+
+    return Notes
+
+
+def test_summaries_come_in_batches_and_one_by_one(spark):
+    names = ["a", "b", "left_out", "c", "x_fails", "y"]
+    work = spark.createDataFrame([(n, "one", "symbol", f"Entity ID: {n}", "h") for n in names] + [("doc", "one", "doc", "Entity ID: doc", "h")], "entity_id string, component_id string, kind string, prompt string, source_hash string").repartition(1)
+    found = {r["entity_id"]: r for r in summarise.summarise(work, notes(), config.Summary(batch_size=3)).collect()}
+    assert set(found) == {*names, "doc"} and found["doc"]["short_summary"] == "1 of doc" and found["left_out"]["short_summary"] == "1 of left_out" and found["x_fails"]["short_summary"] == "1 of x_fails"
+    assert found["a"]["keywords"] == ["k", "1"] and found["a"]["source_hash"] == "h"
+
+
+def test_batches_fit_a_budget():
+    rows = [("s", 5), ("s", 5), ("s", 50), ("s", 200), ("d", 1), ("s", 1), ("s", 1), ("s", 1), ("s", 1)]
+    got = list(summarise.in_budget(rows, 3, lambda r: r[0] == "s", lambda r: r[1], 10, 5, 80))
+    assert [len(b) for b in got] == [2, 1, 1, 1, 3, 1] and sum(got, []) == rows
+    assert list(summarise.in_budget([], 3, bool, bool, 0, 0, 1)) == []
+
+
+def test_snippets_and_excerpts_are_bounded(spark):
+    text = "\n".join(f"line {k}" for k in range(1, 401)) + "\n"
+    odd = spark.createDataFrame([(text, 2, 3), (text, 399, 900), (text, None, None), (text, 401, 402), ("", 1, 1), ("a\r\nb", 2, 2), (text, 5, 4)], "t string, a int, b int")
+    got = [tuple(r) for r in odd.select(summarise.snippet(F.col("t"), F.col("a"), F.col("b")), summarise.excerpt(F.col("t"))).collect()]
+    assert [g[0] for g in got] == ["line 2\nline 3", "line 399\nline 400", "line 1", None, None, "b", None]
+    assert got[0][1].count("\n") == 119 and got[4][1] is None and got[5][1] == "a\nb"
+    long = spark.createDataFrame([("x" * 9000,), (" \n \n",)], "t string").select(summarise.excerpt(F.col("t")), summarise.snippet(F.repeat(F.lit("y\n"), 500), F.lit(1), F.lit(500))).collect()
+    assert len(long[0][0]) == 6000 and long[1][0] is None and long[0][1].count("y") == 200
+
+
+def test_index_run_with_summaries_and_vectors(spark, tmp_path):
+    write_tree(tmp_path / "t", TREE)
+    c = config.Config()
+    m = index.index(spark, str(tmp_path / "t"), ("*.lock",), config=c, summaries=notes(), vectors=notes())
+    found = {r["entity_id"]: r["short_summary"] for r in m.summaries.collect()}
+    assert {"repo::.", "component::cargo::crates/foo", "symbol::crates/foo/src/lib.rs::add", "doc::site/src/pages/index.md"} == set(found) & {"repo::.", "component::cargo::crates/foo", "symbol::crates/foo/src/lib.rs::add", "doc::site/src/pages/index.md"}
+    assert "symbol::crates/bar/src/main.rs::main" not in found  # not exported
+    assert {r["entity_id"] for r in m.embeddings.collect()} == set(found)
+    store.save(m, str(tmp_path / "s"))
+    kept = store.load(spark, str(tmp_path / "s"))
+    write_tree(tmp_path / "t", {"crates/foo/src/lib.rs": "pub fn add() -> u8 { 1 }\n"})
+    work = summarise.stale_work(index.index(spark, str(tmp_path / "t"), ("*.lock",), kept), index.text_contents(spark, str(tmp_path / "t"), ("*.lock",)))
+    assert "symbol::crates/foo/src/lib.rs::add" in {r["entity_id"] for r in work.collect()} and "doc::site/src/pages/index.md" not in {r["entity_id"] for r in work.collect()}
+    forced = index.index(spark, str(tmp_path / "t"), ("*.lock",), kept, force=True)
+    assert forced.summaries.count() == 0 and forced.entities.count() > 0
+
+
+def test_newest_version_is_by_number(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        store.load(spark, str(tmp_path))
+    m = small(spark, [("a", "repo", "a", ".", True)], [])
+    for name in ("one", "two", "three"):
+        store.save(m.with_tables(entities=m.entities.withColumn("name", F.lit(name))), str(tmp_path))
+    assert store.load(spark, str(tmp_path)).entities.head()["name"] == "three"
+
+
+def test_links_seeds_and_dimensions(spark):
+    m = small(spark, [("repo::.", "repo", "r", ".", True), ("b", "symbol", "s", "x/y.rs", True), ("c", "symbol", "n", None, True)], [])
+    links = dict(map(tuple, lookup.editor_links(m.entities, "/w/", "e://{abs_path}:{line}:{column} {repo_path} {entity_id}").collect()))
+    assert links == {"repo::.": "e:///w/:1:1 . repo::.", "b": "e:///w/x/y.rs:1:1 x/y.rs b", "c": "e:///w/:1:1 . c"}
+    assert rows(graph.drawing_seeds(m.entities)) == [("repo::.", 0)] and rows(graph.drawing_seeds(m.entities, "b")) == [("b", 0)] and graph.drawing_seeds(m.entities.where("kind = 'symbol'")).count() == 2
+    v = spark.createDataFrame([("a", [1.0, 2.0])], "entity_id string, vector array<float>")
+    assert store.check_dimensions(v, 2).count() == 1
+    with pytest.raises(Exception, match="dimensions"):
+        store.check_dimensions(v, 3).collect()
+    with pytest.raises(ValueError):
+        lookup.vector_meta(m.embeddings)
+
+
+def test_stream_of_files(spark, tmp_path):
+    """Two rows for a path in one batch: the one of the larger version counts."""
+    schema = "path string, hash string, component_id string, version long"
+    spark.createDataFrame([("a", "1", None, 1), ("b", "9", None, 2), ("b", "2", None, 1), ("c", "3", None, 1)], schema).write.parquet(str(tmp_path / "in"))
+    stored = spark.createDataFrame([("a", "1", None), ("b", "2", None)], "path string, hash string, component_id string")
+    seen = []
+    changes.stream_changes(spark, spark.readStream.schema(schema).parquet(str(tmp_path / "in")), lambda: stored, lambda df, n: seen.extend(rows(df)), str(tmp_path / "cp"), order="version").awaitTermination()
+    assert seen == [("b", "changed"), ("c", "new")]
 
 
 def test_config():
@@ -168,8 +310,9 @@ def test_queries_agree_with_sql(spark, sf_dir):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
-    for name in ("search_lexical", "classified_queries", "file_changes", "evaluation_summary", "structure_tree", "path_rules", "routes"):
-        df = queries.QUERIES[name](spark, sf_dir)
-        cur = con.execute(queries.ORACLE[name])
+    every, sql = queries.QUERIES | extraction_queries.QUERIES, queries.ORACLE | extraction_queries.ORACLE
+    for name in sql:
+        df = every[name](spark, sf_dir)
+        cur = con.execute(sql[name])
         at = [[d[0] for d in cur.description].index(c) for c in df.columns]
         assert sorted(map(repr, map(tuple, df.collect()))) == sorted(repr(tuple(r[k] for k in at)) for r in cur.fetchall()), name

@@ -183,23 +183,3 @@ def _embedded(provider: Provider, texts: list[str]) -> list[list[float] | None]:
         if len(texts) == 1:
             return [None]
     return [None] if len(texts) == 1 else [_embedded(provider, [t])[0] for t in texts]
-
-
-def summarize_rows(work: DataFrame, make: Callable[[], Provider], max_tokens: int = 512) -> DataFrame:
-    """entity_id, short_summary, detailed_summary, keywords, updated_at, source_hash of work (entity_id, prompt, source_hash)."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        provider = make()
-        for f in frames:
-            out = []
-            for i, prompt, h in zip(f["entity_id"], f["prompt"], f["source_hash"], strict=True):
-                try:
-                    reply = tolerant_json(retried(lambda p=prompt: provider.complete(p, max_tokens)))
-                except RequestFailed:
-                    reply = None
-                if reply and reply.get("short_summary"):
-                    out.append((i, str(reply["short_summary"]), reply.get("detailed_summary"), reply.get("keywords") if isinstance(reply.get("keywords"), list) else [], h))
-            yield pd.DataFrame(out, columns=["entity_id", "short_summary", "detailed_summary", "keywords", "source_hash"], dtype=object)
-
-    found = work.select("entity_id", "prompt", "source_hash").mapInPandas(run, "entity_id string, short_summary string, detailed_summary string, keywords array<string>, source_hash string")
-    return found.withColumn("updated_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
