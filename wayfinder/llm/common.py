@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import string
 from collections.abc import Iterator
 
@@ -60,7 +61,20 @@ def chunks_of(texts: list[bytes], limit: int = 4_000_000) -> Iterator[tuple[int,
         yield at, len(texts)
 
 
-def slices_of(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+#: Bytes of one Arrow batch between Spark and Python; the JVM and Python hold some of them at once, for each task.
+ARROW_BYTES = 2 << 20
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """Bounds the session's Arrow batches by bytes where they are wider (10,000 long texts are many), and gives df back."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = conf.get(name)  # bytes, unless a user wrote a unit
+    if not (given.isdigit() and 0 < int(given) <= ARROW_BYTES):
+        conf.set(name, ARROW_BYTES)
+    return df
+
+
+def slices_of(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Every row once, in slices of about limit bytes of text, so that what a task builds doesn't follow Arrow's batch size."""
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -69,6 +83,13 @@ def slices_of(batches: Iterator[pa.RecordBatch], column: str = "text", limit: in
             end = int(np.searchsorted(size, (size[at - 1] if at else 0) + limit)) + 1
             yield batch.slice(at, end - at)
             at = end
+    release()
+
+
+def release() -> None:
+    """Gives back what a finished task has freed; Python workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 #: Bytes by byte: blanks become \x20, in the second A-Z also become a-z.

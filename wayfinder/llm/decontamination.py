@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfinder.llm.common import WORD_BYTES, flat_bytes, of_bytes, slices_of, whole, words_in
+from wayfinder.llm.common import WORD_BYTES, bound_batches, flat_bytes, of_bytes, slices_of, whole, words_in
 from wayfinder.shared import materialize
 
 WINDOW = 13
@@ -128,7 +128,7 @@ def scan_all(docs: DataFrame, benchmark: DataFrame, window: int, item_cols: tupl
     columns with what these found, and a function for tasks that adds the last part."""
     tag = uuid4().hex
     own = mask_col, items_col = f"__mask_{tag}", f"__items_{tag}"  # they clash with no column
-    state = docs.withColumns({mask_col: F.lit(None).cast("binary"), items_col: F.lit(None).cast("array<string>")})
+    state = bound_batches(docs).withColumns({mask_col: F.lit(None).cast("binary"), items_col: F.lit(None).cast("array<string>")})
 
     def scanner(items: list):
         name, sent = uuid4().hex, docs.sparkSession.sparkContext.broadcast(items)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfinder.llm.common import chunks_of, hashed_words, id_text_crc, mixed, slices_of, texts_of
+from wayfinder.llm.common import bound_batches, chunks_of, hashed_words, id_text_crc, mixed, slices_of, texts_of
 from wayfinder.shared import materialize
 
 BROADCAST_FILTER_BYTES = 64 << 20
@@ -155,7 +155,7 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 def train(training: DataFrame, broadcast_filter_bytes: int = BROADCAST_FILTER_BYTES, group_bytes: int = GROUP_BYTES) -> tuple[Filter, DataFrame]:
     """The filter, and g, keys, counts: blocks of the exact word counts (read from the shared folder). training: column text."""
-    size = training.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    size = bound_batches(training).agg(F.sum(F.octet_length("text"))).head()[0] or 0
     groups = 1 << max(2, int(size // group_bytes).bit_length())
     filter_bytes = 1 << max(16, int(size // 16).bit_length())
     slice_bits = filter_bytes * 8 // groups
@@ -198,7 +198,7 @@ def score(docs: DataFrame, model: tuple[Filter, DataFrame], id_col: str = "doc_i
     groups = lm.groups
     if lm.bits is not None:
         sent = spark.sparkContext.broadcast((lm.bits.tobytes(), lm.groups, lm.levels))  # bytes are read in place, arrays would be copied
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     small = v <= vocabulary_words
     width = "<u4" if n < 1 << 32 else "<u8"
     if small:

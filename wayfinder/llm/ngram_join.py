@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfinder.llm.common import hashed_words, mixed, semi_join_checked, slices_of
+from wayfinder.llm.common import bound_batches, hashed_words, mixed, semi_join_checked, slices_of
 from wayfinder.shared import BROADCAST_ROWS, materialize
 
 N, PERCENT = 5, 80
@@ -237,7 +237,7 @@ def grouped_rows(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: st
     """doc_id, n_shingles, component_id, and rk (row_key) and component (a number of the component, null without words) of every row.
 
     Sets go by the number of their written row (id below), as a doc_id may be null."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("rk"), F.col(text_col).alias("text"))
+    rows = bound_batches(docs).select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("rk"), F.col(text_col).alias("text"))
     order = sketch_counts(rows, n)
     sets = keyed_sets(rows, order, n, percent).withColumnRenamed("id", "doc")
     sets = materialize(sets.withColumn("id", F.monotonically_increasing_id()), "keyed")

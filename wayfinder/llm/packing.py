@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfinder.llm.common import slices_of
+from wayfinder.llm.common import bound_batches, slices_of
 from wayfinder.llm.tokens import encoder, squeeze, unsqueeze
 from wayfinder.shared import materialize
 
@@ -80,12 +80,13 @@ def tokenize_with_keys(docs: DataFrame, tokenizer_path: str, end_id: int, id_col
     """doc_id, n (ids with the end id), key, ids (compressed 16-bit ids without it)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices_of(batches):
-            flat, begin = encoder(tokenizer_path).encode(part.column(1))
-            arrays = np.split(flat, begin[1:-1])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(begin) + 1), pa.array(curve_keys(arrays), pa.int64()), pa.array([squeeze(x.tobytes()) for x in arrays], pa.binary())], names=["doc_id", "n", "key", "ids"])
+        with encoder(tokenizer_path) as coder:
+            for part in slices_of(batches):
+                flat, begin = coder.encode(part.column(1))
+                arrays = np.split(flat, begin[1:-1])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(begin) + 1), pa.array(curve_keys(arrays), pa.int64()), pa.array([squeeze(x.tobytes()) for x in arrays], pa.binary())], names=["doc_id", "n", "key", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, "doc_id long, n long, key long, ids binary")
+    return bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, "doc_id long, n long, key long, ids binary")
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"

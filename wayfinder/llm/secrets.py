@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfinder.llm.common import LOWER_BYTES, chunks_of, slices_of, texts_of
+from wayfinder.llm.common import LOWER_BYTES, bound_batches, chunks_of, slices_of, texts_of
 
 
 @dataclass(frozen=True)
@@ -202,7 +202,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
             spans = [[{"kind": rules[k].kind, "start": s, "end": e} for s, k, e, *_ in found.get(i, ())] for i in range(len(texts))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, SPANS)], names=["doc_id", "spans"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, spans array<struct<kind: string, start: int, end: int>>")
 
 
@@ -238,7 +238,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[redac
                 cols[at] = pa.array([t.decode("utf-8") if k else None for t, k in zip(texts, known, strict=True)], batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
-    cleaned = docs.mapInArrow(run, docs.schema)
+    cleaned = bound_batches(docs).mapInArrow(run, docs.schema)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
 
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfinder.llm.common import slices_of
+from wayfinder.llm.common import bound_batches, slices_of
 from wayfinder.llm.tokens import encoder, squeeze, unsqueeze
 from wayfinder.shared import fresh_path, materialize
 
@@ -101,15 +101,16 @@ def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str) -
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         rows = lambda doc, n, ids, seen, times: pa.RecordBatch.from_arrays([doc, pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(seen, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int64()))], names=["doc_id", "n", "ids", "seen", "times"])
-        for part in slices_of(batches):
-            flat, begin = encoder(tokenizer_path).encode(part.column(1))
-            total += np.bincount(flat, minlength=1 << 16)
-            cuts = begin.tolist()
-            yield rows(part.column(0), np.diff(begin), [squeeze(flat[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], [None] * part.num_rows, [None] * part.num_rows)
+        with encoder(tokenizer_path) as coder:
+            for part in slices_of(batches):
+                flat, begin = coder.encode(part.column(1))
+                total += np.bincount(flat, minlength=1 << 16)
+                cuts = begin.tolist()
+                yield rows(part.column(0), np.diff(begin), [squeeze(flat[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], [None] * part.num_rows, [None] * part.num_rows)
         seen = np.flatnonzero(total)
         yield rows(pa.array([None], pa.int64()), [None], [None], [seen.astype(np.int32)], [total[seen]])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, TOKENS)
+    return bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, TOKENS)
 
 
 def ranked_ids(tokens: DataFrame, end_id: int) -> np.ndarray:

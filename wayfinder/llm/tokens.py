@@ -12,14 +12,16 @@ from __future__ import annotations
 import functools
 import os
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from wayfinder.llm.common import SPACED, SPACED_LOWER, flat_bytes, of_bytes, whole, words_in
+from wayfinder.llm.common import SPACED, SPACED_LOWER, flat_bytes, of_bytes, release, whole, words_in
 
-CACHE_BYTES = 160_000_000
+CACHE_BYTES = 60_000_000
 ENTRY_BYTES = 180
 #: Pieces of letters that are encoded in one string.
 TOGETHER = 256
@@ -64,9 +66,13 @@ class PieceEncoder:
         same = lambda x, y: self.tokenizer.encode(x, add_special_tokens=False).ids == self.tokenizer.encode(y, add_special_tokens=False).ids
         self.lowers = all(same(chr(c), chr(c).lower()) for c in range(0x41, 0x5B))
         self.cuts = all(same(f"a{c}b", f"a {c}b") for c in MARKS)
+        self.generation = cache_bytes // 2
+        self.forget()
+
+    def forget(self) -> None:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.room = self.generation = cache_bytes // 2
+        self.room = self.generation
 
     def ids_of(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces. New ones enter ``young``; when that is full it becomes ``old`` and the old one goes."""
@@ -123,12 +129,17 @@ class PieceEncoder:
 _encoders: dict[str, PieceEncoder] = {}
 
 
-def encoder(tokenizer_path: str) -> PieceEncoder:
-    """One encoder for each Python worker."""
+@contextmanager
+def encoder(tokenizer_path: str) -> Iterator[PieceEncoder]:
+    """The tokenizer is loaded once for each Python worker; what it has learned goes with the task, since idle workers stay for later stages."""
     if tokenizer_path not in _encoders:
         _encoders.clear()
         _encoders[tokenizer_path] = PieceEncoder(tokenizer_path)
-    return _encoders[tokenizer_path]
+    try:
+        yield _encoders[tokenizer_path]
+    finally:
+        _encoders[tokenizer_path].forget()
+        release()
 
 
 def squeeze(ids: bytes) -> bytes:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfinder.llm.common import WORD_BYTES, flat_bytes, id_text_crc, of_bytes, slices_of, whole, words_in
+from wayfinder.llm.common import WORD_BYTES, bound_batches, flat_bytes, id_text_crc, of_bytes, slices_of, whole, words_in
 
 SAMPLE_DOCS = 1000
 #: UTF-8 bytes of the texts of either kind: documents are taken in order of the hash of their id until they would exceed it.
@@ -289,7 +289,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             scores, spans = judge(part.column(1), m, known)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array((scores >= cut).astype(np.int32)), pa.array(spans, spans_type)], names=["doc_id", "score", "predicted", "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, "doc_id long, score double, predicted int, spans array<struct<start: int, end: int, marginal: double>>")
+    return bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, "doc_id long, score double, predicted int, spans array<struct<start: int, end: int, marginal: double>>")
 
 
 def judge(texts: pa.Array, model: Model, known: WordScores) -> tuple[np.ndarray, list[list[dict]]]:
@@ -332,4 +332,4 @@ def reject_toxic(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
         for part in slices_of(batches):
             yield part.filter(pa.array(judge(part.column(at), m, known)[0] < cut))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return bound_batches(docs).mapInArrow(keep, docs.schema)
