@@ -250,20 +250,26 @@ def grouped_rows(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: st
 
     by_light = light_links(reps, below, percent)
     prefix = F.slice("keys", 1, (F.col("n") - F.ceil(percent * F.col("n") / 100) + 1).cast("int"))
-    postings = reps.where(100 * F.col("n") >= percent * below).select("id", F.explode(prefix).alias("key"))
-    lists = postings.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("members")).where("members > 1")
-    met = materialize(postings.join(lists.select("key", "leader"), "key"), "lists")
+    postings = reps.where(100 * F.col("n") >= percent * below).select("id", "n", F.posexplode(prefix).alias("pos", "key"))
+    lists = postings.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    met = materialize(postings.join(lists, "key"), "lists")
     bounds = reps.select("id", "n", "bitmap")
+    # a list's leader is the member that shares most of its shingles: what near copies were made from, rather than one of them
+    central = met.groupBy("id").agg((F.count("*") * 1_000_000 / F.min("n")).cast("long").alias("shared"))
+    leaders = met.join(central, "id").groupBy("key").agg(F.max(F.struct("shared", -F.col("id"), "n")).alias("l")).select("key", "l.shared", (-F.col("l.col2")).alias("leader"), F.col("l.n").alias("leader_n"))
     # one leader for each member: those of its other lists come with the rest, unless they are in one component by then
-    starred = met.where("id <> leader").groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a"))
+    sized = 100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n")
+    starred = met.join(leaders, "key").where((F.col("id") != F.col("leader")) & sized).groupBy(F.col("id").alias("b")).agg(F.max(F.struct("shared", -F.col("leader"))).alias("l")).select("b", (-F.col("l.col2")).alias("a"))
     starred = starred.join(bounds.alias("x"), F.col("a") == F.col("x.id")).join(bounds.alias("y"), F.col("b") == F.col("y.id")).where(may_link("x", "y", percent)).select("a", "b", both_large("x", "y").alias("large"))
     first = components(by_light.unionByName(verified(within_cells(materialize(starred, "starred"), sets, percent), names, rows, n, percent)))
 
-    part = materialize(met.select("key", "id").join(first, "id", "left").withColumn("component", F.coalesce("component", "id")), "part")
+    part = materialize(met.select("key", "id", "pos").join(first, "id", "left").withColumn("component", F.coalesce("component", "id")), "part")
     mixed_lists = part.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     rest = materialize(part.join(mixed_lists, "key", "left_semi").join(bounds, "id"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & may_link("x", "y", percent)
+    # of the shingles that a pair shares, the first leaves room for the whole overlap; later ones that don't are not needed
+    room = (100 + percent) * F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= percent * (F.col("x.n") + F.col("y.n"))
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & room & may_link("x", "y", percent)
     crossed = materialize(x.join(y, apart).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), both_large("x", "y").alias("large")).distinct(), "crossed")
     second = verified(within_cells(crossed, sets, percent), names, rows, n, percent)
     over = part.select("id", "component").distinct()
