@@ -269,6 +269,47 @@ def test_licenses(odd, docs, texts):
     assert licenses.scan_licenses(odd.limit(0)).count() == 0
 
 
+def plain_notices(words):
+    """(label, begin, end) of each notice by diagonal voting, place by place."""
+    out = []
+    for phrase, label in licenses.NOTICES:
+        t = phrase.split()
+        votes = {}
+        for i in range(len(words) - 2):
+            for pos in range(len(t) - 2):
+                if words[i : i + 3] == t[pos : pos + 3]:
+                    votes.setdefault(i - pos, set()).add(pos)
+        runs, last = [], None
+        for begin, d in sorted((d + min(p), d) for d, p in votes.items()):
+            end = d + max(votes[d]) + 3
+            if last is None or abs(d - last[0]) > licenses.STEP or begin > last[1] + licenses.STEP:
+                runs.append([begin, end, set()])
+            runs[-1] = [min(runs[-1][0], begin), max(runs[-1][1], end), runs[-1][2] | votes[d]]
+            last = d, end
+        for begin, end, places in runs:
+            if len({p + k for p in places for k in range(3)}) / len(t) >= licenses.COVER and end - begin <= 2 * len(t):
+                out.append((label, begin, end))
+    return sorted(out)
+
+
+def test_license_notices_against_plain_voting(spark):
+    rng, rows = np.random.default_rng(4), []
+    for i in range(150):
+        words = list(rng.choice(["the", "software", "license", "this", "work", "is", "under", "x", "y"], int(rng.integers(0, 12))))
+        for k in rng.integers(0, len(licenses.NOTICES), int(rng.integers(0, 3))):
+            own = licenses.NOTICES[k][0].split()
+            for _ in range(int(rng.integers(0, 3))):
+                at = int(rng.integers(0, len(own)))
+                own[at : at + int(rng.integers(0, 2))] = ["new"] * int(rng.integers(0, 3))
+            words += own + list(rng.choice(["a", "b"], int(rng.integers(0, 4))))
+        rows.append((i, " ".join(words)))
+    rows += rows[:3]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(i, plain_notices(t.split())) for i, t in rows]
+    same([(r["doc_id"], sorted((x["label"], x["begin"], x["end"]) for x in r["spans"] or [])) for r in got], want)
+    assert sum(bool(w) for _, w in want) > 50
+
+
 def brute_contamination(rows, items, window=13):
     wins = {}
     for item, t in items:
@@ -438,6 +479,37 @@ def test_lm_base_scores(odd, docs, texts):
     assert lm.lm_scores(odd.limit(0)).count() == 0
 
 
+def test_lm_scores_against_exact_counts(spark, docs, texts):
+    """The filter's answers differ from exact, quantised counts by false probes only."""
+    tokens = {i: [*BLANK.findall((t or "").translate(LOW)), None] for i, t in texts}
+    trained = [ws for i, ws in tokens.items() if crc(i) % 7 != 2]
+    one, two = Counter(w for ws in trained for w in ws), Counter(p for ws in trained for p in zip([None, *ws[:-1]], ws))
+    n, v = sum(one.values()), len(one)
+    read = lambda c: float(lm.COUNT_OF[c.bit_length()])
+    apart = []
+    for r in lm.lm_scores(docs).collect():
+        ws, want = tokens[r["doc_id"]], 0.0
+        for a, w in zip([None, *ws[:-1]], ws):
+            low = min((read(one[w]) + 1) / (n + v + 1), 1.0)
+            context = read(one[a])
+            want += log10(lm.WEIGHT * min(read(two[a, w]), context) / context + (1 - lm.WEIGHT) * low if context else low)
+        assert r["score"] < 0
+        apart.append((abs(r["score"] - want) / len(ws), r["held_out"]))
+    assert np.mean([x for x, held in apart if not held]) < 0.05 and np.mean([x for x, held in apart if held]) < 0.3, (np.mean([x for x, h in apart if not h]), np.mean([x for x, h in apart if h]))
+
+
+def test_long_texts_without_blanks(spark):
+    """A megabyte in one word: tokenised as by the library, and scored, joined and scanned as one word."""
+    text = "".join(np.random.default_rng(6).choice(list("abcdefghij0123456789+/"), 1_000_000))
+    frame = spark.createDataFrame([(1, text), (2, text + " end")], "doc_id long, text string")
+    want = plain_ids([(1, text), (2, text + " end")], 1)
+    same([(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_files.token_file_digest(frame, TOKENIZER).collect()], [(i, len(x), zlib.crc32(x.tobytes())) for i, x in want])
+    assert sum(r["length"] for r in packing.pack(frame, TOKENIZER).collect()) == sum(len(x) for _, x in want)
+    assert [r["n_tokens"] for r in lm.lm_scores(frame).orderBy("doc_id").collect()] == [2, 3]
+    same([tuple(r) for r in ngram_join.jaccard_join(frame).collect()], [(1, 1, 1), (2, 1, 2)])
+    assert [r["n_words"] for r in decontamination.decontaminate(frame, frame.selectExpr("doc_id as item_id", "'end' as text")).orderBy("doc_id").collect()] == [len(ALNUM.findall(text)), len(ALNUM.findall(text)) + 1]
+
+
 def test_lm_filter_reads_counts_back():
     rng = np.random.default_rng(0)
     keys, counts = rng.integers(1, 1 << 62, 5000).astype(np.uint64), rng.integers(1, 300, 5000)

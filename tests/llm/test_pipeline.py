@@ -52,3 +52,10 @@ def test_odd_rows_pass_through(spark):
         docs = stage(spark, docs, "/root/testdata/sf0.001")
     found = {r["doc_id"] for r in docs.collect()}
     assert {None, 0, 1, 2, 3, 4, 7, 8, 9, 11} <= found and 6 not in found and 10 not in found
+
+
+def test_an_empty_table_passes_through(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "/root/testdata/sf0.001")
+    assert docs.count() == 0
