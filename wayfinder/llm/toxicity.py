@@ -195,33 +195,32 @@ def fit_chain(rows: list[tuple[str, int]]) -> Model:
     """Token labels from document labels by lift, then gradient ascent (each step scaled by the gradients so far) over blocks of tokens."""
     counts = {0: Counter(), 1: Counter()}
     sizes = Counter(y for _, y in rows)
-    cut = [(t.encode("utf-8").translate(WORD_BYTES).decode("utf-8").split(" "), y) for t, y in rows]
-    cut = [([w for w in words if w], y) for words, y in cut]
-    for words, y in cut:
-        counts[y].update({f for w in set(words) for f in features_of(w)})
+    number: dict[str, int] = {}
+    cut = []
+    for t, y in rows:
+        words = t.encode("utf-8").translate(WORD_BYTES).decode("utf-8").split(" ")
+        cut.append((np.array([number.setdefault(w, len(number)) for w in words if w], np.int32), y))
+    features = [features_of(w) for w in number]
+    for ids, y in cut:
+        counts[y].update({f for i in np.unique(ids).tolist() for f in features[i]})
     least = max(LEAST_DOCS, LEAST_SHARE * sizes[1])
     lift = {f: (n / max(1, sizes[1])) / ((counts[0][f] + 0.5) / max(1, sizes[0])) for f, n in counts[1].items() if n >= least}
     marked = {f for f, x in lift.items() if x >= LIFT}
     common = {f for c in counts.values() for f in c if counts[0][f] + counts[1][f] >= LEAST_DOCS}
     index: dict[str, int] = {}
-    token_features: list[list[int]] = []
-    labels: list[bool] = []
-    lengths: list[int] = []
-    seen: dict[str, tuple[list[int], bool]] = {}
-    for words, y in cut:
-        lengths += [min(BLOCK, len(words) - a) for a in range(0, len(words), BLOCK)]
-        for w in words:
-            if w not in seen:
-                own = [f for f in features_of(w) if f in common]
-                seen[w] = ([index.setdefault(f, len(index)) for f in own], any(f in marked for f in own))
-            token_features.append(seen[w][0])
-            labels.append(bool(y) and seen[w][1])
-    y = np.array(labels, float)
-    if not len(y):
+    own = [[f for f in fs if f in common] for fs in features]
+    by_word = [[index.setdefault(f, len(index)) for f in fs] for fs in own]
+    toxic = np.array([any(f in marked for f in fs) for fs in own], bool)
+    tokens = np.concatenate([np.empty(0, np.int32), *(ids for ids, _ in cut)])
+    if not len(tokens):
         return Model()
-    width = np.array([len(x) for x in token_features])
-    flat = np.fromiter((i for x in token_features for i in x), np.int64, int(width.sum()))
-    owner = np.repeat(np.arange(len(y)), width)
+    lengths = [min(BLOCK, len(ids) - a) for ids, _ in cut for a in range(0, len(ids), BLOCK)]
+    y = (np.repeat([bool(v) for _, v in cut], [len(ids) for ids, _ in cut]) & toxic[tokens]).astype(float)
+    sizes_of = np.array([len(x) for x in by_word])
+    width, begin = sizes_of[tokens], (np.cumsum(sizes_of) - sizes_of)[tokens]
+    all_of = np.fromiter((i for x in by_word for i in x), np.int32, int(sizes_of.sum()))
+    flat = all_of[np.arange(width.sum()) + np.repeat(begin - (np.cumsum(width) - width), width)]
+    owner = np.repeat(np.arange(len(y), dtype=np.int32), width)
     size = np.array(lengths)
     inner = np.ones(len(y), bool)
     inner[np.cumsum(size) - size] = False
