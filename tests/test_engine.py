@@ -312,7 +312,7 @@ def test_queries_agree_with_sql(spark, sf_dir):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     every, sql = queries.QUERIES | extraction_queries.QUERIES, queries.ORACLE | extraction_queries.ORACLE
     # the rest is compared by the driver; these are the most involved
-    for name in ("search_lexical", "classified_queries", "file_changes", "evaluation_of_search", "structure_tree", "path_rules", "routes", "plan_totals", "extracted_edges", "budget_batches", "excerpts", "entity_view", "repo_profile"):
+    for name in ("search_lexical", "classified_queries", "file_changes", "evaluation_of_search", "structure_tree", "path_rules", "routes", "budget_batches", "excerpts", "entity_view", "repo_profile"):
         df = every[name](spark, sf_dir)
         cur = con.execute(sql[name])
         at = [[d[0] for d in cur.description].index(c) for c in df.columns]
