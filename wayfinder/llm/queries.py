@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfinder.llm import ann, decontamination, licenses, lm, ngram_join, packing, secrets, token_files, toxicity, url_filter
+from wayfinder.llm import ann, decontamination, filter_audit, licenses, lm, ngram_join, packing, secrets, token_files, toxicity, url_filter
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -59,8 +59,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_license_scan, op4_decontamination, op5_secret_scan, op6_ngram_join, op7_ann, op8_lm_scoring, op9_packing, op10_token_files)
+    f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_license_scan, op4_decontamination, op5_secret_scan, op6_ngram_join, op7_ann, op8_lm_scoring, op9_packing, op10_token_files, op11_filter_audit)
 }
 
 #: Lower-cases A-Z only.
@@ -94,4 +98,26 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op4_decontamination": OP4_SQL, "op6_ngram_join": OP6_SQL}
+#: Documents by their failures as bits, met with each order's steps.
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS caps FROM t),
+first AS (SELECT text, min(doc_id) AS first FROM t GROUP BY text),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+bits AS (SELECT part, CASE WHEN len(words) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END + CASE WHEN 100 * caps > 5 * length(w.text) THEN 4 ELSE 0 END
+  + CASE WHEN regexp_matches(w.text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN w.doc_id > first.first THEN 16 ELSE 0 END AS fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM w JOIN first ON first.text = w.text LEFT JOIN marks ON marks.doc_id = w.doc_id),
+flags AS (SELECT part, fails, good, toxic, count(*) AS n FROM bits GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM orders),
+places AS (SELECT filter_order, step, 1 << (instr('ABCDE', filter_order[step]) - 1) AS f, sum(CASE WHEN instr(filter_order, x) < step THEN 1 << (instr('ABCDE', x) - 1) ELSE 0 END) :: INTEGER AS before FROM steps, l GROUP BY filter_order, step),
+met AS (SELECT part, filter_order, step, f, fails, good, toxic, n, (fails & before) <> 0 AS gone, (fails & f) <> 0 AS bad FROM flags, places),
+sums AS (SELECT part, filter_order, step, f, CAST(sum(CASE WHEN NOT gone AND NOT bad THEN n ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN NOT gone AND bad THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN gone AND bad THEN n ELSE 0 END) AS BIGINT) AS redundant, CAST(sum(CASE WHEN fails = f THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN NOT gone AND bad THEN n * good ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN NOT gone AND bad THEN n * toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM met GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM sums
+"""
+
+ORACLE: dict[str, str] = {"op11_filter_audit": OP11_SQL, "op4_decontamination": OP4_SQL, "op6_ngram_join": OP6_SQL}
