@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfinder.llm import ann, decontamination, filter_audit, licenses, lm, ngram_join, packing, secrets, token_files, toxicity, url_filter
+from wayfinder.llm import ann, decontamination, divergence, filter_audit, licenses, lm, ngram_join, packing, secrets, token_files, toxicity, url_filter
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -63,8 +63,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_license_scan, op4_decontamination, op5_secret_scan, op6_ngram_join, op7_ann, op8_lm_scoring, op9_packing, op10_token_files, op11_filter_audit)
+    f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_license_scan, op4_decontamination, op5_secret_scan, op6_ngram_join, op7_ann, op8_lm_scoring, op9_packing, op10_token_files, op11_filter_audit, op13_source_divergence)
 }
 
 #: Lower-cases A-Z only.
@@ -120,4 +124,21 @@ sums AS (SELECT part, filter_order, step, f, CAST(sum(CASE WHEN NOT gone AND NOT
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM sums
 """
 
-ORACLE: dict[str, str] = {"op11_filter_audit": OP11_SQL, "op4_decontamination": OP4_SQL, "op6_ngram_join": OP6_SQL}
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+g AS (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+k AS (SELECT lang, term FROM d GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM d SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+gn AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS n FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source),
+f AS (SELECT gn.lang, gn.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + (1000000000 * CAST(coalesce(c.n, 0) + 5 AS HUGEINT)) // (gn.n + 5 * v) AS BIGINT) AS p
+  FROM gn JOIN k ON k.lang = gn.lang JOIN v ON v.lang = gn.lang LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = k.term),
+ln AS (SELECT lang, sum(n) AS n FROM gn GROUP BY lang),
+q AS (SELECT c.lang, term, CAST(1 + (1000000000 * CAST(sum(c.n) + 5 AS HUGEINT)) // (ln.n + 5 * v) AS BIGINT) AS q FROM c JOIN ln ON ln.lang = c.lang JOIN v ON v.lang = c.lang GROUP BY c.lang, term, ln.n, v),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM f a JOIN f b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY a.lang, a.source, b.source),
+p AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+t AS (SELECT f.lang, source, 'term' AS part, f.term AS item, f.p - q.q AS value FROM f JOIN q ON q.lang = f.lang AND q.term = f.term WHERE f.n > 0 AND f.p > q.q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (FROM p UNION ALL FROM t)) WHERE part = 'pair' OR rank <= 50
+"""
+
+ORACLE: dict[str, str] = {"op13_source_divergence": OP13_SQL, "op11_filter_audit": OP11_SQL, "op4_decontamination": OP4_SQL, "op6_ngram_join": OP6_SQL}
