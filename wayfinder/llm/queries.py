@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfinder.llm import ann, decontamination, divergence, filter_audit, licenses, lm, ngram_join, packing, secrets, token_files, toxicity, url_filter
+from wayfinder.llm import ann, decontamination, divergence, filter_audit, licenses, lm, ngram_join, packing, secrets, token_files, toxicity, url_filter, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -63,12 +63,17 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.capture_histories(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_license_scan, op4_decontamination, op5_secret_scan, op6_ngram_join, op7_ann, op8_lm_scoring, op9_packing, op10_token_files, op11_filter_audit, op13_source_divergence)
+    f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_license_scan, op4_decontamination, op5_secret_scan, op6_ngram_join, op7_ann, op8_lm_scoring, op9_packing, op10_token_files, op11_filter_audit, op12_warc, op13_source_divergence)
 }
 
 #: Lower-cases A-Z only.
@@ -124,6 +129,14 @@ sums AS (SELECT part, filter_order, step, f, CAST(sum(CASE WHEN NOT gone AND NOT
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM sums
 """
 
+#: Five hexadecimal digits are four digits of base 32.
+OP12_SQL = f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT *, {" || ".join(f"'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((CAST('0x' || h[{5 * g + 1}:{5 * g + 5}] AS INTEGER) >> {s}) & 31)]" for g in range(8) for s in (15, 10, 5, 0))} AS payload_digest,
+  max(page_id) OVER (PARTITION BY h) AS keeper FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM d
+"""
+
 OP13_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
 g AS (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
@@ -141,4 +154,4 @@ t AS (SELECT f.lang, source, 'term' AS part, f.term AS item, f.p - q.q AS value
 SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (FROM p UNION ALL FROM t)) WHERE part = 'pair' OR rank <= 50
 """
 
-ORACLE: dict[str, str] = {"op13_source_divergence": OP13_SQL, "op11_filter_audit": OP11_SQL, "op4_decontamination": OP4_SQL, "op6_ngram_join": OP6_SQL}
+ORACLE: dict[str, str] = {"op12_warc": OP12_SQL, "op13_source_divergence": OP13_SQL, "op11_filter_audit": OP11_SQL, "op4_decontamination": OP4_SQL, "op6_ngram_join": OP6_SQL}
