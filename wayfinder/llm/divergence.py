@@ -116,7 +116,7 @@ def tile(groups: pa.Table, cells: pa.Table, top: int) -> pa.Table:
     bounds = len(sources) * slice_ // slices, len(sources) * (slice_ + 1) // slices
     i, j, value = pair_sums(p, *bounds)
     first = list(heaps(p, q, counts, at.dictionary.to_pylist(), top, *bounds))
-    kinds = pa.array(["pair"] * len(i) + ["term"] * len(first))
+    kinds = pa.array(["pair"] * len(i) + ["term"] * len(first), pa.string())
     a = pa.concat_arrays([sources.take(pa.array(i)), sources.take(pa.array([x[0] for x in first], pa.int64()))])
     b = pa.concat_arrays([sources.take(pa.array(j)), pa.array([x[1] for x in first], pa.string())])
     return pa.table({"lang": pa.repeat(pa.scalar(lang), len(kinds)), "part": kinds, "a": a, "b": b, "value": np.concatenate((value, np.array([x[2] for x in first], np.int64)))})
