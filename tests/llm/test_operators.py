@@ -242,7 +242,15 @@ def test_toxicity_ignores_labels_of_absent_documents_and_bounds_its_sample(spark
     assert all((x >= 0.3) == (i % 3 == 0) for i, x in want.items())
     again = docs.unionByName(docs.where("doc_id = 0")).unionByName(docs.where("doc_id = 0"))  # a repeated row weighs once
     assert {r["doc_id"]: r["score"] for r in toxicity.toxicity(again, labels).collect()} == want
-    assert toxicity.train(docs, labels, sample_bytes=10).head is None
+    # a text that is too long for the sample is left out alone, toxic or clean, labelled or not
+    huge = spark.createDataFrame([(1000, "vile nasty slur " + "endless " * 4_200_000), (1001, "kind gentle note " + "endless " * 4_200_000)], "doc_id long, text string")
+    wide = labels.unionByName(spark.createDataFrame([(1000, 1), (1001, 0)], "doc_id long, toxic int"))
+    found = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs.unionByName(huge), wide).collect()}
+    assert {i: x >= 0.3 for i, x in found.items() if i < 1000} == {i: x >= 0.3 for i, x in want.items()} and set(found) == {*want, 1000, 1001}
+    for bound in (10, 31 * 32):
+        with pytest.raises(ValueError, match="sample_bytes"):
+            toxicity.train(docs, labels, sample_bytes=bound)
+    assert toxicity.train(docs, labels.where("toxic = 0")).head is None
 
 
 def test_toxicity_of_a_very_long_text_takes_no_step_for_each_token():

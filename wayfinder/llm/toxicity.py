@@ -6,11 +6,13 @@ gradient ascent on its log-likelihood, a small logistic model on held-back docum
 into a score, and tokens whose marginal is at least one half are the offending spans.
 
 Fitting uses a bounded sample: SAMPLE_DOCS toxic and as many clean labelled documents of SAMPLE_BYTES of text each,
-chosen by hash of the id. Scoring reads every whole text. Only the text enters a score.
+chosen by hash of the id; longer labelled texts than 1/LARGEST of that are left out of the sample, whole. Scoring reads every
+whole text. Only the text enters a score.
 
 Defined results: a null or empty text has no tokens and gets the score of no evidence; labels that are null or name no
-document are ignored, of several the largest holds, of a repeated id one text is learned from; without labels of both kinds every score is 0; repeated rows each
-get a row.
+document are ignored, of several the largest holds, of a repeated id one text is learned from; without labels of both kinds every score is 0; if both
+kinds have labels and all texts of one are too long for the sample, training fails instead of scoring nothing; repeated rows
+each get a row.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ from pyspark.sql import functions as F
 from wayfinder.llm.common import WORD_BYTES, bound_batches, flat_bytes, id_text_crc, of_bytes, slices_of, whole, words_in
 
 SAMPLE_DOCS = 1000
-#: UTF-8 bytes of the texts of either kind: documents are taken in order of the hash of their id until they would exceed it.
-SAMPLE_BYTES = 32_000_000
+#: UTF-8 bytes of the texts of either kind: documents are taken in order of the hash of their id as long as they fit. A text
+#: that takes more than a share of 1/LARGEST is not learned from, so that LARGEST texts fit at least.
+SAMPLE_BYTES, LARGEST = 32_000_000, 32
 #: Tokens that are worked through one after another; longer texts are cut into such blocks, with the same result.
 STRIDE = 128
 #: A feature marks toxic tokens if it is so many times likelier in toxic documents and in so many of them at least (number, share); rarer features than LEAST_DOCS get no weight.
@@ -257,7 +260,8 @@ def logistic(x: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learns=None, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """learns: a condition on the id; rows for which it fails are not learned from."""
+    """learns: a condition on the id; rows for which it fails are not learned from. A ValueError where documents of both kinds
+    are labelled and the bound on texts leaves one kind none."""
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     marks = marks.where(learns(F.col("id"))) if learns else marks
     marks = marks.groupBy("id").agg(F.max("y").alias("y"))
@@ -270,9 +274,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id
     # at most twice sample_docs ids: fit to be broadcast, as is what is left of them below
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     sized = texts.select("id", "h", F.octet_length("text").cast("long").alias("size")).join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min(F.struct("h", "size")).alias("one"))
+    sized = sized.where(F.col("one.size") <= sample_bytes // LARGEST)
     so_far = F.sum("one.size").over(Window.partitionBy("y").orderBy(*order))
     kept = sized.withColumn("so_far", so_far).where(F.col("so_far") <= sample_bytes).select("id", "y", "one.h")
     rows = texts.join(F.broadcast(kept), ["id", "h"]).groupBy("id", "y").agg(F.min("text").alias("text")).collect()
+    if 0 < share < 1 and len({r["y"] for r in rows}) < 2:
+        raise ValueError(f"all labelled texts of one kind take more than {sample_bytes // LARGEST} bytes; a larger sample_bytes lets them be learned from")
     return fit([(r["text"], r["y"]) for r in sorted(rows, key=lambda r: (r["id"] * 2654435761 % (1 << 32), r["id"]))], float(share))
 
 
