@@ -13,6 +13,7 @@ from wayfinder.operators.routes import task_routes
 from wayfinder.plans import evaluate, index, models, search, summarise
 from wayfinder.schema import Model
 from wayfinder.sources.rust import rust_facts
+from wayfinder.sources.tree import scan_tree
 from wayfinder.streaming import changes
 
 E = "id string, kind string, name string, component_id string, path string, exported boolean"
@@ -110,10 +111,10 @@ relevant = []
 
 
 def test_traversal(spark):
-    m = small(spark, [("a", "repo", "a", ".", True), ("b", "component", "b", "b", True), ("c", "symbol", "c", "c", True), ("b::skip", "component", "x", "x", True)], [("a", "contains", "b"), ("b", "defines", "c"), ("a", "contains", "b::skip"), ("a", "contains", "ghost")])
-    seeds = spark.createDataFrame([("a", 0)], "id string, ord int")
+    m = small(spark, [("port", "repo", "port", ".", True), ("pier", "component", "pier", "p", True), ("winch", "symbol", "winch", "w", True), ("buoy::old", "component", "buoy", "o", True)], [("port", "contains", "pier"), ("pier", "defines", "winch"), ("port", "contains", "buoy::old"), ("winch", "related_to", "buoy::old"), ("port", "contains", "nowhere")])
+    seeds = spark.createDataFrame([("port", 0)], "id string, ord int")
     go = lambda *a, **k: [r["id"] for r in graph.traverse(m.entities, m.edges, seeds, *a, **k).orderBy("ord").collect()]
-    assert go(1, 10) == ["a", "b", "b::skip"] and go(10, 2) == ["a", "b"] and go(10, 10, exclude=("skip",)) == ["a", "b", "c"] and go(10, 10, ["repo", "component"]) == ["a", "b", "b::skip"]
+    assert go(1, 10) == ["port", "buoy::old", "pier"] and go(10, 2) == ["port", "buoy::old"] and go(10, 10, exclude=("old",)) == ["port", "pier", "winch"] and go(10, 10, ["repo", "component"]) == ["port", "buoy::old", "pier"]
 
 
 def test_store_round_trip_and_upsert(spark, tmp_path):
@@ -127,23 +128,26 @@ def test_store_round_trip_and_upsert(spark, tmp_path):
 
 
 TREE = {
-    "Cargo.toml": '[workspace]\nmembers = ["crates/*"]',
-    "crates/foo/Cargo.toml": '[package]\nname = "foo"\n[features]\ndefault = ["std", "dep:x", "a/b"]\nstd = []',
-    "crates/foo/src/lib.rs": "pub fn add() {}\n#[test]\nfn works() {}\n",
-    "crates/bar/Cargo.toml": '[package]\nname = "bar"\n[dependencies]\nfoo = { path = "../foo" }\nserde = "1"',
-    "crates/bar/src/main.rs": "fn main() {}\n",
-    "crates/foobar/x.rs": "struct S;",
-    "web/package.json": '{"name": "web", "dependencies": {"ui": "1"}}',
-    "ui/package.json": '{"name": "ui"}',
-    "mise.toml": '[tasks.deploy]\nrun = "x"',
-    "site/astro.config.mjs": "export default {}",
-    "site/src/pages/index.md": "---\ntitle: x\n---",
-    "site/src/layouts/Base.astro": "<html>",
-    "infra/main.tf": "",
-    "skip/gone.rs": "fn x() {}",
-    ".gitignore": "skip/\n*.tmp\n!keep.tmp\n",
-    "a.tmp": "x",
-    "keep.tmp": "x",
+    "Cargo.toml": '[workspace]\nmembers = ["harbour/*"]',
+    "harbour/crane/Cargo.toml": '[package]\nname = "crane"\n[features]\ndefault = ["winch", "dep:rope", "ropes/steel"]\nwinch = []',
+    "harbour/crane/src/hoist.rs": "/* lifts /* nested */ fn ghost() {} */\npub fn hoist() {}\n#[bench]\nfn lifts_fast() {}\n",
+    "harbour/pilot/Cargo.toml": '[package]\nname = "pilot"\n[dependencies]\nlift = { path = "../crane" }\nradio = "2"',
+    "harbour/pilot/src/steer.rs": "fn steer<'a>(c: char) -> bool { c == '{' }\n",
+    "harbour/pilots/log.rs": "enum Entry {}",
+    "kiosk/Cargo.toml": '[package]\nname = "kiosk-core"',  # two manifests in one root: npm names the component
+    "kiosk/package.json": '{"name": "kiosk", "dependencies": {"tickets": "1"}, "workspaces": ["./stalls/a", "missing", 7]}',
+    "kiosk/stalls/a/package.json": '{"name": "tickets"}',
+    "mise.toml": '[tasks.release_tide]\nrun = "x"',
+    "quay/hugo.toml": 'theme = "wave"',
+    "quay/blog/first.md": "+++\ntitle = 1\n+++",
+    "quay/layouts/frame.html": "<html>",
+    "dock/main.tf": "",
+    "wreck/sunk.rs": "fn x() {}",
+    ".gitignore": "wreck/\n*.bak\n!keep.bak\n/kiosk/stalls\n",
+    "quay/.gitignore": "!old.bak\n",
+    "quay/old.bak": "x",
+    "new.bak": "x",
+    "keep.bak": "x",
 }
 
 
@@ -158,28 +162,50 @@ def test_index_a_tree_and_again(spark, tmp_path):
     m = index.extract(spark, str(tmp_path), ("*.lock",))
     entities = {r["id"]: r for r in m.entities.collect()}
     edges = {(r["src_id"], r["rel"], r["dst_id"]) for r in m.edges.collect()}
-    foo, bar = "component::cargo::crates/foo", "component::cargo::crates/bar"
-    assert {"repo::.", foo, bar, "component::npm::web", "feature::crates/foo::default", "task::mise.toml::deploy", "symbol::crates/foo/src/lib.rs::add", "test::crates/foo/src/lib.rs::works", "site::site", "content_page::site/src/pages/index.md", "template::site/src/layouts/Base.astro", "infra_root::infra/main.tf", "doc::site/src/pages/index.md"} <= set(entities)
-    assert {(bar, "depends_on", foo), ("component::npm::web", "depends_on", "component::npm::ui"), ("repo::.", "contains", foo), (foo, "contains", "source_unit::crates/foo/src/lib.rs"), ("feature::crates/foo::default", "feature_enables", "feature::crates/foo::std"), ("template::site/src/layouts/Base.astro", "renders", "site::site"), ("repo::.", "owns_task", "task::mise.toml::deploy")} <= edges
+    crane, pilot, kiosk = "component::cargo::harbour/crane", "component::cargo::harbour/pilot", "component::npm::kiosk"
+    hoist = "harbour/crane/src/hoist.rs"
+    assert {"repo::.", crane, pilot, kiosk, "component::npm::kiosk/stalls/a", "feature::harbour/crane::default", "task::mise.toml::release_tide", f"symbol::{hoist}::hoist", f"bench::{hoist}::lifts_fast", "site::quay", "content_page::quay/blog/first.md", "infra_root::dock/main.tf", "doc::quay/blog/first.md"} <= set(entities)
+    assert {(pilot, "depends_on", crane), (kiosk, "depends_on", "component::npm::kiosk/stalls/a"), ("repo::.", "contains", crane), (crane, "contains", f"source_unit::{hoist}"), ("feature::harbour/crane::default", "feature_enables", "feature::harbour/crane::winch"), ("template::quay/layouts/frame.html", "renders", "site::quay"), ("repo::.", "owns_task", "task::mise.toml::release_tide")} <= edges
     owners = {r["path"]: r["component_id"] for r in m.files.collect()}
-    assert owners["crates/foobar/x.rs"] is None and owners["crates/foo/src/lib.rs"] == foo and "skip/gone.rs" not in owners and "a.tmp" not in owners and "keep.tmp" in owners
-    assert not any("a/b" in i or "dep:" in i for i in entities)
+    assert owners["harbour/pilots/log.rs"] is None and owners[hoist] == crane and "keep.bak" in owners and "quay/old.bak" in owners
+    assert not {"wreck/sunk.rs", "new.bak", "kiosk/stalls/a/package.json"} & set(owners)
+    assert not any("ghost" in i or "ropes" in i or "dep:" in i or "kiosk-core" in (r["name"] or "") for i, r in entities.items())
     store.save(m, str(tmp_path.parent / "store"))
     kept = store.load(spark, str(tmp_path.parent / "store"))
-    write_tree(tmp_path, {"crates/foo/src/lib.rs": "pub fn add() {}\npub fn two() {}\n"})
-    (tmp_path / "crates/bar/src/main.rs").unlink()
+    write_tree(tmp_path, {hoist: "pub fn hoist() {}\npub fn lower() {}\n"})
+    (tmp_path / "harbour/pilot/src/steer.rs").unlink()
     spark.catalog.clearCache()
     now, changes = index.reindex(kept, str(tmp_path), ("*.lock",))
-    assert rows(changes) == [("crates/bar/src/main.rs", "deleted"), ("crates/foo/src/lib.rs", "changed")]
+    assert rows(changes) == [(hoist, "changed"), ("harbour/pilot/src/steer.rs", "deleted")]
     full = index.extract(spark, str(tmp_path), ("*.lock",))
-    assert rows(now.entities.select("id", "name")) == rows(full.entities.select("id", "name")) and rows(now.edges.select("src_id", "rel", "dst_id")) == rows(full.edges.select("src_id", "rel", "dst_id"))
+    for name in ("entities", "edges", "files", "task_routes"):
+        assert rows(getattr(now, name)) == rows(getattr(full, name)), name
 
 
 def test_rust_items():
     text = '//! x { fn no() }\npub use a::B;\npub(crate) struct Foo<T> { a: T }\npub trait T { fn inner(&self) {} }\nimpl Show for Foo { pub fn show(&self) -> &str { "}" } }\nmod tests { #[tokio::test]\n async fn runs() { fn nested() {} } }\n'
     entities, edges = rust_facts("f.rs", None, text)
     assert [(e["id"], e["line_start"], e["visibility"], e["exported"]) for e in entities[1:]] == [("symbol::f.rs::Foo", 3, "internal", False), ("symbol::f.rs::T", 4, "public", True), ("symbol::f.rs::show", 5, "public", True), ("test::f.rs::runs", 7, None, False)]
-    assert {"src_id": "symbol::f.rs::Foo", "rel": "implements", "dst_id": "symbol::f.rs::Show"} in edges and {"src_id": "source_unit::f.rs", "rel": "reexports", "dst_id": "symbol::f.rs::B"} in edges
+    found = {(e["src_id"], e["rel"], e["dst_id"], e["provenance_path"], e["provenance_line"]) for e in edges}
+    assert {("symbol::f.rs::Foo", "implements", "symbol::f.rs::Show", "f.rs", 5), ("source_unit::f.rs", "reexports", "symbol::f.rs::B", "f.rs", 2)} <= found
+
+
+def test_rust_comments_literals_and_macros():
+    """Each text holds one item, whatever its comments, literals, lifetimes and macros look like."""
+    texts = (
+        "/* a /* b */ fn no() {} */ fn yes() {}",
+        "/* never closed? /* no */ */ fn yes() {} /* fn no() {}",
+        "// fn no() {}\nfn yes() {}",
+        'const S: &str = "fn no() { \\" }"; fn yes() {}',
+        'const S: &str = r##"fn no() "# {"##; fn yes() {}',
+        'const B: &[u8] = br#"{"#; const C: u8 = b\'{\'; fn yes() {}',
+        "fn yes<'a, 'static_>(x: &'a str, c: char) -> bool { c == '\\'' || c == '}' || c == '\\u{7b}' }",
+        "make!( fn no() {} );\nmake![ struct No; ];\nmake!{ enum No {} }\nfn yes() {}",
+        "macro_rules! make { () => { fn no() {} } }\nfn yes() {}",
+    )
+    for text in texts:
+        entities, _ = rust_facts("f.rs", None, text)
+        assert [e["name"] for e in entities[1:]] == ["yes"], text
 
 
 def test_models_fall_back(spark):
@@ -246,14 +272,16 @@ def test_index_run_with_summaries_and_vectors(spark, tmp_path):
     c = config.Config()
     m = index.index(spark, str(tmp_path / "t"), ("*.lock",), config=c, summaries=notes(), vectors=notes())
     found = {r["entity_id"]: r["short_summary"] for r in m.summaries.collect()}
-    assert {"repo::.", "component::cargo::crates/foo", "symbol::crates/foo/src/lib.rs::add", "doc::site/src/pages/index.md"} == set(found) & {"repo::.", "component::cargo::crates/foo", "symbol::crates/foo/src/lib.rs::add", "doc::site/src/pages/index.md"}
-    assert "symbol::crates/bar/src/main.rs::main" not in found  # not exported
+    assert {"repo::.", "component::cargo::harbour/crane", "symbol::harbour/crane/src/hoist.rs::hoist", "doc::quay/blog/first.md"} <= set(found)
+    assert "symbol::harbour/pilot/src/steer.rs::steer" not in found  # not exported
     assert {r["entity_id"] for r in m.embeddings.collect()} == set(found)
     store.save(m, str(tmp_path / "s"))
     kept = store.load(spark, str(tmp_path / "s"))
-    write_tree(tmp_path / "t", {"crates/foo/src/lib.rs": "pub fn add() -> u8 { 1 }\n"})
-    work = summarise.stale_work(index.index(spark, str(tmp_path / "t"), ("*.lock",), kept), index.text_contents(spark, str(tmp_path / "t"), ("*.lock",)))
-    assert "symbol::crates/foo/src/lib.rs::add" in {r["entity_id"] for r in work.collect()} and "doc::site/src/pages/index.md" not in {r["entity_id"] for r in work.collect()}
+    write_tree(tmp_path / "t", {"harbour/crane/src/hoist.rs": "pub fn hoist() -> u8 { 1 }\n"})
+    again = index.delta(kept, scan_tree(spark, str(tmp_path / "t"), ("*.lock",)))
+    assert rows(again.parsed) == [("harbour/crane/src/hoist.rs",)]
+    work = {r["entity_id"] for r in summarise.stale_work(again.model, index.text_contents(scan_tree(spark, str(tmp_path / "t")), again.model.entities)).collect()}
+    assert "symbol::harbour/crane/src/hoist.rs::hoist" in work and "doc::quay/blog/first.md" not in work
     forced = index.index(spark, str(tmp_path / "t"), ("*.lock",), kept, force=True)
     assert forced.summaries.count() == 0 and forced.entities.count() > 0
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfinder.operators.store import cascade_entities, cascade_files
-from wayfinder.schema import Model, component_parts
+from wayfinder.schema import component_parts
 
 
 def classify_files(current: DataFrame, stored: DataFrame) -> DataFrame:
@@ -36,17 +35,6 @@ def stale_embeddings(summaries: DataFrame, entities: DataFrame, embeddings: Data
     return live.join(embeddings.where(F.col("model") == model).select("entity_id"), "entity_id", "left_anti")
 
 
-def apply_changes(m: Model, changes: DataFrame, facts: Model) -> Model:
-    """The model after an incremental run: what came from changed and deleted files goes, and facts (a full extraction of
-    the current tree; unchanged rows come back as they were) are put in, so that the result is that of a full rebuild.
-    Summaries and vectors of entities that stay are kept."""
-    touched = changes.where("change in ('changed', 'deleted')").select("path")
-    left = cascade_files(m, touched)
-    dead = left.entities.join(facts.entities.select("id"), "id", "left_anti").select("id")
-    left = cascade_entities(left, dead)
-    return left.with_tables(entities=facts.entities, edges=facts.edges, files=facts.files, task_routes=facts.task_routes)
-
-
 def component_profile(entities: DataFrame) -> DataFrame:
     """Per component: symbols, tests, benches, sorted source and document paths (names where there is no path)."""
     paths = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.coalesce("path", "name"))))

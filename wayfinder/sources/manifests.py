@@ -34,7 +34,7 @@ def parse_manifest(path: str, content: bytes) -> dict | None:
     if name == "package.json":
         given = {d for key in ("dependencies", "devDependencies", "peerDependencies") if isinstance(data.get(key), dict) for d in data[key]}
         spaces = data.get("workspaces")
-        return out | {"ecosystem": "npm", "name": data.get("name"), "deps": [{"name": d, "path": None} for d in sorted(given)], "members": [m for m in spaces if isinstance(m, str)] if isinstance(spaces, list) else []}
+        return out | {"ecosystem": "npm", "name": data.get("name"), "deps": [{"name": d, "path": None} for d in sorted(given)], "members": [p for m in spaces if isinstance(m, str) and (p := inside(root, m)) is not None] if isinstance(spaces, list) else []}
     if name == "mise.toml":
         return out | {"ecosystem": "mise", "tasks": sorted(data.get("tasks", {}))}
     deps = [(n, d) for key in ("dependencies", "dev-dependencies") for n, d in data.get(key, {}).items()]
@@ -57,6 +57,12 @@ def read_manifests(files: DataFrame) -> DataFrame:
     return files.where(basename(F.col("path")).isin("Cargo.toml", "package.json", "mise.toml")).select("path", "content").mapInArrow(run, MANIFEST)
 
 
+def member_manifests(manifests: DataFrame) -> DataFrame:
+    """path, whole: manifests of workspace members, which count even where the listing leaves them out."""
+    roots = manifests.select(F.explode("members").alias("root")).distinct()
+    return roots.select(F.when(F.col("root") == "", "package.json").otherwise(F.concat("root", F.lit("/package.json"))).alias("path"), F.lit(True).alias("whole"))
+
+
 def registry(manifests: DataFrame) -> DataFrame:
     """root, name, ecosystem, component_id: one component for each root, npm before cargo."""
     named = manifests.where("name is not null and ecosystem in ('cargo', 'npm')")

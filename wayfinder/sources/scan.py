@@ -1,16 +1,11 @@
-"""Scans of a source tree: files with their content hashes, ignore rules, kinds and declarative entities."""
+"""Facts of files by their paths: kinds, declarative entities, documents, pages and sites. Edges that stem from one file name it as provenance."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import pyarrow as pa
-from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfinder.functions.text import basename, extension, glob_regex, stem
+from wayfinder.functions.text import ancestors, basename, extension, glob_regex, stem
 
 # Kinds of files by name and by extension.
 NAMED_KINDS = (("config", ("Dockerfile", "docker-compose.yml")), ("build", ("Makefile", "Justfile", "mise.toml", "Cargo.toml", "package.json")))
@@ -42,71 +37,10 @@ GLOBS = (
     ("**/*.astro", "template"),
     ("**/*.hbs", "template"),
 )
+# Relations of the repository to entities of a kind, and folders whose documents are pages.
 REPO_EDGES = {"migration": "migrates", "spec": "specifies"}
 CONTENT_DIRS = ("content", "pages", "blog")
 
-FILES_IN_TASK = 500
-
-
-def ignored(path: Column, patterns: list[str]) -> Column:
-    """Whether some exclude glob fits; a pattern for a directory's content also fits what lies below it anywhere."""
-    return reduce(lambda a, b: a | b, [path.rlike(glob_regex(p)) for p in patterns], F.lit(False))
-
-
-def ignore_rules(files: DataFrame) -> list[tuple[str, str, bool]]:
-    """(directory, regex on the path below it, whether it ignores) of all .gitignore lines, outermost directory first; later rules win.
-    Only the .gitignore files are brought together, which are as many as were written by hand."""
-    rows = files.where(basename(F.col("path")) == ".gitignore").select("path", F.decode("content", "utf-8").alias("text")).collect()
-    rules = []
-    for r in sorted(rows, key=lambda r: (r["path"].count("/"), r["path"])):
-        base = r["path"].rpartition("/")[0]
-        for line in r["text"].splitlines():
-            line = line.rstrip()
-            if not line or line.startswith("#"):
-                continue
-            keep = line.startswith("!")
-            body = line[1:] if keep else line
-            tail = "/.*" if body.endswith("/") else "(?:/.*)?"
-            core = body.strip("/")
-            # within one name * does not cross '/'
-            rx = glob_regex(core)[1:-1].replace("(?:.*/)?", "\0").replace(".*", "[^/]*").replace("\0", "(?:.*/)?")
-            rules.append((base, f"^{'' if '/' in body.rstrip('/') else '(?:.*/)?'}{rx}{tail}$", not keep))
-    return rules
-
-
-def git_ignored(path: Column, rules: list[tuple[str, str, bool]]) -> Column:
-    out = F.lit(False)
-    for base, rx, ignores in rules:
-        below = F.substring(path, len(base) + 2, 1 << 20) if base else path
-        inside = path.startswith(base + "/") if base else F.lit(True)
-        out = F.when(inside & below.rlike(rx), ignores).otherwise(out)
-    return out
-
-
-def scan_tree(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), honour_ignores: bool = True) -> DataFrame:
-    """path (relative), hash, content of regular files below root, hidden and empty ones included, sorted by path.
-
-    Spark's own binary reader leaves hidden and empty files out, so names are listed once and contents are read in tasks.
-    """
-    store, base = fs.FileSystem.from_uri(root)
-    found = store.get_file_info(fs.FileSelector(base, recursive=True))
-    names = sorted((f.path[len(base) + 1 :],) for f in found if f.type == fs.FileType.File)
-    listed = spark.createDataFrame(names, "path string").where(~ignored(F.col("path"), list(exclude)))
-    parts = max(1, len(names) // FILES_IN_TASK)
-    files = listed.repartition(parts).mapInArrow(lambda b: _contents(b, root), "path string, content binary")
-    if honour_ignores and (rules := ignore_rules(files)):
-        files = files.where(~git_ignored(F.col("path"), rules))
-    return files.select("path", F.sha2("content", 256).alias("hash"), "content").orderBy("path")
-
-
-def _contents(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
-    store, base = fs.FileSystem.from_uri(root)
-    for batch in batches:
-        for path in batch.column(0).to_pylist():
-            with store.open_input_stream(f"{base}/{path}") as f:
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.read()], pa.binary())], names=["path", "content"])
-
-
 def file_kind(path: Column) -> Column:
     """Where it lies first, then its name, then its extension."""
     out = F.lit("other")
@@ -129,7 +63,7 @@ def scanned_facts(files: DataFrame, scan_markdown: bool = False) -> tuple[DataFr
     entities = e.select(F.concat_ws("::", "kind", "path").alias("id"), "kind", basename(F.col("path")).alias("name"), "component_id", "path", F.lit(True).alias("exported"))
     rel = F.coalesce(*(F.when(F.col("kind") == k, r) for k, r in REPO_EDGES.items()), F.when(F.col("kind") == "agent_config", "configured_by"))
     src = F.when(F.col("kind") == "agent_config", F.coalesce("component_id", F.lit("repo::."))).otherwise("repo::.")
-    edges = entities.select(src.alias("src_id"), rel.alias("rel"), F.col("id").alias("dst_id")).where("rel is not null")
+    edges = entities.select(src.alias("src_id"), rel.alias("rel"), F.col("id").alias("dst_id"), F.col("path").alias("provenance_path")).where("rel is not null")
     return entities, edges
 
 
@@ -141,14 +75,12 @@ def document_facts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     folders = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
     pages = md.where(F.arrays_overlap(folders, F.array(*map(F.lit, CONTENT_DIRS))) & (text.startswith("+++") | text.startswith("---")))
     page = pages.select(F.concat(F.lit("content_page::"), "path").alias("id"), F.lit("content_page").alias("kind"), stem(F.col("path")).alias("name"), "component_id", "path", F.lit(True).alias("exported"))
-    edges = doc.select(F.coalesce("component_id", F.lit("repo::.")).alias("src_id"), F.lit("documented_by").alias("rel"), F.col("id").alias("dst_id"))
+    edges = doc.select(F.coalesce("component_id", F.lit("repo::.")).alias("src_id"), F.lit("documented_by").alias("rel"), F.col("id").alias("dst_id"), F.col("path").alias("provenance_path"))
     return doc.unionByName(page), edges
 
 
 def site_facts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sites by their marker files, joined with the files below their roots by ancestor folder. files: path, component_id, content."""
-    from wayfinder.functions.text import ancestors
-
     name, text = basename(F.col("path")), F.col("content").cast("string")
     hugo_root = (F.col("path") == "config.toml") & (text.contains("baseURL") | text.contains("theme"))
     kind = F.when(name == "site.toml", "site").when(name.startswith("astro.config."), "astro-site").when((name == "hugo.toml") | hugo_root, "hugo-site")
