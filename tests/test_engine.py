@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from wayfinder import config, extraction_queries, queries
 from wayfinder.functions.text import glob_regex
 from wayfinder.operators import graph, lookup, store
+from wayfinder.operators.postings import TextIndex, searched_texts
+from wayfinder.operators.ranking import numbered
 from wayfinder.operators.routes import task_routes
 from wayfinder.plans import evaluate, index, models, search, summarise
 from wayfinder.schema import Model
@@ -61,8 +63,8 @@ def test_a_plan_tells_its_total_only_if_the_cutoff_kept_fewer(spark):
 def test_expansion_is_greedy_across_seeds(spark):
     names = ["s1", "s2"] + [f"n{k}" for k in range(12)]
     m = small(spark, [(n, "symbol", n, n, True) for n in names], [("s1", "defines", f"n{k}") for k in range(8)] + [("n3", "defines", "s2"), ("s2", "defines", "n9"), ("s2", "contains", "ghost")])
-    c = m.entities.where("id in ('s1', 's2')").withColumns({"final_score": F.when(F.col("id") == "s1", 2.0).otherwise(1.0), "is_context": F.lit(False)})
-    assert [r[0] for r in rows(search.expand(c, m.entities, m.edges, 15))] == ["n0", "n1", "n2", "n3", "n4", "n9"]
+    c = m.entities.where("id in ('s1', 's2')").withColumns({"query": F.lit(0), "final_score": F.when(F.col("id") == "s1", 2.0).otherwise(1.0), "is_context": F.lit(False)})
+    assert [r["id"] for r in search.expand(c, m.entities, m.edges, 15).orderBy("id").collect()] == ["n0", "n1", "n2", "n3", "n4", "n9"]
 
 
 LAMPS = ([("wick", "symbol", "trim_wick", "lamp/wick.rs", True), ("glass", "symbol", "polish", "lamp/glass.rs", False), ("oil", "component", "oil", "oil", True)], [("wick", "related_to", "glass")], [("wick", "Trims a wick that smokes"), ("oil", "Stores oil")])
@@ -77,6 +79,44 @@ def test_search_finds_ranks_and_expands(spark):
     assert search.search(m, "trace wick", scorer=lambda t: [(1, 0.9), (0, 0.1), (9, 1.0)]).entries.orderBy("rank").head()["id"] == "glass"
 
 
+def test_postings_find_what_a_scan_finds(spark):
+    """Random texts, tokens of every length, then changes and removals: index and scan agree, and one plan serves many queries."""
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abAÉ\U0001f600 \n") for _ in range(draw.randrange(9)))
+    made = lambda n: [(f"e{k}", "symbol", word(), word() or None, True) for k in range(n)]
+    m = small(spark, made(40), [], [(f"e{k}", word() * 3) for k in range(40)])
+    tokens = ["a", "ab", "aba", "abab", "aé", "\U0001f600ab", "b a", "é\U0001f600", "aab", "zzz", "abaabaabaaba" * 8]
+    held = TextIndex.build(m)
+    assert rows(held.find(tokens).select("id", "field", "token")) == rows(search.token_matches(m, tokens).select("id", "field", "token"))
+    new = [(f"e{k}", "symbol", word(), word(), True) for k in range(20, 50)]
+    later = small(spark, [r for r in made(10)] + new, [], [(f"e{k}", word()) for k in range(30)])
+    texts, before = searched_texts(later.entities, later.summaries), searched_texts(m.entities, m.summaries)
+    changed = held.put(texts).remove(before.join(texts, ["field", "id"], "left_anti"))
+    assert rows(changed.find(tokens).select("id", "field", "token")) == rows(search.token_matches(later, tokens).select("id", "field", "token"))
+    assert rows(held.find(tokens)) == rows(TextIndex(spark, held.folder, 0).find(tokens))  # an older state stays readable
+    assert held.find([]).count() == 0
+
+
+def test_many_queries_are_one_plan(spark):
+    m = small(spark, *LAMPS)
+    asked = [search.Asked("trace wick"), search.Asked("oil", "understand"), search.Asked("zzz"), search.Asked("trace wick")]
+    for index in (None, TextIndex.build(m)):
+        got = {}
+        for r in search.ranked_entries(m, asked, index=index).orderBy("query", "rank").collect():
+            got.setdefault(r["query"], []).append((r["id"], r["is_context"], round(r["final_score"], 9), r["reasons"]))
+        alone = [search.search(m, q.text, q.category).entries.orderBy("rank").collect() for q in asked]
+        assert got == {i: [(r["id"], r["is_context"], round(r["final_score"], 9), r["reasons"]) for r in rows_] for i, rows_ in enumerate(alone) if rows_}
+        assert [x[0] for x in got[0]] == ["wick", "glass"] and [x[0] for x in got[1]] == ["oil"] and got[0] == got[3]
+
+
+def test_places_are_found_in_ranges(spark):
+    df = spark.range(1000).select((F.col("id") % 7).alias("a"), "id").repartition(5)
+    want = sorted(((r["a"], -r["id"]) for r in df.collect()))
+    assert [(r["a"], -r["id"]) for r in numbered(df, [F.asc("a"), F.desc("id")]).orderBy("rank").collect()] == want
+    assert {r["rank"] for r in numbered(df, [F.col("a"), F.col("id")]).collect()} == set(range(1, 1001))
+    assert numbered(df.where("a > 9"), [F.col("id")]).count() == 0
+
+
 def test_labelled_queries_are_searched_and_measured(spark):
     m = small(spark, *LAMPS)
     text = """version = 1

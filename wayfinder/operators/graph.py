@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfinder.operators.ranking import numbered
 from wayfinder.schema import EDGE_KINDS
 from wayfinder.shared import BROADCAST_ROWS, materialize
 
@@ -32,28 +33,32 @@ def admitted(entities: DataFrame, kinds: list[str] | None = None, exclude: tuple
     return entities.where(~reduce(lambda a, b: a | b, [F.col("id").contains(x) for x in exclude], F.lit(False)))
 
 
-def traverse(entities: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int, max_nodes: int, kinds: list[str] | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
+def traverse(entities: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int, max_nodes: int, kinds: list[str] | None = None, exclude: tuple[str, ...] = (), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """id, depth, ord of breadth-first search from seeds (id, ord), in the order of a queue.
 
     Each level orders its finds by parent, direction (out first), relation and id; missing or excluded entities cost no
-    budget and lead nowhere. One job for each level, at most max_depth + 1; at most max_nodes rows are held.
+    budget and lead nowhere. A level is a written table whose order is found in ranges; the driver holds counts alone.
     """
-    known = admitted(entities, kinds, exclude).select("id")
+    known = materialize(admitted(entities, kinds, exclude).select("id").distinct(), "known")
     links = neighbours(edges)
-    spark = entities.sparkSession
-    level = seeds.groupBy("id").agg(F.min("ord").alias("ord")).join(known, "id", "left_semi").orderBy("ord", "id").limit(max_nodes)
-    found: list[tuple[str, int, int]] = [(r["id"], 0, i) for i, r in enumerate(level.collect())]  # at most max_nodes
-    last, schema = list(found), "id string, depth int, ord int"
+    listed = lambda df, n: F.broadcast(df) if n <= broadcast_rows else df
+
+    def placed(rows: DataFrame, order: list[Column], depth: int, before: int) -> tuple[DataFrame, int]:
+        places = numbered(rows, order, "place", "level").where(F.col("place") <= max_nodes - before)
+        level = places.select("id", F.lit(depth).alias("depth"), (F.col("place") - 1 + before).cast("int").alias("ord"))
+        return level, level.count()
+
+    first = seeds.groupBy("id").agg(F.min("ord").alias("at")).join(known, "id", "left_semi")
+    level, n = placed(first, [F.col("at"), F.col("id")], 0, 0)
+    found, total = level, n
     for depth in range(1, max_depth + 1):
-        if not last or len(found) >= max_nodes:
+        if not n or total >= max_nodes:
             break
-        frontier, seen = spark.createDataFrame(last, schema), spark.createDataFrame(found, schema).select("id")
-        near = F.broadcast(frontier).join(links, "id").select(F.col("other").alias("id"), F.struct("ord", "way", "rel_at", "other").alias("key"))
-        fresh = near.groupBy("id").agg(F.min("key").alias("key")).join(F.broadcast(seen), "id", "left_anti").join(known, "id", "left_semi")
-        rows = fresh.orderBy("key").limit(max_nodes - len(found)).select("id").collect()
-        last = [(r["id"], depth, len(found) + i) for i, r in enumerate(rows)]
-        found += last
-    return spark.createDataFrame(found, schema)
+        near = links.join(listed(level.select("id", "ord"), n), "id").select(F.col("other").alias("id"), F.struct("ord", "way", "rel_at", "other").alias("key"))
+        fresh = near.groupBy("id").agg(F.min("key").alias("key")).join(found.select("id"), "id", "left_anti").join(known, "id", "left_semi")
+        level, n = placed(fresh, [F.col("key")], depth, total)
+        found, total = found.unionByName(level), total + n
+    return found
 
 
 def drawing_seeds(entities: DataFrame, start: str | None = None) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfinder.config import Search
-from wayfinder.plans.search import search
+from wayfinder.operators.postings import TextIndex
+from wayfinder.plans.search import Asked, ranked_entries, search
 from wayfinder.schema import TASK_CATEGORIES, Model
 
 METRICS = ("recall_at_5", "mrr_at_10", "ndcg_at_10", "noise_tail_rate")
@@ -43,12 +44,15 @@ def label_rows(spark: SparkSession, queries: list[LabelledQuery]) -> DataFrame:
     return spark.createDataFrame(rows, "query int, bucket string, entity_id string, gain int")
 
 
-def search_all(m: Model, queries: list[LabelledQuery], limit: int = 10, config: Search | None = None, vector_of: Callable[[str], list[float]] | None = None, scorer: Callable | None = None) -> DataFrame:
-    """query, rank, entity_id: what the search finds for each, without a cutoff. scorer: query and texts to scores."""
+def search_all(m: Model, queries: list[LabelledQuery], limit: int = 10, config: Search | None = None, vector_of: Callable[[str], list[float]] | None = None, scorer: Callable | None = None, index: TextIndex | None = None) -> DataFrame:
+    """query, rank, entity_id: what the search finds for each, without a cutoff. All queries are one plan; only a second-stage
+    scorer (query and texts to scores) is asked query by query."""
+    if scorer is None:
+        asked = [Asked(q.text, q.category, vector_of(q.text) if vector_of else None) for q in queries]
+        return ranked_entries(m, asked, limit, config, index=index).select("query", "rank", F.col("id").alias("entity_id"))
     found = []
     for i, q in enumerate(queries):
-        second = (lambda texts, q=q: scorer(q.text, texts)) if scorer else None
-        plan = search(m, q.text, q.category, vector_of(q.text) if vector_of else None, limit, config, show_all=True, scorer=second)
+        plan = search(m, q.text, q.category, vector_of(q.text) if vector_of else None, limit, config, show_all=True, scorer=lambda texts, q=q: scorer(q.text, texts), index=index)
         found.append(plan.entries.select(F.lit(i).alias("query"), F.col("rank"), F.col("id").alias("entity_id")))
     return reduce(DataFrame.unionByName, found)
 

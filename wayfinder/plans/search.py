@@ -5,15 +5,18 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfinder.config import Search, Weights
-from wayfinder.functions.text import any_token_in, cosine_distance, hit_ratio, query_tokens
+from wayfinder.functions.text import cosine_distance, query_tokens
 from wayfinder.operators.graph import neighbours
-from wayfinder.operators.lookup import entities_named, summary_text
+from wayfinder.operators.lookup import summary_text
+from wayfinder.operators.postings import TextIndex
 from wayfinder.schema import Model
+from wayfinder.shared import materialize
 
 # Words that tell a query's category (later categories win ties), routes and kinds by category.
 LEXICON = {
@@ -65,13 +68,20 @@ def retrieve_routes(routes: DataFrame, category: str) -> DataFrame:
     return routes.where(F.col("task_name").isin(names) & (F.col("priority") > 0)).groupBy("entity_id").agg(F.max("priority").alias("route_priority"))
 
 
-def retrieve_keywords(summaries: DataFrame, tokens: list[str]) -> DataFrame:
-    return summaries.where(any_token_in(summary_text(), tokens)).select("entity_id", hit_ratio(summary_text(), tokens).alias("keyword"))
+def tokens_in(text: Column, tokens: list[str]) -> Column:
+    """Those of the tokens that stand in the text, in any case; the text is lower-cased once for all of them."""
+    low = F.lower(text)
+    return F.array_compact(F.array(*(F.when(low.contains(t), F.lit(t)) for t in tokens))) if tokens else F.array().cast("array<string>")
 
 
-def retrieve_names(entities: DataFrame, tokens: list[str], category: str) -> DataFrame:
-    hits = entities_named(entities, tokens, KINDS[category])
-    return hits.select(F.col("id").alias("entity_id"), hit_ratio(F.col("name"), tokens).alias("name_match"), hit_ratio(F.col("path"), tokens).alias("path_match"))
+def token_matches(m: Model, tokens: list[str], index: TextIndex | None = None) -> DataFrame:
+    """id, field (name, path, summary), token: which tokens stand where. One pass over names and paths and one over summaries
+    for all queries; with an index, postings are read instead."""
+    if index is not None:
+        return index.find(tokens)
+    named = lambda field: F.transform(tokens_in(F.coalesce(F.col(field), F.lit("")), tokens), lambda t: F.struct(F.lit(field).alias("field"), t.alias("token")))
+    names = m.entities.select("id", F.inline(F.concat(named("name"), named("path"))))
+    return names.unionByName(m.summaries.select(F.col("entity_id").alias("id"), F.lit("summary").alias("field"), F.explode(tokens_in(summary_text(), tokens)).alias("token")))
 
 
 def retrieve_vectors(embeddings: DataFrame, query_vector: list[float], k: int) -> DataFrame:
@@ -81,24 +91,15 @@ def retrieve_vectors(embeddings: DataFrame, query_vector: list[float], k: int) -
     return near.select("entity_id", (1 / (1 + F.col("distance"))).alias("vector"))
 
 
-def merge_signals(parts: list[DataFrame]) -> DataFrame:
-    """entity_id and every signal: one union and one aggregation instead of a chain of outer joins."""
-    out = None
-    for p in parts:
-        wide = p.select("entity_id", *(F.col(s).cast("double") if s in p.columns else F.lit(None).cast("double").alias(s) for s in SIGNALS))
-        out = wide if out is None else out.unionByName(wide)
-    return out.groupBy("entity_id").agg(*(F.max(s).alias(s) for s in SIGNALS))
-
-
-def scored(candidates: DataFrame, category: str, w: Weights) -> DataFrame:
-    """candidates with entity columns and signals: breakdown and final_score."""
+def scored(candidates: DataFrame, w: Weights) -> DataFrame:
+    """candidates with kind, exported, signals and preferred (the kinds that their query prefers): breakdown and final_score."""
     s = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     parts = {
         "task_route": s("route_priority") / 100,
         "keyword": s("keyword"),
         "name_match": s("name_match"),
         "vector": s("vector"),
-        "kind_preference": F.col("kind").isin(KINDS[category]).cast("double"),
+        "kind_preference": F.array_contains("preferred", F.col("kind")).cast("double"),
         "exported": F.col("exported").cast("double"),
         "path_match": s("path_match"),
     }
@@ -107,34 +108,36 @@ def scored(candidates: DataFrame, category: str, w: Weights) -> DataFrame:
 
 
 def expand(candidates: DataFrame, entities: DataFrame, edges: DataFrame, seeds: int, per_seed: int = PER_SEED) -> DataFrame:
-    """Ids of neighbours to add: the best seeds in turn each add up to per_seed neighbours (out-edges, then in-edges) that
-    exist and are neither candidates nor added before. The turns are one fold over at most ``seeds`` arrays."""
-    order = Window.orderBy(F.desc("final_score"), "id")
-    top = candidates.where("not is_context").orderBy(F.desc("final_score"), "id").limit(seeds).withColumn("turn", F.row_number().over(order)).select("id", "turn")
-    near = F.broadcast(top).join(neighbours(edges), "id").join(entities.select(F.col("id").alias("other")), "other", "left_semi").join(candidates.select(F.col("id").alias("other")), "other", "left_anti")
-    once = near.groupBy("turn", "other").agg(F.min(F.struct("way", "rel_at")).alias("at"))
+    """query, id of neighbours to add to each query's candidates (query, id, final_score, is_context): the best seeds in turn each
+    add up to per_seed neighbours (out-edges, then in-edges) that exist and are neither candidates nor added before. The turns
+    are one fold over at most ``seeds`` arrays for each query."""
+    turn = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("final_score"), "id"))
+    top = candidates.where("not is_context").select("query", "id", turn.alias("turn")).where(F.col("turn") <= seeds)
+    # as many rows as queries times seeds
+    near = neighbours(edges).join(F.broadcast(top), "id").join(entities.select(F.col("id").alias("other")), "other", "left_semi")
+    near = near.join(candidates.select("query", F.col("id").alias("other")), ["query", "other"], "left_anti")
+    once = near.groupBy("query", "turn", "other").agg(F.min(F.struct("way", "rel_at")).alias("at"))
     # a seed adds per_seed at most, and seeds before it can have taken no more than per_seed each: further neighbours can't matter
-    by_turn = Window.partitionBy("turn").orderBy("at", "other")
+    by_turn = Window.partitionBy("query", "turn").orderBy("at", "other")
     some = once.withColumn("n", F.row_number().over(by_turn)).where(F.col("n") <= seeds * per_seed)
-    lists = some.groupBy("turn").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "other"))), lambda x: x["other"]).alias("others"))
-    turns = lists.agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "others"))), lambda x: x["others"]).alias("turns"))
+    lists = some.groupBy("query", "turn").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "other"))), lambda x: x["other"]).alias("others"))
+    turns = lists.groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "others"))), lambda x: x["others"]).alias("turns"))
     added = F.aggregate("turns", F.array().cast("array<string>"), lambda acc, new: F.concat(acc, F.slice(F.array_except(new, acc), 1, per_seed)))
-    return turns.select(F.explode(added).alias("id"))
+    return turns.select("query", F.explode(added).alias("id"))
 
 
 def cutoff(ranked: DataFrame, mode: str, threshold: float, least: int, most: int) -> DataFrame:
-    """ranked (rank from 1, final_score) up to the first gap: the first rank over least whose score falls below threshold
-    times the one before (a non-positive one always counts as a gap); at most ``most`` rows, unless there are no more than least."""
+    """ranked (rank from 1 without gaps, final_score) up to the first gap: the first rank over least whose score falls below
+    threshold times the one before (a non-positive one always counts as a gap); at most ``most`` rows, unless there are no more
+    than least. A rank meets the one before by an equi-join, so that no task holds them all."""
     if mode != "relative_gap":
         return ranked
-    w = Window.orderBy("rank")
-    before = F.lag("final_score").over(w)
-    ratio = F.when(before > 0, F.col("final_score") / before).otherwise(0.0)
-    gaps = ranked.withColumn("gap", F.when((F.col("rank") > least) & (ratio < threshold), F.col("rank")))
-    whole = Window.partitionBy()
-    marked = gaps.withColumns({"first": F.min("gap").over(whole), "all": F.max("rank").over(whole)})
-    keep = F.when(F.col("all") <= least, F.col("all")).otherwise(F.least(F.coalesce(F.col("first") - 1, F.lit(most)), F.lit(most)))
-    return marked.where(F.col("rank") <= keep).drop("gap", "first", "all")
+    before = ranked.select((F.col("rank") + 1).alias("rank"), F.col("final_score").alias("before"))
+    ratio = F.when(F.col("before") > 0, F.col("final_score") / F.col("before")).otherwise(0.0)
+    gap = F.when((F.col("rank") > least) & (ratio < threshold), F.col("rank"))
+    first, rows = ranked.join(before, "rank", "left").agg(F.min(gap), F.max("rank")).head()
+    rows = rows or 0
+    return ranked.where(F.col("rank") <= (rows if rows <= least else min(first - 1 if first else most, most)))
 
 
 def rerank(ranked: DataFrame, summaries: DataFrame, scorer: Callable[[list[str]], list[tuple[int, float]]], top_k: int) -> DataFrame:
@@ -187,35 +190,69 @@ class ReadingPlan:
         return "\n".join(lines)
 
 
-def candidates_for(m: Model, query: str, category: str, query_vector: list[float] | None, k: int) -> DataFrame:
-    """Entities that some signal finds, with all signals."""
-    tokens = query_tokens(query)
-    parts = [retrieve_routes(m.task_routes, category), retrieve_keywords(m.summaries, tokens), retrieve_names(m.entities, tokens, category)]
-    if query_vector is not None:
-        parts.append(retrieve_vectors(m.embeddings, query_vector, k))
-    found = merge_signals(parts).withColumnRenamed("entity_id", "id")
-    return m.entities.join(found, "id").withColumn("is_context", F.lit(False))
-
-
-def ranked_entries(m: Model, query: str, category: str | None = None, query_vector: list[float] | None = None, limit: int | None = None, search: Search | None = None, expansion: bool = True, keep: int | None = None) -> DataFrame:
-    """Candidates and their neighbours in order, the first ``keep`` of them (limit by default): rank, entity columns, signals, score, breakdown, reasons."""
+@dataclass(frozen=True)
+class Asked:
+    """A query: its text, its category (the classifier's by default) and its vector."""
+
+    text: str
+    category: str | None = None
+    vector: list[float] | None = None
+
+    def of(self) -> str:
+        return self.category or classify(self.text)
+
+
+def candidates_for(m: Model, asked: list[Asked], k: int, index: TextIndex | None = None) -> DataFrame:
+    """query (its place in the list), id, kind, exported, preferred, signals of the entities that some signal finds: all queries in
+    one plan, one aggregation of all signals and one join. Texts, names and paths don't leave the scans that match them."""
+    spark = m.entities.sparkSession
+    words = [(i, t, query_tokens(q.text).count(t), len(query_tokens(q.text))) for i, q in enumerate(asked) for t in dict.fromkeys(query_tokens(q.text))]
+    preferred = [(i, KINDS[q.of()], max(1, len(query_tokens(q.text)))) for i, q in enumerate(asked)]
+    tokens = spark.createDataFrame([w[:3] for w in words], "query int, token string, times int")
+    queries = spark.createDataFrame(preferred, "query int, preferred array<string>, n_tokens int")
+    found = token_matches(m, list(dict.fromkeys(w[1] for w in words)), index).join(F.broadcast(tokens), "token")
+    parts = [found.select("query", "id", "field", F.col("times").cast("double").alias("value"))]
+    routes = [(i, name) for i, q in enumerate(asked) for name in ROUTES[q.of()]]
+    if routes:
+        names = spark.createDataFrame(routes, "query int, task_name string")
+        met = m.task_routes.where(F.col("task_name").isin(sorted({r[1] for r in routes})) & (F.col("priority") > 0)).join(F.broadcast(names), "task_name")
+        parts.append(met.groupBy("query", F.col("entity_id").alias("id")).agg(F.lit("route").alias("field"), F.max("priority").cast("double").alias("value")))
+    parts += [retrieve_vectors(m.embeddings, q.vector, k).select(F.lit(i).alias("query"), F.col("entity_id").alias("id"), F.lit("vector").alias("field"), F.col("vector").alias("value")) for i, q in enumerate(asked) if q.vector is not None]
+    of = lambda field: F.when(F.col("field") == field, F.col("value"))
+    merged = reduce(DataFrame.unionByName, parts).groupBy("query", "id").agg(F.max(of("route")).alias("route_priority"), F.max(of("vector")).alias("vector"), *(F.sum(of(x)).alias(x) for x in ("summary", "name", "path")))
+    met = merged.join(m.entities.select("id", "kind", "exported"), "id").join(F.broadcast(queries), "query")
+    # names and paths count for the kinds that a query prefers
+    named = F.array_contains("preferred", F.col("kind")) & F.coalesce("name", "path").isNotNull()
+    share = lambda c: F.coalesce(F.col(c), F.lit(0.0)) / F.col("n_tokens")
+    signals = {"keyword": F.when(F.col("summary").isNotNull(), share("summary")), "name_match": F.when(named, share("name")), "path_match": F.when(named, share("path"))}
+    wide = met.withColumns(signals).where(F.coalesce("route_priority", "keyword", "name_match", "vector").isNotNull())
+    return wide.select("query", "id", "kind", "exported", "preferred", *SIGNALS, F.lit(False).alias("is_context"))
+
+
+def ranked_entries(m: Model, asked: list[Asked], limit: int | None = None, search: Search | None = None, expansion: bool = True, keep: int | None = None, index: TextIndex | None = None) -> DataFrame:
+    """Candidates and their neighbours in each query's order, the first ``keep`` of them (limit by default): query, rank, entity
+    columns, signals, score, breakdown, reasons. Candidates are written once, as ids and signals; entities are looked up for
+    what is kept."""
     s = search or Search()
-    limit, category = limit or s.default_limit, category or classify(query)
-    first = scored(candidates_for(m, query, category, query_vector, max(s.default_limit, 15) * 3), category, s.rerank_weights)
+    limit = limit or s.default_limit
+    first = materialize(scored(candidates_for(m, asked, max(s.default_limit, 15) * 3, index), s.rerank_weights), "candidates")
     if expansion:
         more = expand(first, m.entities, m.edges, limit)
-        context = m.entities.join(F.broadcast(more), "id").withColumn("is_context", F.lit(True))
-        blank = context.withColumns({c: F.lit(None).cast("double") for c in SIGNALS})
-        first = first.unionByName(scored(blank, category, s.rerank_weights))
-    top = first.orderBy(F.desc("final_score"), "id").limit(keep or limit)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("final_score"), "id"))).withColumn("reasons", reasons())
+        kinds = m.entities.sparkSession.createDataFrame([(i, KINDS[q.of()]) for i, q in enumerate(asked)], "query int, preferred array<string>")
+        # at most limit times PER_SEED rows for each query
+        context = m.entities.select("id", "kind", "exported").join(F.broadcast(more.join(F.broadcast(kinds), "query")), "id").withColumn("is_context", F.lit(True))
+        first = first.unionByName(scored(context.withColumns({c: F.lit(None).cast("double") for c in SIGNALS}), s.rerank_weights))
+    order = Window.partitionBy("query").orderBy(F.desc("final_score"), "id")
+    top = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= (keep or limit)).drop("preferred", "kind", "exported")
+    return m.entities.join(F.broadcast(top), "id").withColumn("reasons", reasons())
 
 
-def search(m: Model, query: str, category: str | None = None, query_vector: list[float] | None = None, limit: int | None = None, config: Search | None = None, show_all: bool = False, scorer=None, top_k: int = 25) -> ReadingPlan:
+def search(m: Model, query: str, category: str | None = None, query_vector: list[float] | None = None, limit: int | None = None, config: Search | None = None, show_all: bool = False, scorer=None, top_k: int = 25, index: TextIndex | None = None) -> ReadingPlan:
     s = config or Search()
-    limit, category = limit or s.default_limit, category or classify(query)
-    # neither the rerank nor the cutoff looks further
-    entries = ranked_entries(m, query, category, query_vector, limit, s, keep=max(limit, top_k if scorer else 0, s.max_results + 1, s.min_results + 1))
+    limit, asked = limit or s.default_limit, Asked(query, category, query_vector)
+    # neither the rerank nor the cutoff looks further; written, as it is counted and read
+    entries = ranked_entries(m, [asked], limit, s, keep=max(limit, top_k if scorer else 0, s.max_results + 1, s.min_results + 1), index=index)
+    entries = materialize(entries.drop("query"), "entries")
     if scorer is not None:
         entries = rerank(entries, m.summaries, scorer, top_k)
     shown, total = entries.where(F.col("rank") <= limit), None
@@ -223,4 +260,4 @@ def search(m: Model, query: str, category: str | None = None, query_vector: list
         whole = shown.count()
         shown = cutoff(entries, s.cutoff, s.relative_gap_threshold, s.min_results, min(s.max_results, limit)).where(F.col("rank") <= limit)
         total = whole if shown.count() < whole else None
-    return ReadingPlan(query, category, shown, total)
+    return ReadingPlan(query, asked.of(), shown, total)

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from wayfinder.config import Weights
 from wayfinder.functions.text import ancestors, first_of, hit_ratio, one_sentence, truncated, xml_escaped
 from wayfinder.operators import graph, incremental, lookup, store
+from wayfinder.operators.postings import TextIndex
+from wayfinder.operators.ranking import numbered
 from wayfinder.operators.routes import task_routes
 from wayfinder.plans import evaluate, search, summarise
 from wayfinder.projection import SQL, project, snapshot
 from wayfinder.schema import ENTITY_KINDS, Model
+from wayfinder.shared import materialize
 from wayfinder.sources.manifests import assign_owners
 from wayfinder.sources.scan import file_kind, scanned_kind
 
@@ -40,6 +43,11 @@ def long(*names: str):
     return [F.col(n).cast("long").alias(n) for n in names]
 
 
+def stored(m: Model, *names: str) -> Model:
+    """The model with the named tables (what the search reads by default) published and loaded, as a user would have them."""
+    return m.with_tables(**{n: materialize(getattr(m, n), n) for n in names or ("entities", "edges", "summaries", "task_routes", "embeddings")})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -62,22 +70,60 @@ scored AS (SELECT e.id, e.kind, e.name, coalesce(keyword, 0) AS keyword, coalesc
 @query(f"WITH {SQL}, {SCORED} SELECT row_number() OVER (ORDER BY round(score, 6) DESC, id) AS rank, id, kind, name, round(score, 6) AS score, keyword, name_match, path_match FROM scored ORDER BY rank LIMIT 15")
 def search_lexical(m: Model, *_) -> DataFrame:
     """The lexical signals merged, scored and ranked."""
-    found = search.scored(search.candidates_for(m, "blue bolt", "general", None, 45), "general", Weights()).withColumn("final_score", F.round("final_score", 6))
+    found = search.scored(search.candidates_for(m, [search.Asked("blue bolt", "general")], 45), Weights()).withColumn("final_score", F.round("final_score", 6))
     top = found.orderBy(F.desc("final_score"), "id").limit(15)
     zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("keyword", "name_match", "path_match")]
-    return top.select(F.row_number().over(Window.orderBy(F.desc("final_score"), "id")).cast("long").alias("rank"), "id", "kind", "name", F.col("final_score").alias("score"), *zero)
-
-
-@query(None)
+    ranked = top.select(F.row_number().over(Window.orderBy(F.desc("final_score"), "id")).cast("long").alias("rank"), "id", "kind", F.col("final_score").alias("score"), *zero)
+    return m.entities.select("id", "name").join(F.broadcast(ranked), "id").select("rank", "id", "kind", "name", "score", "keyword", "name_match", "path_match")
+
+
+#: Tokens are fix, blue and bolt; the category is debug. Fifteen seeds in turn add at most five neighbours each that are new.
+SHARE3 = "CAST((CASE WHEN contains(lower({t}), 'fix') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower({t}), 'blue') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower({t}), 'bolt') THEN 1 ELSE 0 END) AS DOUBLE) / 3.0"
+PREFERRED = "kind IN ('source_unit', 'symbol', 'test', 'spec')"
+PLAN_SQL = f"""WITH RECURSIVE {SQL},
+kw AS (SELECT entity_id AS id, {SHARE3.format(t=TEXT)} AS keyword FROM summ WHERE {SHARE3.format(t=TEXT)} > 0),
+nm AS (SELECT id, {SHARE3.format(t="name")} AS name_match, {SHARE3.format(t="coalesce(path, '')")} AS path_match FROM ents WHERE {PREFERRED} AND ({SHARE3.format(t="name")} > 0 OR {SHARE3.format(t="coalesce(path, '')")} > 0)),
+rt AS (SELECT id, 60 AS route FROM ents WHERE kind = 'test' UNION ALL SELECT id, 50 FROM ents WHERE kind = 'source_unit'),
+ve AS (SELECT entity_id AS id, 1 / (1 + d) AS vector FROM (SELECT entity_id, 1 - list_cosine_similarity(CAST(vector AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])) AS d FROM embs) ORDER BY d, entity_id LIMIT 45),
+cand AS MATERIALIZED (SELECT id, keyword, name_match, path_match, route, vector FROM kw FULL JOIN nm USING (id) FULL JOIN rt USING (id) FULL JOIN ve USING (id)),
+sc AS MATERIALIZED (SELECT id, keyword, name_match, path_match, route, vector, false AS is_context,
+  0.25 * coalesce(route, 0) / 100 * {{route}} + {{keyword}} * coalesce(keyword, 0) + {{name_match}} * coalesce(name_match, 0) + {{vector}} * coalesce(vector, 0) + {{kind}} * (CASE WHEN {PREFERRED} THEN 1 ELSE 0 END) + {{exported}} * (CASE WHEN exported THEN 1 ELSE 0 END) + {{path_match}} * coalesce(path_match, 0) AS score FROM cand JOIN ents USING (id)),
+seeds AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY round(score, 12) DESC, id) AS turn FROM sc QUALIFY turn <= 15),
+nb AS (SELECT src_id AS id, 0 AS way, rel, dst_id AS other FROM edg UNION ALL SELECT dst_id, 1, rel, src_id FROM edg),
+ord AS (SELECT *, list_position(['contains', 'defines', 'depends_on', 'reexports', 'documented_by', 'tested_by', 'benchmarked_by', 'related_to', 'configured_by', 'builds', 'deploys', 'implements', 'owns_task'], rel) AS rel_at FROM nb),
+near AS (SELECT turn, other, min(ROW(way, rel_at)) AS place FROM seeds JOIN ord USING (id) WHERE other IN (SELECT id FROM ents) AND other NOT IN (SELECT id FROM sc) GROUP BY turn, other),
+lists AS MATERIALIZED (SELECT turn, list(other ORDER BY place, other) AS others FROM (SELECT *, row_number() OVER (PARTITION BY turn ORDER BY place, other) AS n FROM near QUALIFY n <= 75) GROUP BY turn),
+fold(turn, added) AS (SELECT 0, CAST([] AS VARCHAR[]) UNION ALL SELECT fold.turn + 1, list_concat(added, list_slice(list_filter(coalesce(others, CAST([] AS VARCHAR[])), lambda x: NOT list_contains(added, x)), 1, 5)) FROM fold LEFT JOIN lists ON lists.turn = fold.turn + 1 WHERE fold.turn < 15),
+more AS (SELECT unnest(added) AS id FROM fold WHERE turn = 15),
+allrows AS (SELECT * FROM sc UNION ALL SELECT id, NULL, NULL, NULL, NULL, NULL, true, 0.5 * ({{kind}} * (CASE WHEN {PREFERRED} THEN 1 ELSE 0 END) + {{exported}} * (CASE WHEN exported THEN 1 ELSE 0 END)) FROM more JOIN ents USING (id)),
+ranked AS (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, id) AS rank FROM allrows),
+gap AS (SELECT min(rank) AS g FROM (SELECT rank, score, lag(score) OVER (ORDER BY rank) AS before FROM ranked) WHERE rank > 3 AND score / before < 0.8)
+SELECT rank, id, kind, name, round(score, 6) AS score, is_context,
+  array_to_string(list_filter([CASE WHEN route > 0 THEN 'task route' END, CASE WHEN keyword > 0 THEN 'keyword match' END, CASE WHEN name_match > 0 THEN 'name match' END, CASE WHEN path_match > 0 THEN 'path match' END, CASE WHEN vector > 0 THEN 'semantic similarity' END, CASE WHEN is_context THEN 'graph neighbor' END], lambda x: x IS NOT NULL), ', ') AS reasons
+FROM ranked JOIN ents USING (id) WHERE rank <= least(coalesce((SELECT g FROM gap) - 1, 8), 8)"""
+W = Weights()
+PLAN_SQL = PLAN_SQL.replace("0.25 * coalesce(route, 0) / 100 * {route}", f"{W.task_route} * coalesce(route, 0) / 100").format(keyword=W.keyword, name_match=W.name_match, vector=W.vector, kind=W.kind_preference, exported=W.exported, path_match=W.path_match)
+
+
+@query(PLAN_SQL)
 def search_reading_plan(m: Model, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hybrid search with a query vector, routes, expansion and cutoff. Greedy expansion is beyond plain SQL; tests check it."""
+    """Hybrid search with a query vector, routes, greedy expansion and cutoff over the stored model."""
     vector = table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").head()[0]
     from wayfinder.config import Search
 
-    plan = search.search(m, "fix blue bolt", query_vector=vector, config=Search(cutoff="relative_gap"))
+    plan = search.search(stored(m), "fix blue bolt", query_vector=vector, config=Search(cutoff="relative_gap"))
     return plan.entries.select(*long("rank"), "id", "kind", "name", F.round("final_score", 6).alias("score"), "is_context", F.array_join("reasons", ", ").alias("reasons"))
 
 
+@query(PLAN_SQL[: PLAN_SQL.index("allrows AS")].rstrip().rstrip(",") + " SELECT id FROM more")
+def expanded_neighbours(m: Model, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the fifteen best candidates of the same search add in turn."""
+    vector = table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").head()[0]
+    m = stored(m)
+    found = materialize(search.scored(search.candidates_for(m, [search.Asked("fix blue bolt", vector=vector)], 45), Weights()), "candidates")
+    return search.expand(found, m.entities, m.edges, 15).select("id")
+
+
 @query("SELECT id, kind, name, component_id, path, exported FROM ents")
 def scan_entities(m: Model, *_) -> DataFrame:
     return m.entities.select(*ENTITY)
@@ -196,6 +242,22 @@ def undocumented_components(m: Model, *_) -> DataFrame:
     return lookup.undocumented(m.entities, m.edges).select("id", "name")
 
 
+@query(f"""SELECT e.id, t.field, w AS token FROM ents e, (VALUES ('name'), ('path')) t(field), (VALUES ('blue'), ('src1-'), ('1')) v(w)
+WHERE contains(lower(CASE WHEN field = 'name' THEN name ELSE coalesce(path, '') END), w) UNION ALL SELECT entity_id, 'summary', w FROM summ, (VALUES ('blue'), ('src1-'), ('1')) v(w) WHERE contains(lower({TEXT}), w)""")
+def indexed_substrings(m: Model, *_) -> DataFrame:
+    """Substrings of names, paths and summaries by trigram postings; the shortest token scans."""
+    return TextIndex.build(m).find(["blue", "src1-", "1"])
+
+
+@query(f"""SELECT e.id, 'name' AS field FROM ents e WHERE kind <> 'doc' AND contains(lower(CASE WHEN kind = 'symbol' THEN name || ' bolt' ELSE name END), 'bolt')
+UNION ALL SELECT id, 'path' FROM ents WHERE contains(lower(coalesce(path, '')), 'bolt') UNION ALL SELECT entity_id, 'summary' FROM summ WHERE contains(lower({TEXT}), 'bolt')""")
+def indexed_after_changes(m: Model, *_) -> DataFrame:
+    """The index after names of symbols were changed and names of documents taken away, without being built anew."""
+    names = m.entities.select(F.lit("name").alias("field"), "id", "kind", F.col("name").alias("text"))
+    changed = TextIndex.build(m).put(names.where("kind = 'symbol'").select("field", "id", F.concat("text", F.lit(" Bolt")).alias("text")))
+    return changed.remove(names.where("kind = 'doc'")).find(["bolt"]).select("id", "field")
+
+
 VEC = "SELECT entity_id, 1 - list_cosine_similarity(CAST(vector AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])) AS d FROM embs"
 
 
@@ -207,9 +269,9 @@ def vector_top_k(m: Model, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SQL}, {SCORED} , ranked AS (SELECT id, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS rank, round(score, 6) AS score FROM scored), lagged AS (SELECT *, lag(score) OVER (ORDER BY rank) AS before FROM ranked), gap AS (SELECT min(rank) AS g FROM lagged WHERE rank > 3 AND (CASE WHEN before > 0 THEN score / before ELSE 0 END) < 0.95) SELECT id, rank, score FROM ranked WHERE rank <= least(coalesce((SELECT g FROM gap) - 1, 4000), 4000)")
 def relative_gap_cutoff(m: Model, *_) -> DataFrame:
-    """Over all ranked rows, with a large upper bound so that the gap decides."""
-    found = search.scored(search.candidates_for(m, "blue bolt", "general", None, 45), "general", Weights()).withColumn("final_score", F.round("final_score", 6))
-    ranked = found.select("id", "final_score", F.row_number().over(Window.orderBy(F.desc("final_score"), "id")).alias("rank"))
+    """Over all ranked rows, with a large upper bound so that the gap decides; ranks and gaps are found without a task that holds all rows."""
+    found = search.scored(search.candidates_for(m, [search.Asked("blue bolt", "general")], 45), Weights()).withColumn("final_score", F.round("final_score", 6))
+    ranked = numbered(found.select("id", "final_score"), [F.desc("final_score"), F.asc("id")])
     return search.cutoff(ranked, "relative_gap", 0.95, 3, 4000).select("id", *long("rank"), F.col("final_score").alias("score"))
 
 
@@ -220,11 +282,28 @@ def traversal_depths(m: Model, spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.depths(m.entities, m.edges.where("rel <> 'defines'"), seeds, 3).select("id", *long("depth"))
 
 
-@query(None)
+#: Levels one by one: each numbers its finds by their first parent, way, relation and id, within what is left of 5,000 nodes.
+LEVEL = """l{d} AS MATERIALIZED (SELECT id, {d} AS depth, {before} + row_number() OVER (ORDER BY place) - 1 AS ord FROM (SELECT other AS id, min(ROW(ord, way, rel_at, other)) AS place FROM l{p} JOIN nb USING (id)
+  WHERE other IN (SELECT id FROM ok) AND other NOT IN ({seen}) GROUP BY other) QUALIFY ord < 5000)"""
+
+
+def seen_before(d: int) -> str:
+    return " UNION ALL ".join(f"SELECT id FROM l{k}" for k in range(d))
+
+
+LEVELS = ",\n".join(LEVEL.format(d=d, p=d - 1, before=f"(SELECT count(*) FROM ({seen_before(d)}))", seen=seen_before(d)) for d in (1, 2, 3))
+
+
+@query(f"""WITH {SQL}, ok AS (SELECT id FROM ents WHERE kind IN ('component', 'source_unit', 'task', 'symbol') AND NOT contains(id, 'part/1')),
+nb AS (SELECT src_id AS id, 0 AS way, list_position(['contains', 'defines', 'depends_on', 'reexports', 'documented_by', 'tested_by', 'benchmarked_by', 'related_to', 'configured_by', 'builds', 'deploys', 'implements', 'owns_task'], rel) AS rel_at, dst_id AS other FROM edg
+  UNION ALL SELECT dst_id, 1, list_position(['contains', 'defines', 'depends_on', 'reexports', 'documented_by', 'tested_by', 'benchmarked_by', 'related_to', 'configured_by', 'builds', 'deploys', 'implements', 'owns_task'], rel), src_id FROM edg),
+l0 AS (SELECT 'component::tpch::asia' AS id, 0 AS depth, 0 AS ord),
+{LEVELS}
+SELECT id, CAST(depth AS BIGINT) AS depth, CAST(ord AS BIGINT) AS ord FROM ({" UNION ALL ".join(f"SELECT * FROM l{d}" for d in range(4))})""")
 def traversal_bounded(m: Model, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """40 nodes in queue order, some kinds only; small graphs in tests fix the order."""
+    """5,000 nodes in queue order, some kinds only."""
     seeds = spark.createDataFrame([("component::tpch::asia", 0)], "id string, ord int")
-    return graph.traverse(m.entities, m.edges, seeds, 3, 40, ["component", "source_unit", "task", "symbol"], ("part/1",)).select("id", *long("depth", "ord"))
+    return graph.traverse(m.entities, m.edges, seeds, 3, 5000, ["component", "source_unit", "task", "symbol"], ("part/1",)).select("id", *long("depth", "ord"))
 
 
 @query("SELECT src_id, rel, dst_id FROM edg WHERE src_id IN (SELECT id FROM ents WHERE kind IN ('repo', 'component', 'source_unit')) AND dst_id IN (SELECT id FROM ents WHERE kind IN ('repo', 'component', 'source_unit'))")
@@ -525,7 +604,7 @@ def evaluation_of_search(m: Model, spark: SparkSession, sf_dir: str) -> DataFram
     names = [r for r in parts.where("p_size % 3 <> 2").where(F.col("p_name").isin([t for t, _ in LABELLED])).select("p_partkey", "p_name", "p_size").collect()]
     of = lambda text, rest: tuple(f"symbol::part/{r['p_partkey']}" for r in names if r["p_name"] == text and r["p_size"] % 3 == rest)
     queries = [evaluate.LabelledQuery(t, b, of(t, 0), of(t, 1)) for t, b in LABELLED]
-    found = evaluate.evaluate(m, queries).by_query
+    found = evaluate.evaluate(stored(m, "entities", "edges", "summaries", "task_routes"), queries).by_query
     texts = F.array(*(F.lit(t) for t, _ in LABELLED))
     return found.select(F.get(texts, F.col("query")).alias("query"), "bucket", *(F.round(c, 6).alias(c) for c in METRICS))
 
@@ -539,6 +618,7 @@ def plan_totals(m: Model, spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a plan shows after the cutoff, and the total before it where the cutoff kept fewer than the limit lets through."""
     from wayfinder.config import Search
 
+    m = stored(m, "entities", "edges", "summaries", "task_routes")
     plans = [(n, search.search(m, "blue bolt", "general", limit=n, config=Search(cutoff="relative_gap", max_results=most))) for n, most in ((5, 8), (15, 8), (2, 8), (30, 40))]
     return spark.createDataFrame([(n, p.entries.count(), p.total_before_cutoff) for n, p in plans], "limit long, shown long, total long")
 
