@@ -33,7 +33,7 @@ TERM_BYTES = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c
 
 MIN_DOCUMENTS, TOP, SCALE, PRIOR = 30, 50, 1_000_000_000, 5
 #: Cells of a block's matrix, and of what is compared at once within it.
-CELLS = 1 << 19
+CELLS = 1 << 16
 
 
 def counted(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
