@@ -55,10 +55,10 @@ class TextIndex:
         change = self.change + 1
         low = materialize(texts.select("field", "id", F.lower("text").alias("text")), "texts")
         rows = low.withColumns({"change": F.lit(change), "bucket": bucket_of(F.col("id"))})
-        rows.repartition("bucket", F.pmod(F.xxhash64("field", "id"), F.lit(8))).sortWithinPartitions("bucket", "field", "id").write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/texts")
+        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "field", "id").write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/texts")
         grams = low.where("text is not null").select("field", "id", F.explode(grams_of(F.col("text"))).alias("gram")).withColumn("bucket", bucket_of(F.col("gram")))
-        # sorted by trigram, so that a lookup reads few row groups; a common trigram is dealt over several files
-        grams.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "gram", "field", "id").write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/grams")
+        # sorted by trigram, so that a lookup reads few row groups; a large folder is split over several tasks
+        grams.hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram", "field", "id").write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/grams")
         return TextIndex(self.spark, self.folder, change)
 
     def remove(self, keys: DataFrame) -> TextIndex:

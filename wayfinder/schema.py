@@ -8,7 +8,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA_VERSION = 4
+SCHEMA_VERSION = 5
 
 TABLES = {
     "files": "path STRING NOT NULL, component_id STRING, kind STRING NOT NULL, hash STRING NOT NULL, indexed BOOLEAN NOT NULL, ignore_reason STRING",
