@@ -290,6 +290,69 @@ def test_summaries_come_in_batches_and_one_by_one(spark):
     assert found["a"]["keywords"] == ["k", "1"] and found["a"]["source_hash"] == "h"
 
 
+def test_calls_in_flight_are_bounded_and_keep_their_order():
+    import threading
+    import time
+
+    lock, now, most, taken = threading.Lock(), 0, 0, []
+
+    def call(k):
+        nonlocal now, most
+        with lock:
+            now += 1
+            most = max(most, now)
+        time.sleep(0.02 if k % 3 else 0.06)
+        with lock:
+            now -= 1
+        if k == 99:
+            raise RuntimeError("no")
+        return k
+
+    def calls(n):
+        for k in range(n):
+            taken.append(k)
+            yield lambda k=k: call(k)
+
+    for width in (1, 4):
+        most, taken[:] = 0, []
+        found = models.in_flight(calls(20), width)
+        assert next(found) == 0 and len(taken) <= width + 1  # no more is taken than runs
+        assert list(found) == list(range(1, 20)) and most == width
+    assert list(models.in_flight(iter(()), 3)) == []
+    with pytest.raises(RuntimeError):
+        list(models.in_flight((lambda k=k: call(k) for k in (1, 99, 2)), 3))
+
+
+def test_reranking_goes_in_batches():
+    class Scores:
+        def rerank(self, query, texts):
+            seen.append(len(texts))
+            return [(i, float(t)) for i, t in enumerate(texts)] + [(99, 1.0)]
+
+    for most in (1, 3):
+        seen = []
+        score = models.scorer_of(Scores(), "q", config.Reranker(batch_size=3), most)
+        assert score([str(k) for k in range(8)]) == [(k, float(k)) for k in range(8)] and sorted(seen) == [2, 3, 3] and score([]) == []
+
+
+def test_a_provider_that_breaks_costs_its_batch_alone(spark):
+    def make():
+        class Broken:
+            def complete(self, prompt, max_tokens):
+                ids = [x.removeprefix("Entity ID: ") for x in prompt.split("\n") if x.startswith("Entity ID: ")]
+                if "b" in ids:
+                    raise KeyError("choices")
+                return json.dumps({"short_summary": ids[0]})
+
+        return Broken()
+
+    work = spark.createDataFrame([(n, "one", "symbol", f"Entity ID: {n}", "h") for n in "abcdef"], "entity_id string, component_id string, kind string, prompt string, source_hash string").repartition(1)
+    for width in (1, 4):
+        made = summarise.summarise(work, make, config.Summary(batch_size=2, concurrency=width))
+        assert {r["entity_id"] for r in made.collect()} == set("acdef")
+        assert tuple(summarise.summary_counts(work, made).head()) == (6, 5, 1)
+
+
 def test_batches_fit_a_budget():
     rows = [("s", 5), ("s", 5), ("s", 50), ("s", 200), ("d", 1), ("s", 1), ("s", 1), ("s", 1), ("s", 1)]
     got = list(summarise.in_budget(rows, 3, lambda r: r[0] == "s", lambda r: r[1], 10, 5, 80))
@@ -305,6 +368,10 @@ def test_snippets_and_excerpts_are_bounded(spark):
     assert got[0][1].count("\n") == 119 and got[4][1] is None and got[5][1] == "a\nb"
     long = spark.createDataFrame([("x" * 9000,), (" \n \n",)], "t string").select(summarise.excerpt(F.col("t")), summarise.snippet(F.repeat(F.lit("y\n"), 500), F.lit(1), F.lit(500))).collect()
     assert len(long[0][0]) == 6000 and long[1][0] is None and long[0][1].count("y") == 200
+    for unit, pad in (("é", ""), ("é", "a"), ("你", "a"), ("\U0001f600", "ab"), ("a", "")):
+        text = pad + unit * 7000
+        cut = spark.createDataFrame([(text,)], "t string").select(summarise.excerpt(F.col("t"))).head()[0]
+        assert text.startswith(cut) and len(cut.encode()) <= 6000 < len(text[: len(cut) + 1].encode())
 
 
 def test_index_run_with_summaries_and_vectors(spark, tmp_path):
@@ -424,7 +491,7 @@ def test_stream_of_files(spark, tmp_path):
 
 
 def test_config():
-    assert config.validate(config.read_config("")).search.default_limit == 15
+    assert config.validate(config.read_config("")).search.default_limit == 15 and "{abs_path}" in config.Config().editor_link
     for bad in ("[search]\nrelative_gap_threshold = 2.0", "[search]\nmin_results = 0", "[search.rerank_weights]\nkeyword = 0.9", "[embedding]\nprovider = 'none'", "[summary]\ntemperature = 3.0"):
         with pytest.raises(ValueError):
             config.validate(config.read_config(bad))

@@ -69,7 +69,7 @@ class Config:
     summary: Summary = field(default_factory=Summary)
     reranker: Reranker = field(default_factory=Reranker)
     providers: dict = field(default_factory=lambda: {"ollama": {"base_url": "http://localhost:11434/v1"}})
-    editor_link: str = "vscode://file/{path}:{line}"
+    editor_link: str = "vscode://file/{abs_path}:{line}"
 
 
 def merged(kind: type, given: dict):
@@ -103,6 +103,7 @@ def validate(c: Config) -> Config:
         (0 <= c.summary.temperature <= 2, "temperature must be between 0 and 2"),
         (c.summary.batch_size > 0 and c.embedding.batch_size > 0, "batch sizes must be positive"),
         (c.embedding.dimensions > 0, "dimensions must be positive"),
+        (c.summary.concurrency > 0, "concurrency must be positive"),
         (not c.reranker.enabled or bool(c.reranker.model and c.reranker.top_k > 0 and c.reranker.batch_size > 0 and c.reranker.timeout_secs > 0), "an enabled reranker needs a model and positive sizes"),
         (all(p.get("base_url", "x") for p in c.providers.values()), "base_url must not be empty"),
         (bool(c.editor_link), "editor_link must not be empty"),

@@ -106,7 +106,8 @@ def degrees(edges: DataFrame) -> DataFrame:
 def focus(entities: DataFrame, edges: DataFrame, kind_rank: list[str]) -> DataFrame:
     """The entity to draw in the middle: by kind (earlier in the list is better), edges, exported, id."""
     n = neighbours(edges).groupBy("id").count()
-    rank = -F.array_position(F.array(*map(F.lit, kind_rank)), F.col("kind"))
+    place = F.array_position(F.array(*map(F.lit, kind_rank)), F.col("kind"))
+    rank = F.when(place > 0, -place).otherwise(-len(kind_rank) - 1)
     return entities.join(n, "id", "left").agg(F.max_by("id", F.struct(rank, F.coalesce("count", F.lit(0)), F.col("exported"), "id")).alias("id"))
 
 

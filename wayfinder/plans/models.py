@@ -10,13 +10,17 @@ import re
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfinder.config import Reranker
+
 
 class Provider(Protocol):
     def complete(self, prompt: str, max_tokens: int) -> str: ...
@@ -63,6 +67,26 @@ def retried(call: Callable, tries: int = 3, wait: float = 0.5, sleep: Callable[[
             sleep(wait * 2**k)
 
 
+def in_flight(calls: Iterable[Callable], most: int) -> Iterator:
+    """Results of calls in their order, of which ``most`` run at once. A call is taken when one before it is given out, so that a
+    task holds no more of its input than that."""
+    if most <= 1:
+        yield from (call() for call in calls)
+        return
+    with ThreadPoolExecutor(most) as pool:
+        running = deque()
+        try:
+            for call in calls:
+                running.append(pool.submit(call))
+                if len(running) >= most:
+                    yield running.popleft().result()
+            while running:
+                yield running.popleft().result()
+        finally:  # who stops asking doesn't wait for what hasn't begun
+            for left in running:
+                left.cancel()
+
+
 class HttpProvider:
     """A chat-completions and embeddings endpoint in the common JSON form."""
 
@@ -84,7 +108,11 @@ class HttpProvider:
 
     def complete(self, prompt: str, max_tokens: int) -> str:
         body = {"model": self.model, "messages": [{"role": "user", "content": prompt}], "max_tokens": max_tokens, "temperature": self.temperature, "response_format": {"type": "json_object"}}
-        return self._post("/chat/completions", body)["choices"][0]["message"]["content"]
+        reply = self._post("/chat/completions", body)
+        try:
+            return reply["choices"][0]["message"]["content"] or ""
+        except (KeyError, IndexError, TypeError) as e:
+            raise RequestFailed("a reply without a choice", False) from e
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         rows = self._post("/embeddings", {"model": self.embedding_model, "input": texts})["data"]
@@ -95,6 +123,17 @@ class HttpProvider:
         return [(r["index"], r["relevance_score"]) for r in rows]
 
 
+def scorer_of(provider, query: str, config: Reranker, most: int = 1) -> Callable[[list[str]], list[tuple[int, float]]]:
+    """A second-stage scorer for the search: texts go in batches of the configured size, ``most`` of which are asked at once."""
+
+    def score(texts: list[str]) -> list[tuple[int, float]]:
+        begins = range(0, len(texts), config.batch_size)
+        found = in_flight((functools.partial(provider.rerank, query, texts[a : a + config.batch_size]) for a in begins), most)
+        return [(a + i, s) for a, part in zip(begins, found, strict=True) for i, s in part if 0 <= i < config.batch_size]
+
+    return score
+
+
 def tolerant_json(text: str) -> dict | None:
     """The first JSON object in a reply: whole, in a code fence, amid prose, with ) for the last }, or cut off."""
     for start in (m.start() for m in re.finditer(r"\{", text)):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,11 +14,11 @@ from wayfinder.config import Summary
 from wayfinder.functions.text import first_of
 from wayfinder.operators.incremental import component_profile, related_names, repo_profile, stale_summaries
 from wayfinder.operators.lookup import summary_candidates
-from wayfinder.plans.models import Provider, RequestFailed, retried, tolerant_json
+from wayfinder.plans.models import Provider, in_flight, retried, tolerant_json
 from wayfinder.schema import Model, component_parts
 
-# Lines of a snippet; lines and characters of an excerpt; names and paths that a profile lists.
-SNIPPET_LINES, EXCERPT_LINES, EXCERPT_CHARS = 200, 120, 6_000
+# Lines of a snippet; lines and UTF-8 bytes of an excerpt; names and paths that a profile lists.
+SNIPPET_LINES, EXCERPT_LINES, EXCERPT_BYTES = 200, 120, 6_000
 LISTED_NAMES, LISTED_SOURCES, LISTED_DOCS, LISTED_OF_REPO = 8, 8, 6, 10
 #: Tokens of a model's window; kept free as a margin; counted for a reply where no other bound is set.
 WINDOW, MARGIN, REPLY = 8192, 256, 512
@@ -38,9 +40,17 @@ def snippet(text: Column, first: Column, last: Column, most: int = SNIPPET_LINES
     return F.when((text != "") & (begin <= F.size(lines_of(text))) & (n > 0), F.array_join(F.slice(lines_of(text), begin, n), "\n"))
 
 
-def excerpt(text: Column, most_lines: int = EXCERPT_LINES, most_chars: int = EXCERPT_CHARS) -> Column:
+def first_bytes(text: Column, most: int) -> Column:
+    """The longest beginning of whole characters within so many UTF-8 bytes."""
+    # a character that the bound cuts counts as one that is replaced
+    begun = F.length(F.make_valid_utf8(F.substring(text.cast("binary"), 1, most).cast("string")))
+    cut = F.left(text, begun)
+    return F.when(F.octet_length(text) <= most, text).when(F.octet_length(cut) <= most, cut).otherwise(F.left(text, begun - 1))
+
+
+def excerpt(text: Column, most_lines: int = EXCERPT_LINES, most_bytes: int = EXCERPT_BYTES) -> Column:
     """The first lines of a document, within both bounds; null for one without visible text."""
-    cut = F.substring(F.array_join(F.slice(lines_of(text), 1, most_lines), "\n"), 1, most_chars)
+    cut = first_bytes(F.array_join(F.slice(lines_of(text), 1, most_lines), "\n"), most_bytes)
     return F.when(F.trim(F.regexp_replace(cut, r"\s+", " ")) != "", cut)
 
 
@@ -114,7 +124,7 @@ def replies(provider: Provider, batch: list[tuple], max_tokens: int) -> dict[str
     def ask(part: list[tuple]) -> dict | None:
         try:
             return tolerant_json(retried(lambda: provider.complete(prompt_for(part), max_tokens * len(part))))
-        except RequestFailed:
+        except Exception:  # whatever a provider breaks with costs its batch, not the run
             return None
 
     found: dict[str, dict] = {}
@@ -131,7 +141,8 @@ def replies(provider: Provider, batch: list[tuple], max_tokens: int) -> dict[str
 
 
 def summarise(work: DataFrame, make: Callable[[], Provider], config: Summary | None = None, tokens: Callable[[str], int] = words_and_marks) -> DataFrame:
-    """Rows of summaries for work (of prompt_inputs). Components are spread over tasks; within one, symbols go in batches in order of id."""
+    """Rows of summaries for work (of prompt_inputs); what got none is due again next time. Components are spread over tasks;
+    within one, symbols go in batches in order of id, and ``concurrency`` batches are asked at once, whose rows keep their order."""
     c = config or Summary()
     fixed = tokens(TASK) + tokens(MANY)
 
@@ -139,8 +150,15 @@ def summarise(work: DataFrame, make: Callable[[], Provider], config: Summary | N
         provider = make()
         rows = (row for f in frames for row in zip(*(f[x] for x in ("entity_id", "kind", "prompt", "source_hash", "component_id")), strict=True))
         same = lambda a: a[1] == "symbol"
-        for batch in in_budget(rows, c.batch_size, same, lambda r: tokens(r[2]), fixed, c.max_tokens or REPLY):
-            found = replies(provider, batch, c.max_tokens or REPLY)
+        batches, waiting = in_budget(rows, c.batch_size, same, lambda r: tokens(r[2]), fixed, c.max_tokens or REPLY), deque()
+
+        def calls():
+            for batch in batches:
+                waiting.append(batch)
+                yield partial(replies, provider, batch, c.max_tokens or REPLY)
+
+        for found in in_flight(calls(), c.concurrency):
+            batch = waiting.popleft()
             words = lambda x: [str(w) for w in x] if isinstance(x, list) else []
             out = [(i, str(r["short_summary"]), None if r.get("detailed_summary") is None else str(r["detailed_summary"]), words(r.get("keywords")), h) for i, _, _, h, _ in batch if (r := found.get(i))]
             yield pd.DataFrame(out, columns=["entity_id", "short_summary", "detailed_summary", "keywords", "source_hash"], dtype=object)
@@ -154,3 +172,9 @@ def stale_work(m: Model, contents: DataFrame, exported_only: bool = True) -> Dat
     """What has no summary yet, or one of another source."""
     work = prompt_inputs(m, contents, exported_only)
     return work.join(stale_summaries(work.select("entity_id", "source_hash"), m.summaries).select("entity_id"), "entity_id", "left_semi")
+
+
+def summary_counts(work: DataFrame, made: DataFrame) -> DataFrame:
+    """One row: entities that were due, those that got a summary, those that failed."""
+    both = work.select("entity_id").join(made.select("entity_id", F.lit(True).alias("made")), "entity_id", "left")
+    return both.agg(F.count("*").alias("due"), F.count("made").alias("generated"), F.count_if(F.col("made").isNull()).alias("failed"))

@@ -80,7 +80,7 @@ class Projection:
         return self.table("embeddings").select(text("symbol::part/", key("vec_id")).alias("entity_id"), F.lit("given").alias("model"), F.size("embedding").alias("dimensions"), F.lit("").alias("updated_at"), F.col("embedding").alias("vector"))
 
     def files(self) -> DataFrame:
-        return snapshot(self.table("documents"), "true", False)
+        return snapshot(self.table("documents"))
 
     def task_routes(self) -> DataFrame:
         return task_routes(self.entities())
@@ -91,10 +91,9 @@ def project(spark: SparkSession, sf_dir: str) -> Model:
     return LazyModel({name: getattr(made, name) for name in TABLES})
 
 
-def snapshot(documents: DataFrame, which: str, altered: bool) -> DataFrame:
-    """Documents as files; altered: those with doc_id % 10 = 2 have another text."""
-    text = F.when((F.col("doc_id") % 10 == 2) & F.lit(altered), F.concat(F.col("text"), F.lit("x"))).otherwise(F.col("text"))
-    return documents.where(which).select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string")).alias("path"), F.concat(F.lit("component::docs::"), F.col("source")).alias("component_id"), F.lit("doc").alias("kind"), F.sha2(text, 256).alias("hash"), F.lit(True).alias("indexed"), F.lit(None).cast("string").alias("ignore_reason"))
+def snapshot(documents: DataFrame) -> DataFrame:
+    """Documents as files."""
+    return documents.select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string")).alias("path"), F.concat(F.lit("component::docs::"), F.col("source")).alias("component_id"), F.lit("doc").alias("kind"), F.sha2("text", 256).alias("hash"), F.lit(True).alias("indexed"), F.lit(None).cast("string").alias("ignore_reason"))
 
 
 SQL = """

@@ -16,9 +16,9 @@ from wayfinder.operators.postings import TextIndex
 from wayfinder.operators.ranking import numbered
 from wayfinder.operators.routes import task_routes
 from wayfinder.plans import evaluate, search, summarise
-from wayfinder.projection import SQL, project, snapshot
+from wayfinder.projection import SQL, project
 from wayfinder.schema import ENTITY_KINDS, Model
-from wayfinder.shared import materialize
+from wayfinder.shared import fresh_path, materialize
 from wayfinder.sources.manifests import assign_owners
 from wayfinder.sources.scan import file_kind, scanned_kind
 
@@ -275,11 +275,11 @@ def relative_gap_cutoff(m: Model, *_) -> DataFrame:
     return search.cutoff(ranked, "relative_gap", 0.95, 3, 4000).select("id", *long("rank"), F.col("final_score").alias("score"))
 
 
-@query(f"WITH RECURSIVE {SQL}, walk(id, depth) AS (SELECT 'repo::.', 0 UNION SELECT CASE WHEN e.src_id = w.id THEN e.dst_id ELSE e.src_id END, w.depth + 1 FROM walk w JOIN edg e ON (e.src_id = w.id OR e.dst_id = w.id) WHERE w.depth < 3 AND e.rel <> 'defines') SELECT id, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY id")
+@query(f"WITH RECURSIVE {SQL}, walk(id, depth) AS (SELECT 'repo::.', 0 UNION SELECT CASE WHEN e.src_id = w.id THEN e.dst_id ELSE e.src_id END, w.depth + 1 FROM walk w JOIN edg e ON (e.src_id = w.id OR e.dst_id = w.id) WHERE w.depth < 4) SELECT id, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY id")
 def traversal_depths(m: Model, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H1 E5: breadth first from the repository without the part edges, to depth 3, without a bound on nodes."""
+    """H1 E5: breadth first from the repository along all edges to depth 4, without a bound on nodes."""
     seeds = spark.createDataFrame([("repo::.",)], "id string")
-    return graph.depths(m.entities, m.edges.where("rel <> 'defines'"), seeds, 3).select("id", *long("depth"))
+    return graph.depths(m.entities, m.edges, seeds, 4).select("id", *long("depth"))
 
 
 #: Levels one by one: each numbers its finds by their first parent, way, relation and id, within what is left of 5,000 nodes.
@@ -316,9 +316,13 @@ def node_degrees(m: Model, *_) -> DataFrame:
     return graph.degrees(m.edges)
 
 
-@query("SELECT id FROM ents LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT src_id AS id FROM edg UNION ALL SELECT dst_id FROM edg) GROUP BY id) USING (id) WHERE kind <> 'repo' ORDER BY CASE kind WHEN 'component' THEN 1 WHEN 'source_unit' THEN 2 WHEN 'symbol' THEN 3 ELSE 0 END = 1 DESC, coalesce(n, 0) DESC, exported DESC, id DESC LIMIT 1")
+FOCUS = ["test", "doc", "repo"]
+
+
+@query(f"SELECT id FROM ents LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT src_id AS id FROM edg UNION ALL SELECT dst_id FROM edg) GROUP BY id) USING (id) ORDER BY coalesce(list_position({FOCUS}, kind), 9), coalesce(n, 0) DESC, exported DESC, id DESC LIMIT 1")
 def focus_node(m: Model, *_) -> DataFrame:
-    return graph.focus(m.entities.where("kind <> 'repo'"), m.edges, ["component", "source_unit", "symbol", "task", "doc", "test", "content_page"])
+    """over all entities, those of kinds that aren't ranked last."""
+    return graph.focus(m.entities, m.edges, FOCUS)
 
 
 @query("SELECT e.src_id, e.rel, e.dst_id FROM edg e WHERE rel IN ('contains', 'documented_by') AND EXISTS (SELECT 1 FROM ents WHERE id = e.src_id AND kind IN ('repo', 'component', 'doc', 'source_unit')) AND EXISTS (SELECT 1 FROM ents WHERE id = e.dst_id AND kind IN ('repo', 'component', 'doc', 'source_unit'))")
@@ -394,13 +398,19 @@ def upsert_entities(m: Model, spark: SparkSession, sf_dir: str) -> DataFrame:
 GONE = "gone AS (SELECT id FROM ents WHERE component_id = 'component::tpch::asia')"
 
 
-@query(f"""WITH {SQL}, {GONE} SELECT 'entities' AS "table", count(*) AS rows FROM ents WHERE id NOT IN (SELECT id FROM gone)
- UNION ALL SELECT 'edges', count(*) FROM edg WHERE src_id NOT IN (SELECT id FROM gone) AND dst_id NOT IN (SELECT id FROM gone)
- UNION ALL SELECT 'summaries', count(*) FROM summ WHERE entity_id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'embeddings', count(*) FROM embs WHERE entity_id NOT IN (SELECT id FROM gone)""")
-def cascade_delete(m: Model, *_) -> DataFrame:
-    """Entities of a component go with all that hangs on them."""
-    left = store.cascade_entities(m, m.entities.where("component_id = 'component::tpch::asia'"))
-    return store.table_counts(left).where(F.col("table").isin("entities", "edges", "summaries", "embeddings"))
+@query(f"""WITH {SQL}, {ROUTE_SQL}, {GONE},
+c AS (SELECT 'entities' AS "table", count(*) AS rows, count(*) FILTER (id IN (SELECT id FROM gone)) AS deleted FROM ents
+ UNION ALL SELECT 'edges', count(*), count(*) FILTER (src_id IN (SELECT id FROM gone) OR dst_id IN (SELECT id FROM gone)) FROM edg
+ UNION ALL SELECT 'summaries', count(*), count(*) FILTER (entity_id IN (SELECT id FROM gone)) FROM summ UNION ALL SELECT 'embeddings', count(*), count(*) FILTER (entity_id IN (SELECT id FROM gone)) FROM embs
+ UNION ALL SELECT 'task_routes', count(*), count(*) FILTER (entity_id IN (SELECT id FROM gone)) FROM routes UNION ALL SELECT 'files', count(*), 0 FROM documents)
+SELECT "table", rows - deleted AS rows, deleted FROM c""")
+def cascade_delete(m: Model, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of a component go with all that hangs on them, in a stored model; rows and deleted rows
+    of all six tables as the tasks that wrote them counted."""
+    root = fresh_path(spark, "model")
+    before = store.save(m, root)
+    after = store.update(spark, root, lambda m: store.cascade_entities(m, materialize(m.entities.where("component_id = 'component::tpch::asia'").select("id"), "gone")))
+    return spark.createDataFrame([(n, after.rows[n], before.rows[n] - after.rows[n]) for n in after.rows], "table string, rows long, deleted long")
 
 
 @query("SELECT id FROM ents WHERE path IS NULL OR path NOT IN ('supplier/1', 'supplier/2')")
@@ -413,15 +423,29 @@ def delete_by_component(m: Model, *_) -> DataFrame:
     return store.delete_where(m.entities, F.col("component_id") == "component::tpch::asia").select("id")
 
 
-DIFF_SQL = """WITH o AS (SELECT 'docs/' || doc_id AS path, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 0), n AS (SELECT 'docs/' || doc_id AS path, sha256(CASE WHEN doc_id % 10 = 2 THEN text || 'x' ELSE text END) AS h FROM documents WHERE doc_id % 10 <> 1)
+#: All documents are files of both states; English texts are altered, some sources have files that go and others files that come.
+DIFF_SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS text, lang, source FROM documents),
+o AS (SELECT 'docs/' || doc_id AS path, sha256(text) AS h, source FROM d UNION ALL SELECT 'old/' || doc_id, sha256(text), source FROM d WHERE source < 'src3'),
+n AS (SELECT 'docs/' || doc_id AS path, sha256(CASE WHEN lang = 'en' THEN text || 'x' ELSE text END) AS h, CASE WHEN lang = 'de' THEN 'moved' ELSE source END AS source FROM d UNION ALL SELECT 'new/' || doc_id, sha256(text), source FROM d WHERE source >= 'src3')
 """
 
 
-@query(f"{DIFF_SQL} SELECT path, CASE WHEN o.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM o FULL JOIN n USING (path) WHERE o.h IS DISTINCT FROM n.h")
+def states(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents as files, and what became of them."""
+    text = F.coalesce("text", F.lit(""))
+    files = lambda folder, text, source: docs.select(F.concat(F.lit(folder), F.col("doc_id").cast("string")).alias("path"), F.sha2(text, 256).alias("hash"), F.concat(F.lit("component::docs::"), source).alias("component_id"))
+    plain = lambda folder, which: files(folder, text, F.col("source")).where(which)
+    altered = F.when(F.col("lang") == "en", F.concat(text, F.lit("x"))).otherwise(text)
+    now = files("docs/", altered, F.when(F.col("lang") == "de", "moved").otherwise(F.col("source")))
+    early = F.col("component_id") < "component::docs::src3"
+    return plain("docs/", F.lit(True)).unionByName(plain("old/", early)), now.unionByName(plain("new/", ~early))
+
+
+@query(f"{DIFF_SQL} SELECT path, CASE WHEN o.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM o FULL JOIN n USING (path) WHERE o.h IS DISTINCT FROM n.h OR o.source IS DISTINCT FROM n.source")
 def file_changes(m: Model, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two states of the documents that differ by added, removed and altered files, as the SQL makes them."""
-    docs = table(spark, sf_dir, "documents")
-    return incremental.classify_files(snapshot(docs, "doc_id % 10 <> 1", True), snapshot(docs, "doc_id % 10 <> 0", False))
+    """Two states of the documents that differ by files that came, went, were altered or got another owner."""
+    before, now = states(table(spark, sf_dir, "documents"))
+    return incremental.classify_files(now, before)
 
 
 @query("SELECT id FROM ents WHERE kind = 'component' AND id <> 'component::tpch::asia'")
@@ -440,13 +464,20 @@ def stale_summaries(m: Model, *_) -> DataFrame:
     return incremental.stale_summaries(fresh, m.summaries).select("entity_id")
 
 
-@query("""WITH q AS (SELECT * FROM (VALUES ('how to add X'), ('fix the crash bug'), ('nothing here'), ('Deploy and release test'), ('build settings env'), ('')) v(query)),
-c AS (SELECT query, category, k, len(list_filter(string_split(lower(query), ' '), lambda w: list_contains(words, w))) AS n FROM q, (VALUES (0, 'debug', ['debug', 'fix', 'bug', 'error', 'panic', 'crash', 'trace']), (1, 'build', ['build', 'implement', 'add', 'create', 'write']), (2, 'test', ['test', 'tests', 'bench', 'verify', 'assert']),
+def one_of(values: list[str]) -> Callable:
+    return lambda w: w.isin(values)
+
+
+@query("""WITH q AS (SELECT conv_id, turn, role, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS ws FROM conversations),
+c AS (SELECT q.*, category, k, len(list_filter(ws, lambda w: list_contains(words, w))) AS n FROM q, (VALUES (0, 'debug', ['debug', 'fix', 'bug', 'error', 'panic', 'crash', 'trace']), (1, 'build', ['build', 'implement', 'add', 'create', 'write']), (2, 'test', ['test', 'tests', 'bench', 'verify', 'assert']),
  (3, 'deploy', ['deploy', 'release', 'publish', 'ship', 'prod']), (4, 'configure', ['configure', 'setup', 'settings', 'env', 'config']), (5, 'understand', ['understand', 'how', 'what', 'architecture', 'design', 'overview'])) l(k, category, words))
-SELECT query, CASE WHEN n = 0 THEN 'general' ELSE category END AS category FROM c QUALIFY row_number() OVER (PARTITION BY query ORDER BY n DESC, k DESC) = 1""")
+SELECT conv_id, turn, CASE WHEN max(n) = 0 THEN 'general' ELSE max_by(category, ROW(n, k)) END AS category, max(n) AS words FROM c GROUP BY conv_id, turn, role""")
 def classified_queries(m: Model, spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = spark.createDataFrame([(x,) for x in ("how to add X", "fix the crash bug", "nothing here", "Deploy and release test", "build settings env", "")], "query string")
-    return q.select("query", search.classify_column(F.col("query")).alias("category"))
+    """Every turn of the conversations as a query."""
+    text = F.coalesce("text", F.lit(""))
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    most = F.array_max(F.array(*(F.size(F.filter(words, one_of(x))) for x in search.LEXICON.values())))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", search.classify_column(text).alias("category"), most.cast("long").alias("words"))
 
 
 @query("SELECT path, CASE WHEN starts_with(path, 'docs/src1/en/') THEN 'component::x::docs/src1/en' WHEN starts_with(path, 'docs/src1/') THEN 'component::x::docs/src1' WHEN starts_with(path, 'docs/') THEN 'component::x::docs' ELSE 'component::x::.' END AS component_id FROM ents WHERE kind IN ('doc', 'task')")
@@ -499,11 +530,11 @@ PATHS = [".github/x/a.rs", "src/lib.rs", "Dockerfile", "a/Makefile", "a/Cargo.to
 KINDS_OF_PATHS = dict(zip(PATHS, [("workflow", None), ("source", None), ("config", "containerized"), ("build", None), ("build", None), ("build", None), ("migration", None), ("template", "template"), ("data", "spec"), ("doc", None), ("other", None), ("other", "infra_root"), ("config", "command"), ("migration", "migration"), ("workflow", "workflow"), ("template", "template"), ("template", "template"), ("doc", "agent_config"), ("other", None)], strict=True))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{a}', {'NULL' if b is None else repr(b)})" for p, (a, b) in KINDS_OF_PATHS.items()) + ") v(path, file_kind, entity_kind)")
+@query("SELECT p_partkey, path, file_kind, entity_kind FROM part JOIN (VALUES " + ", ".join(f"({k}, '{p}', '{a}', {'NULL' if b is None else repr(b)})" for k, (p, (a, b)) in enumerate(KINDS_OF_PATHS.items())) + f") v(k, path, file_kind, entity_kind) ON p_partkey % {len(PATHS)} = k")
 def path_rules(m: Model, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File kinds and declarative entities of paths."""
-    p = spark.createDataFrame([(x,) for x in PATHS], "path string")
-    return p.select("path", file_kind(F.col("path")).alias("file_kind"), scanned_kind(F.col("path")).alias("entity_kind"))
+    """File kinds and declarative entities of a path for each part."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.get(F.array(*map(F.lit, PATHS)), (F.col("p_partkey") % len(PATHS)).cast("int")).alias("path"))
+    return p.select("p_partkey", "path", file_kind(F.col("path")).alias("file_kind"), scanned_kind(F.col("path")).alias("entity_kind"))
 
 
 @query("SELECT p_partkey % 10 AS vector_key, count(DISTINCT p_partkey) AS owners FROM part WHERE p_partkey IN (SELECT vec_id FROM embeddings) GROUP BY 1 HAVING count(DISTINCT p_partkey) > 1")
@@ -544,13 +575,18 @@ def editor_links(m: Model, *_) -> DataFrame:
     return lookup.editor_links(m.entities, "/work/tree", "vscode://file/{abs_path}:{line}:{column}#{entity_id}")
 
 
-@query("SELECT id, CAST(0 AS BIGINT) AS ord FROM ents WHERE kind = 'component'")
+@query("SELECT 'named' AS start, 'symbol::part/1' AS id, CAST(0 AS BIGINT) AS ord UNION ALL SELECT 'repository', id, 0 FROM ents WHERE id = 'repo::.' UNION ALL SELECT 'none', id, 0 FROM ents WHERE kind <> 'repo'")
 def drawing_seeds(m: Model, *_) -> DataFrame:
-    """H4: a graph without its repository is drawn from all its entities."""
-    return graph.drawing_seeds(m.entities.where("kind = 'component'")).select("id", *long("ord"))
+    """H4: from a given entity, from the repository, and, in a graph without one, from all entities."""
+    cases = {"named": graph.drawing_seeds(m.entities, "symbol::part/1"), "repository": graph.drawing_seeds(m.entities), "none": graph.drawing_seeds(m.entities.where("kind <> 'repo'"))}
+    rows = [df.select(F.lit(name).alias("start"), "id", *long("ord")) for name, df in cases.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-@query("SELECT doc_id, substr(array_to_string(string_split(regexp_replace(text, '\\n$', ''), chr(10))[1:120], chr(10)), 1, 6000) AS excerpt, array_to_string(string_split(regexp_replace(text, '\\n$', ''), chr(10))[2:4], chr(10)) AS snippet FROM (SELECT doc_id, replace(text, '. ', '.' || chr(10)) AS text FROM documents)")
+#: Bytes that begin a character are those that don't go on with one; a character over the bound goes as a whole.
+@query("""WITH t AS (SELECT doc_id, array_to_string(string_split(regexp_replace(text, '\\n$', ''), chr(10))[1:120], chr(10)) AS cut, array_to_string(string_split(regexp_replace(text, '\\n$', ''), chr(10))[2:4], chr(10)) AS snippet FROM (SELECT doc_id, replace(text, '. ', '.' || chr(10)) AS text FROM documents)),
+b AS (SELECT *, length(regexp_replace(substr(hex(encode(cut)), 1, 12000), '[89AB].|(..)', '\\1', 'g')) // 2 AS begun FROM t)
+SELECT doc_id, CASE WHEN strlen(substr(cut, 1, begun)) <= 6000 THEN substr(cut, 1, begun) ELSE substr(cut, 1, begun - 1) END AS excerpt, snippet FROM b""")
 def excerpts(m: Model, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounded excerpts and snippets, of documents with a line for each sentence."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n")).alias("text"))
