@@ -12,6 +12,7 @@ from wayfinder.operators import graph, lookup, store
 from wayfinder.operators.postings import TextIndex, searched_texts
 from wayfinder.operators.ranking import numbered
 from wayfinder.operators.routes import task_routes
+from wayfinder.operators.vectors import VectorIndex
 from wayfinder.plans import evaluate, index, models, search, summarise
 from wayfinder.schema import Model
 from wayfinder.sources.rust import rust_facts
@@ -109,6 +110,34 @@ def test_many_queries_are_one_plan(spark):
         assert [x[0] for x in got[0]] == ["wick", "glass"] and [x[0] for x in got[1]] == ["oil"] and got[0] == got[3]
 
 
+def test_indexed_vectors_are_those_of_a_scan(spark):
+    """Clustered vectors with ties, a zero vector, changes and removals; most lists and nearly all vectors aren't read."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(40, 24))
+    x = np.repeat(centers, 60, axis=0) + 0.05 * rng.normal(size=(2400, 24))
+    x[7] = x[8]
+    x[9] = 0
+    frame = lambda rows: spark.createDataFrame([(i, None if v is None else [float(a) for a in v]) for i, v in rows], "entity_id string, vector array<float>")
+    given = {f"v{k}": x[k] for k in range(2400)}
+    held = VectorIndex.build(frame(given.items()))
+    changes = {f"v{k}": (None if k % 2 else rng.normal(size=24)) for k in range(60, 90)} | {"new": x[0] * 2}
+    later = held.put(frame(changes.items()))
+    for index, now in ((held, given), (later, given | changes)):
+        left = frame((i, v) for i, v in now.items() if v is not None)
+        for q, k in ((x[0], 10), (x[61], 45), (rng.normal(size=24), 5), (-x[300], 3)):
+            want = search.retrieve_vectors(left, list(q), k).collect()
+            got, read = index.find([float(a) for a in q], k)
+            assert [r["entity_id"] for r in got.collect()] == [r["entity_id"] for r in want]
+    got, read = held.find([float(a) for a in x[0]], 10)
+    assert read["lists"] * 4 <= read["of_lists"] and read["codes"] * 4 <= read["of_codes"] and read["vectors"] < 100, read
+    with pytest.raises(ValueError):
+        held.find([1.0], 1)
+    none = VectorIndex.build(frame([]))
+    assert none.find([1.0], 3)[0].count() == 0
+
+
 def test_places_are_found_in_ranges(spark):
     df = spark.range(1000).select((F.col("id") % 7).alias("a"), "id").repartition(5)
     want = sorted(((r["a"], -r["id"]) for r in df.collect()))

@@ -15,6 +15,7 @@ from wayfinder.functions.text import cosine_distance, query_tokens
 from wayfinder.operators.graph import neighbours
 from wayfinder.operators.lookup import summary_text
 from wayfinder.operators.postings import TextIndex
+from wayfinder.operators.vectors import VectorIndex
 from wayfinder.schema import Model
 from wayfinder.shared import materialize
 
@@ -84,10 +85,14 @@ def token_matches(m: Model, tokens: list[str], index: TextIndex | None = None) -
     return names.unionByName(m.summaries.select(F.col("entity_id").alias("id"), F.lit("summary").alias("field"), F.explode(tokens_in(summary_text(), tokens)).alias("token")))
 
 
-def retrieve_vectors(embeddings: DataFrame, query_vector: list[float], k: int) -> DataFrame:
-    """The k nearest by cosine distance; score 1 / (1 + distance). Exact: each task keeps its own k, and only those are merged."""
-    q = F.array(*(F.lit(float(x)) for x in query_vector))
-    near = embeddings.select("entity_id", cosine_distance(F.col("vector"), q).alias("distance")).orderBy("distance", "entity_id").limit(k)
+def retrieve_vectors(embeddings: DataFrame, query_vector: list[float], k: int, index: VectorIndex | None = None) -> DataFrame:
+    """The k nearest by cosine distance; score 1 / (1 + distance). Exact: each task keeps its own k, and only those are merged;
+    with an index, bounds rule most vectors out."""
+    if index is not None:
+        near = index.find(query_vector, k)[0]
+    else:
+        q = F.array(*(F.lit(float(x)) for x in query_vector))
+        near = embeddings.select("entity_id", cosine_distance(F.col("vector"), q).alias("distance")).orderBy("distance", "entity_id").limit(k)
     return near.select("entity_id", (1 / (1 + F.col("distance"))).alias("vector"))
 
 
@@ -202,7 +207,7 @@ class Asked:
         return self.category or classify(self.text)
 
 
-def candidates_for(m: Model, asked: list[Asked], k: int, index: TextIndex | None = None) -> DataFrame:
+def candidates_for(m: Model, asked: list[Asked], k: int, index: TextIndex | None = None, vectors: VectorIndex | None = None) -> DataFrame:
     """query (its place in the list), id, kind, exported, preferred, signals of the entities that some signal finds: all queries in
     one plan, one aggregation of all signals and one join. Texts, names and paths don't leave the scans that match them."""
     spark = m.entities.sparkSession
@@ -217,7 +222,7 @@ def candidates_for(m: Model, asked: list[Asked], k: int, index: TextIndex | None
         names = spark.createDataFrame(routes, "query int, task_name string")
         met = m.task_routes.where(F.col("task_name").isin(sorted({r[1] for r in routes})) & (F.col("priority") > 0)).join(F.broadcast(names), "task_name")
         parts.append(met.groupBy("query", F.col("entity_id").alias("id")).agg(F.lit("route").alias("field"), F.max("priority").cast("double").alias("value")))
-    parts += [retrieve_vectors(m.embeddings, q.vector, k).select(F.lit(i).alias("query"), F.col("entity_id").alias("id"), F.lit("vector").alias("field"), F.col("vector").alias("value")) for i, q in enumerate(asked) if q.vector is not None]
+    parts += [retrieve_vectors(m.embeddings, q.vector, k, vectors).select(F.lit(i).alias("query"), F.col("entity_id").alias("id"), F.lit("vector").alias("field"), F.col("vector").alias("value")) for i, q in enumerate(asked) if q.vector is not None]
     of = lambda field: F.when(F.col("field") == field, F.col("value"))
     merged = reduce(DataFrame.unionByName, parts).groupBy("query", "id").agg(F.max(of("route")).alias("route_priority"), F.max(of("vector")).alias("vector"), *(F.sum(of(x)).alias(x) for x in ("summary", "name", "path")))
     met = merged.join(m.entities.select("id", "kind", "exported"), "id").join(F.broadcast(queries), "query")
@@ -229,13 +234,13 @@ def candidates_for(m: Model, asked: list[Asked], k: int, index: TextIndex | None
     return wide.select("query", "id", "kind", "exported", "preferred", *SIGNALS, F.lit(False).alias("is_context"))
 
 
-def ranked_entries(m: Model, asked: list[Asked], limit: int | None = None, search: Search | None = None, expansion: bool = True, keep: int | None = None, index: TextIndex | None = None) -> DataFrame:
+def ranked_entries(m: Model, asked: list[Asked], limit: int | None = None, search: Search | None = None, expansion: bool = True, keep: int | None = None, index: TextIndex | None = None, vectors: VectorIndex | None = None) -> DataFrame:
     """Candidates and their neighbours in each query's order, the first ``keep`` of them (limit by default): query, rank, entity
     columns, signals, score, breakdown, reasons. Candidates are written once, as ids and signals; entities are looked up for
     what is kept."""
     s = search or Search()
     limit = limit or s.default_limit
-    first = materialize(scored(candidates_for(m, asked, max(s.default_limit, 15) * 3, index), s.rerank_weights), "candidates")
+    first = materialize(scored(candidates_for(m, asked, max(s.default_limit, 15) * 3, index, vectors), s.rerank_weights), "candidates")
     if expansion:
         more = expand(first, m.entities, m.edges, limit)
         kinds = m.entities.sparkSession.createDataFrame([(i, KINDS[q.of()]) for i, q in enumerate(asked)], "query int, preferred array<string>")
@@ -247,11 +252,11 @@ def ranked_entries(m: Model, asked: list[Asked], limit: int | None = None, searc
     return m.entities.join(F.broadcast(top), "id").withColumn("reasons", reasons())
 
 
-def search(m: Model, query: str, category: str | None = None, query_vector: list[float] | None = None, limit: int | None = None, config: Search | None = None, show_all: bool = False, scorer=None, top_k: int = 25, index: TextIndex | None = None) -> ReadingPlan:
+def search(m: Model, query: str, category: str | None = None, query_vector: list[float] | None = None, limit: int | None = None, config: Search | None = None, show_all: bool = False, scorer=None, top_k: int = 25, index: TextIndex | None = None, vectors: VectorIndex | None = None) -> ReadingPlan:
     s = config or Search()
     limit, asked = limit or s.default_limit, Asked(query, category, query_vector)
     # neither the rerank nor the cutoff looks further; written, as it is counted and read
-    entries = ranked_entries(m, [asked], limit, s, keep=max(limit, top_k if scorer else 0, s.max_results + 1, s.min_results + 1), index=index)
+    entries = ranked_entries(m, [asked], limit, s, keep=max(limit, top_k if scorer else 0, s.max_results + 1, s.min_results + 1), index=index, vectors=vectors)
     entries = materialize(entries.drop("query"), "entries")
     if scorer is not None:
         entries = rerank(entries, m.summaries, scorer, top_k)

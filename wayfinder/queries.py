@@ -15,6 +15,7 @@ from wayfinder.operators import graph, incremental, lookup, store
 from wayfinder.operators.postings import TextIndex
 from wayfinder.operators.ranking import numbered
 from wayfinder.operators.routes import task_routes
+from wayfinder.operators.vectors import VectorIndex
 from wayfinder.plans import evaluate, search, summarise
 from wayfinder.projection import SQL, project
 from wayfinder.schema import ENTITY_KINDS, Model
@@ -267,6 +268,13 @@ def vector_top_k(m: Model, spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.retrieve_vectors(m.embeddings, vector, 45).select("entity_id", F.round("vector", 6).alias("vector"))
 
 
+@query(f"SELECT entity_id, round(1 / (1 + d), 6) AS vector FROM ({VEC}) ORDER BY d, entity_id LIMIT 45")
+def indexed_vector_top_k(m: Model, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same nearest vectors through the index, which reads codes and the few vectors that bounds leave."""
+    vector = table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").head()[0]
+    return search.retrieve_vectors(m.embeddings, vector, 45, VectorIndex.build(m.embeddings)).select("entity_id", F.round("vector", 6).alias("vector"))
+
+
 @query(f"WITH {SQL}, {SCORED} , ranked AS (SELECT id, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS rank, round(score, 6) AS score FROM scored), lagged AS (SELECT *, lag(score) OVER (ORDER BY rank) AS before FROM ranked), gap AS (SELECT min(rank) AS g FROM lagged WHERE rank > 3 AND (CASE WHEN before > 0 THEN score / before ELSE 0 END) < 0.95) SELECT id, rank, score FROM ranked WHERE rank <= least(coalesce((SELECT g FROM gap) - 1, 4000), 4000)")
 def relative_gap_cutoff(m: Model, *_) -> DataFrame:
     """Over all ranked rows, with a large upper bound so that the gap decides; ranks and gaps are found without a task that holds all rows."""
