@@ -99,10 +99,10 @@ def one_sentence(text: Column, most_words: int = 24) -> Column:
     return F.when(short == "", "").when(short.rlike(r"[.!?]$"), short).otherwise(F.concat(short, F.lit(".")))
 
 
-def first_of(names: Column, n: int) -> Column:
-    """The first n as lines of '- name', with how many more there are; '- none' for an empty list."""
+def first_of(names: Column, n: int, total: Column | None = None) -> Column:
+    """The first n as lines of '- name', with how many more there are (of total, where names are the first of more); '- none' for an empty list."""
     lines = F.array_join(F.transform(F.slice(names, 1, n), lambda x: F.concat(F.lit("- "), x)), "\n")
-    rest = F.size(names) - n
+    rest = (F.size(names) if total is None else total) - n
     return F.when(F.size(names) == 0, "- none").when(rest > 0, F.concat(lines, F.lit("\n- …and "), rest.cast("string"), F.lit(" more"))).otherwise(lines)
 
 

@@ -35,12 +35,23 @@ def stale_embeddings(summaries: DataFrame, entities: DataFrame, embeddings: Data
     return live.join(embeddings.where(F.col("model") == model).select("entity_id"), "entity_id", "left_anti")
 
 
-def component_profile(entities: DataFrame) -> DataFrame:
-    """Per component: symbols, tests, benches, sorted source and document paths (names where there is no path)."""
-    paths = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.coalesce("path", "name"))))
-    return entities.where("component_id is not null").groupBy("component_id").agg(
-        *(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("symbol", "test", "bench")), paths("source_unit").alias("sources"), paths("doc").alias("docs")
-    )
+def first_values(rows: DataFrame, keys: list[str], value: str, most: int, name: str) -> DataFrame:
+    """keys, and the first ``most`` values in order (name); what lies beyond is left out before rows of a key come together."""
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy(value))
+    some = rows.select(*keys, value).withColumn("__n", order).where(F.col("__n") <= most)
+    return some.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(name))
+
+
+def component_profile(entities: DataFrame, most: int = 11) -> DataFrame:
+    """Per component: symbols, tests, benches, source units and documents, and the first ``most`` source and document paths in
+    order (names where there is no path)."""
+    owned = entities.where("component_id is not null")
+    counts = owned.groupBy("component_id").agg(*(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("symbol", "test", "bench", "source_unit", "doc")))
+    listed = owned.where("kind in ('source_unit', 'doc')").select("component_id", "kind", F.coalesce("path", "name").alias("at"))
+    first = first_values(listed, ["component_id", "kind"], "at", most, "values")
+    lists = first.groupBy("component_id").agg(*(F.first(F.when(F.col("kind") == k, F.col("values")), True).alias(name) for k, name in (("source_unit", "sources"), ("doc", "docs"))))
+    none = F.array().cast("array<string>")
+    return counts.join(lists, "component_id", "left").withColumns({c: F.coalesce(c, none) for c in ("sources", "docs")})
 
 
 def repo_profile(entities: DataFrame, kinds: tuple[str, ...] = ("component", "source_unit", "symbol", "test", "bench", "doc", "task", "feature"), listed: int = 11) -> DataFrame:
@@ -55,10 +66,13 @@ def repo_profile(entities: DataFrame, kinds: tuple[str, ...] = ("component", "so
     return rows.agg(*(F.max(f"n_{k}").alias(f"n_{k}") for k in kinds), *(F.first(c, True).alias(c) for c in ("components", "docs")))
 
 
-def related_names(entities: DataFrame, edges: DataFrame, rel: str) -> DataFrame:
-    """src_id, names: distinct names of the existing entities that edges of the relation lead to, in order."""
-    to = edges.where(F.col("rel") == rel).join(entities.select(F.col("id").alias("dst_id"), "name"), "dst_id")
-    return to.groupBy("src_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
+def related_names(entities: DataFrame, edges: DataFrame, rel: str, sources: DataFrame | None = None, most: int = 11) -> DataFrame:
+    """src_id, n, names: how many distinct names the existing entities have that edges of the relation lead to, and the first
+    ``most`` of them in order. sources (column id): where edges begin; other edges are left out before anything is joined."""
+    some = edges.where(F.col("rel") == rel).select("src_id", "dst_id")
+    some = some if sources is None else some.join(sources.select(F.col("id").alias("src_id")), "src_id", "left_semi")
+    to = some.join(entities.select(F.col("id").alias("dst_id"), "name"), "dst_id").select("src_id", "name").distinct()
+    return to.groupBy("src_id").agg(F.count("*").alias("n")).join(first_values(to, ["src_id"], "name", most, "names"), "src_id")
 
 
 def work_batches(work: DataFrame, order: Column, size: int, partition: str = "component_id") -> DataFrame:

@@ -71,20 +71,23 @@ def prompt_inputs(m: Model, contents: DataFrame, exported_only: bool = True) ->
     where = F.when(F.col("kind") == "symbol", F.concat(F.lit("\nLines: "), F.coalesce("line_start", F.lit(0)), F.lit("-"), F.coalesce("line_end", F.lit(0)))).otherwise("")
     texts = with_text.withColumn("source", source).where("source is not null").withColumn("prompt", F.concat(described(*identity()), where, F.lit("\nText:\n"), F.col("source")))
 
-    owned = component_profile(m.entities).withColumnRenamed("component_id", "id")
-    needs, linked = (related_names(m.entities, m.edges, rel).select(F.col("src_id").alias("id"), F.col("names").alias(name)) for rel, name in (("depends_on", "needs"), ("documented_by", "linked")))
-    components = work.where("kind = 'component'").join(owned, "id", "left").join(needs, "id", "left").join(linked, "id", "left")
+    owned = component_profile(m.entities, max(LISTED_SOURCES, LISTED_DOCS)).withColumnRenamed("component_id", "id")
+    due = work.where("kind = 'component'")
+    needs, linked = (related_names(m.entities, m.edges, rel, due, LISTED_NAMES).select(F.col("src_id").alias("id"), F.col("names").alias(name), F.col("n").alias(f"n_{name}")) for rel, name in (("depends_on", "needs"), ("documented_by", "linked")))
+    components = due.join(owned, "id", "left").join(needs, "id", "left").join(linked, "id", "left")
     none = F.array().cast("array<string>")
-    list_of = lambda c, n: F.concat(F.lit("\n"), first_of(F.coalesce(F.col(c), none), n))
     number = lambda c: F.coalesce(F.col(c), F.lit(0))
-    docs = components.withColumn("linked", F.when(F.size(F.coalesce("linked", none)) > 0, F.col("linked")).otherwise(F.col("docs")))
+    list_of = lambda c, n, total: F.concat(F.lit("\n"), first_of(F.coalesce(F.col(c), none), n, number(total)))
+    by_link = number("n_linked") > 0
+    docs = components.withColumns({"linked": F.when(by_link, F.col("linked")).otherwise(F.col("docs")), "n_linked": F.when(by_link, F.col("n_linked")).otherwise(F.col("n_doc"))})
     profile = described(
-        *identity(), ("Ecosystem", component_parts(F.col("id"))[0]), ("Source files", F.size(F.coalesce("sources", none))), ("Symbols", number("n_symbol")), ("Tests", number("n_test")), ("Benches", number("n_bench")),
-        ("Direct dependencies", list_of("needs", LISTED_NAMES)), ("Linked documents", list_of("linked", LISTED_NAMES)), ("Source paths", list_of("sources", LISTED_SOURCES)), ("Document paths", list_of("docs", LISTED_DOCS)),
+        *identity(), ("Ecosystem", component_parts(F.col("id"))[0]), ("Source files", number("n_source_unit")), ("Symbols", number("n_symbol")), ("Tests", number("n_test")), ("Benches", number("n_bench")),
+        ("Direct dependencies", list_of("needs", LISTED_NAMES, "n_needs")), ("Linked documents", list_of("linked", LISTED_NAMES, "n_linked")), ("Source paths", list_of("sources", LISTED_SOURCES, "n_source_unit")), ("Document paths", list_of("docs", LISTED_DOCS, "n_doc")),
     )
     whole = repo_profile(m.entities).withColumn("kind", F.lit("repo"))  # one row
     names = [c for c in whole.columns if c.startswith("n_")]
-    repo = work.where("kind = 'repo'").join(F.broadcast(whole), "kind").withColumn("prompt", described(*identity(), *((c[2:].replace("_", " "), F.col(c)) for c in names), ("Key components", list_of("components", LISTED_OF_REPO)), ("Key documents", list_of("docs", LISTED_OF_REPO))))
+    lines = lambda c: F.concat(F.lit("\n"), first_of(F.coalesce(F.col(c), none), LISTED_OF_REPO, F.col("n_component" if c == "components" else "n_doc")))
+    repo = work.where("kind = 'repo'").join(F.broadcast(whole), "kind").withColumn("prompt", described(*identity(), *((c[2:].replace("_", " "), F.col(c)) for c in names), ("Key components", lines("components")), ("Key documents", lines("docs"))))
     keep = lambda df, hashed: df.select(F.col("id").alias("entity_id"), "component_id", "kind", "prompt", F.sha2(hashed, 256).alias("source_hash"))
     return keep(texts, F.col("source")).unionByName(keep(docs.withColumn("prompt", profile), F.col("prompt"))).unionByName(keep(repo, F.col("prompt")))
 

@@ -499,9 +499,10 @@ def path_depth(m: Model, *_) -> DataFrame:
     return m.entities.select("id", F.size(ancestors(F.col("path"))).cast("long").alias("depth"))
 
 
-@query("SELECT component_id, count(*) FILTER (kind = 'symbol') AS n_symbol, count(*) FILTER (kind = 'test') AS n_test, count(*) FILTER (kind = 'bench') AS n_bench, coalesce(string_agg(CASE WHEN kind = 'source_unit' THEN path END, ',' ORDER BY path), '') AS sources, coalesce(string_agg(CASE WHEN kind = 'doc' THEN path END, ',' ORDER BY path), '') AS docs FROM ents WHERE component_id IS NOT NULL GROUP BY component_id")
+@query("SELECT component_id, count(*) FILTER (kind = 'symbol') AS n_symbol, count(*) FILTER (kind = 'test') AS n_test, count(*) FILTER (kind = 'bench') AS n_bench, count(*) FILTER (kind = 'source_unit') AS n_source_unit, count(*) FILTER (kind = 'doc') AS n_doc, array_to_string((list(path ORDER BY path) FILTER (kind = 'source_unit'))[1:3], ',') AS sources, coalesce(array_to_string((list(path ORDER BY path) FILTER (kind = 'doc'))[1:3], ','), '') AS docs FROM ents WHERE component_id IS NOT NULL GROUP BY component_id")
 def component_profile(m: Model, *_) -> DataFrame:
-    return incremental.component_profile(m.entities).select("component_id", "n_symbol", "n_test", "n_bench", F.array_join("sources", ",").alias("sources"), F.array_join("docs", ",").alias("docs"))
+    """counts of a component's entities and the first paths of its sources and documents."""
+    return incremental.component_profile(m.entities, 3).withColumns({c: F.array_join(c, ",") for c in ("sources", "docs")})
 
 
 @query("SELECT count(*) FILTER (kind = 'component') AS n_component, count(*) FILTER (kind = 'source_unit') AS n_source_unit, count(*) FILTER (kind = 'symbol') AS n_symbol, count(*) FILTER (kind = 'test') AS n_test, count(*) FILTER (kind = 'bench') AS n_bench, count(*) FILTER (kind = 'doc') AS n_doc, count(*) FILTER (kind = 'task') AS n_task, count(*) FILTER (kind = 'feature') AS n_feature, (SELECT string_agg(name, ',' ORDER BY name) FROM (SELECT name FROM ents WHERE kind = 'component' ORDER BY name LIMIT 11)) AS components, (SELECT string_agg(path, ',' ORDER BY path) FROM (SELECT path FROM ents WHERE kind = 'doc' ORDER BY path LIMIT 11)) AS docs FROM ents")
@@ -511,7 +512,7 @@ def repo_profile(m: Model, *_) -> DataFrame:
 
 @query("SELECT component_id, (SELECT string_agg('- ' || x, chr(10)) FROM (SELECT unnest(s[1:3]) AS x)) || CASE WHEN len(s) > 3 THEN chr(10) || '- …and ' || (len(s) - 3) || ' more' ELSE '' END AS listed FROM (SELECT component_id, list_sort(list(path) FILTER (kind = 'source_unit')) AS s FROM ents WHERE component_id IS NOT NULL GROUP BY component_id)")
 def listed_sources(m: Model, *_) -> DataFrame:
-    return incremental.component_profile(m.entities).select("component_id", first_of(F.col("sources"), 3).alias("listed"))
+    return incremental.component_profile(m.entities, 3).select("component_id", first_of(F.col("sources"), 3, F.col("n_source_unit")).alias("listed"))
 
 
 @query("""WITH w AS (SELECT p_partkey AS n, p_brand AS component_id, CASE WHEN p_partkey % 7 = 0 THEN 'doc' ELSE 'symbol' END AS kind FROM part),
@@ -572,10 +573,11 @@ def vector_meta(m: Model, *_) -> DataFrame:
     return lookup.vector_meta(m.embeddings, "symbol::part/7").unionByName(lookup.vector_meta(m.embeddings, key=key, value=9)).select("entity_id", "model", *long("dimensions"))
 
 
-@query("SELECT src_id, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT src_id, name FROM edg JOIN ents ON id = dst_id WHERE rel = 'owns_task') GROUP BY src_id")
+@query("SELECT src_id, rel, count(*) AS n, array_to_string(list(name ORDER BY name)[1:5], ',') AS names FROM (SELECT DISTINCT src_id, rel, name FROM edg JOIN ents ON id = dst_id WHERE rel IN ('owns_task', 'documented_by', 'defines')) GROUP BY src_id, rel")
 def related_names(m: Model, *_) -> DataFrame:
-    """Names of the entities that edges of a relation lead to."""
-    return incremental.related_names(m.entities, m.edges, "owns_task").select("src_id", F.array_join("names", ",").alias("names"))
+    """The first names of the entities that edges lead to, with how many there are; the repository is a hub of documents."""
+    parts = [incremental.related_names(m.entities, m.edges, r, most=5).select("src_id", F.lit(r).alias("rel"), *long("n"), F.array_join("names", ",").alias("names")) for r in ("owns_task", "documented_by", "defines")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("SELECT id, 'vscode://file//work/tree' || CASE WHEN path = '.' THEN '' ELSE '/' || path END || ':1:1#' || id AS link FROM ents")
