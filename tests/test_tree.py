@@ -8,6 +8,7 @@ import tracemalloc
 import pytest
 from pyspark.sql import functions as F
 
+from wayfinder import shared
 from wayfinder.plans import index
 from wayfinder.sources import tree
 
@@ -111,6 +112,23 @@ def test_contents_are_read_where_asked_for(spark, tmp_path):
     assert {r["path"]: len(r["content"]) for r in tree.contents(wanted, str(tmp_path)).collect()} == {"a.md": tree.HEAD, "b.rs": 500}
 
 
+def test_scopes_leave_nothing_in_the_shared_folder(spark, tmp_path):
+    folder = shared.shared_dir(spark).removeprefix("file:").replace("//", "/")
+    outer = shared.materialize(spark.range(3), "outer")
+    before = set(os.listdir(folder))
+    with shared.scratch(spark):
+        one = shared.materialize(spark.range(5), "one")
+        with shared.scratch(spark):
+            shared.materialize(one, "two")
+            assert len(set(os.listdir(folder)) - before) == 2
+        assert len(set(os.listdir(folder)) - before) == 1
+        one.write.parquet(str(tmp_path / "kept"))
+        with pytest.raises(RuntimeError), shared.scratch(spark):
+            shared.materialize(one, "three")
+            raise RuntimeError
+    assert set(os.listdir(folder)) == before and outer.count() == 3 and spark.read.parquet(str(tmp_path / "kept")).count() == 5
+
+
 def random_tree(rng):
     folders = ["", "one", "one/two", "three", "three/content"]
     files = {}

@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +29,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths of the scopes that are open, the innermost last; each thread has its own.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if scopes := _SCOPES.get():
+        scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What operators write to the shared folder within goes when the scope ends; results that are read from it must be written
+    elsewhere by then. Without a scope it stays until the folder is cleared."""
+    own: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), own))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for path in own:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
