@@ -44,9 +44,10 @@ def long(*names: str):
     return [F.col(n).cast("long").alias(n) for n in names]
 
 
-def stored(m: Model, *names: str) -> Model:
-    """The model with the named tables (what the search reads by default) published and loaded, as a user would have them."""
-    return m.with_tables(**{n: materialize(getattr(m, n), n) for n in names or ("entities", "edges", "summaries", "task_routes", "embeddings")})
+def stored(m: Model) -> Model:
+    """The model with its entities written, which a search reads several times, and routes made of them; the rest is read once."""
+    entities = materialize(m.entities, "entities")
+    return m.with_tables(entities=entities, task_routes=task_routes(entities))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -650,7 +651,7 @@ def evaluation_of_search(m: Model, spark: SparkSession, sf_dir: str) -> DataFram
     names = [r for r in parts.where("p_size % 3 <> 2").where(F.col("p_name").isin([t for t, _ in LABELLED])).select("p_partkey", "p_name", "p_size").collect()]
     of = lambda text, rest: tuple(f"symbol::part/{r['p_partkey']}" for r in names if r["p_name"] == text and r["p_size"] % 3 == rest)
     queries = [evaluate.LabelledQuery(t, b, of(t, 0), of(t, 1)) for t, b in LABELLED]
-    found = evaluate.evaluate(stored(m, "entities", "edges", "summaries", "task_routes"), queries).by_query
+    found = evaluate.evaluate(stored(m), queries).by_query
     texts = F.array(*(F.lit(t) for t, _ in LABELLED))
     return found.select(F.get(texts, F.col("query")).alias("query"), "bucket", *(F.round(c, 6).alias(c) for c in METRICS))
 
@@ -664,7 +665,7 @@ def plan_totals(m: Model, spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a plan shows after the cutoff, and the total before it where the cutoff kept fewer than the limit lets through."""
     from wayfinder.config import Search
 
-    m = stored(m, "entities", "edges", "summaries", "task_routes")
+    m = stored(m)
     plans = [(n, search.search(m, "blue bolt", "general", limit=n, config=Search(cutoff="relative_gap", max_results=most))) for n, most in ((5, 8), (15, 8), (2, 8), (30, 40))]
     return spark.createDataFrame([(n, p.entries.count(), p.total_before_cutoff) for n, p in plans], "limit long, shown long, total long")
 
