@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import string
 from collections.abc import Iterator
@@ -87,9 +88,12 @@ def slices_of(batches: Iterator[pa.RecordBatch], column: str = "text", limit: in
 
 
 def release() -> None:
-    """Gives back what a finished task has freed; Python workers outlive their tasks."""
+    """Gives back what a finished task has freed; Python workers outlive their tasks. The C library keeps freed arrays unless told
+    otherwise, where it can be told (glibc)."""
     gc.collect()
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 #: Bytes by byte: blanks become \x20, in the second A-Z also become a-z.

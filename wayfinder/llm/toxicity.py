@@ -17,6 +17,7 @@ each get a row.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfinder.llm.common import WORD_BYTES, bound_batches, flat_bytes, id_text_crc, of_bytes, slices_of, whole, words_in
+from wayfinder.llm.common import WORD_BYTES, bound_batches, flat_bytes, id_text_crc, of_bytes, release, slices_of, whole, words_in
 
 SAMPLE_DOCS = 1000
 #: UTF-8 bytes of the texts of either kind: documents are taken in order of the hash of their id as long as they fit. A text
@@ -38,6 +39,8 @@ STRIDE = 128
 LIFT, LEAST_DOCS, LEAST_SHARE = 5.0, 3, 0.02
 STEMS = (4, 5, 6)
 BLOCK, STEPS, RATE, DECAY = 64, 30, 0.3, 0.05
+#: Tokens whose features are worked on at once.
+PART = 100_000
 CUT = 0.3
 
 
@@ -189,41 +192,60 @@ def fit(rows: list[tuple[str, int]], prior: float) -> Model:
         known, texts = WordScores(chain), [t for t, _ in other]
         x += [summary(*tag(pa.array(texts[a : a + 100], pa.large_string()), chain, known)) for a in range(0, len(texts), 100)]
         y += [v for _, v in other]
+        del chain, known
+        release()
     model = fit_chain(rows)
+    release()
     model.head = logistic(np.concatenate(x), np.array(y, float), prior)
     return model
 
 
 def fit_chain(rows: list[tuple[str, int]]) -> Model:
     """Token labels from document labels by lift, then gradient ascent (each step scaled by the gradients so far) over blocks of tokens."""
-    counts = {0: Counter(), 1: Counter()}
     sizes = Counter(y for _, y in rows)
     number: dict[str, int] = {}
     cut = []
     for t, y in rows:
         words = t.encode("utf-8").translate(WORD_BYTES).decode("utf-8").split(" ")
         cut.append((np.array([number.setdefault(w, len(number)) for w in words if w], np.int32), y))
-    features = [features_of(w) for w in number]
-    for ids, y in cut:
-        counts[y].update({f for i in np.unique(ids).tolist() for f in features[i]})
+    # features as numbers: of all words one after another, and how many each word has
+    names: dict[str, int] = {}
+    ids, widths = array("i"), array("i")
+    for w in number:
+        of_word = features_of(w)
+        ids.extend(names.setdefault(f, len(names)) for f in of_word)
+        widths.append(len(of_word))
+    number.clear()
+    all_of, sizes_of = np.array(ids, np.int32), np.array(widths, np.int64)
+    begins = np.cumsum(sizes_of) - sizes_of
+    in_docs = np.zeros((2, len(names)), np.int64)
+    for words, y in cut:
+        u = np.unique(words)
+        own = np.arange(sizes_of[u].sum()) + np.repeat(begins[u] - (np.cumsum(sizes_of[u]) - sizes_of[u]), sizes_of[u])
+        in_docs[y, np.unique(all_of[own])] += 1
     least = max(LEAST_DOCS, LEAST_SHARE * sizes[1])
-    lift = {f: (n / max(1, sizes[1])) / ((counts[0][f] + 0.5) / max(1, sizes[0])) for f, n in counts[1].items() if n >= least}
-    marked = {f for f, x in lift.items() if x >= LIFT}
-    common = {f for c in counts.values() for f in c if counts[0][f] + counts[1][f] >= LEAST_DOCS}
-    index: dict[str, int] = {}
-    own = [[f for f in fs if f in common] for fs in features]
-    by_word = [[index.setdefault(f, len(index)) for f in fs] for fs in own]
-    toxic = np.array([any(f in marked for f in fs) for fs in own], bool)
+    lift = (in_docs[1] / max(1, sizes[1])) / ((in_docs[0] + 0.5) / max(1, sizes[0]))
+    common = in_docs.sum(axis=0) >= LEAST_DOCS
+    marked = common & (in_docs[1] >= least) & (lift >= LIFT)
+    by_word = lambda of_feature: np.diff(np.concatenate(([0], np.cumsum(of_feature[all_of])))[np.append(begins, len(all_of))])
+    toxic = by_word(marked) > 0
+    sizes_of, all_of = by_word(common), (np.cumsum(common) - 1).astype(np.int32)[all_of[common[all_of]]]
+    index = dict(zip((f for f, c in zip(names, common, strict=True) if c), range(int(common.sum())), strict=True))
+    names.clear()
     tokens = np.concatenate([np.empty(0, np.int32), *(ids for ids, _ in cut)])
     if not len(tokens):
         return Model()
     lengths = [min(BLOCK, len(ids) - a) for ids, _ in cut for a in range(0, len(ids), BLOCK)]
     y = (np.repeat([bool(v) for _, v in cut], [len(ids) for ids, _ in cut]) & toxic[tokens]).astype(float)
-    sizes_of = np.array([len(x) for x in by_word])
-    width, begin = sizes_of[tokens], (np.cumsum(sizes_of) - sizes_of)[tokens]
-    all_of = np.fromiter((i for x in by_word for i in x), np.int32, int(sizes_of.sum()))
-    flat = all_of[np.arange(width.sum()) + np.repeat(begin - (np.cumsum(width) - width), width)]
-    owner = np.repeat(np.arange(len(y), dtype=np.int32), width)
+    width, begin = sizes_of[tokens].astype(np.int8), (np.cumsum(sizes_of) - sizes_of)[tokens].astype(np.int32)
+    ends = np.cumsum(width, dtype=np.int64)
+    flat = np.empty(int(ends[-1]), np.int32)
+    parts = [(a, min(a + PART, len(y))) for a in range(0, len(y), PART)]
+    for a, b in parts:  # by parts, as indexes and floats take several times the room of the numbers themselves
+        first = ends[a] - width[a]
+        flat[first : ends[b - 1]] = all_of[np.arange(ends[b - 1] - first) + np.repeat(begin[a:b] - (ends[a:b] - width[a:b] - first), width[a:b])]
+    del begin, all_of, tokens, cut
+    of = lambda a, b: flat[ends[a] - width[a] : ends[b - 1]]
     size = np.array(lengths)
     inner = np.ones(len(y), bool)
     inner[np.cumsum(size) - size] = False
@@ -233,9 +255,10 @@ def fit_chain(rows: list[tuple[str, int]]) -> Model:
     weights, move, bias = np.zeros(len(index)), np.zeros((2, 2)), float(np.log(share / (1 - share)))
     slow, slow_move, slow_bias = np.full(len(index), 1e-8), np.full((2, 2), 1e-8), 1e-8
     for _ in range(STEPS):
-        p, pairs = forward_backward(bias + np.bincount(owner, weights[flat], len(y)), size, np.exp(move), np.ones(2))
+        emitted = np.concatenate([np.bincount(np.repeat(np.arange(b - a), width[a:b]), weights[of(a, b)], b - a) for a, b in parts])
+        p, pairs = forward_backward(bias + emitted, size, np.exp(move), np.ones(2))
         error = y - p
-        g = np.bincount(flat, error[owner], len(index)) - DECAY * weights
+        g = sum((np.bincount(of(a, b), np.repeat(error[a:b], width[a:b]), len(index)) for a, b in parts), -DECAY * weights)
         gm, gb = seen_pairs - pairs, error.sum()
         slow, slow_move, slow_bias = slow + g * g, slow_move + gm * gm, slow_bias + gb * gb
         weights += RATE * g / np.sqrt(slow)
