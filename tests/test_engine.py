@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wayfinder import config, extraction_queries, queries
 from wayfinder.functions.text import glob_regex
-from wayfinder.operators import graph, lookup, store
+from wayfinder.operators import graph, incremental, lookup, store
 from wayfinder.operators.postings import TextIndex, searched_texts
 from wayfinder.operators.ranking import numbered
 from wayfinder.operators.routes import task_routes
@@ -403,6 +403,22 @@ def test_snippets_and_excerpts_are_bounded(spark):
         assert text.startswith(cut) and len(cut.encode()) <= 6000 < len(text[: len(cut) + 1].encode())
 
 
+def test_profiles_list_all_paths_of_a_component(spark, sf_dir):
+    kinds = [("source_unit", 30), ("doc", 14), ("symbol", 3), ("task", 2)]
+    made = [(f"{k}{n}", k, f"z{n:02}", c, None if n % 7 == 0 else f"p{n:02}", True) for c in ("component::x::a", "component::x::b") for k, most in kinds for n in range(most)]
+    made += [("t", "test", "t", "component::x::c", "t", True), ("d", "doc", "d", None, "d", True)]
+    paths = lambda most: sorted(f"z{n:02}" if n % 7 == 0 else f"p{n:02}" for n in range(most))
+    df = spark.createDataFrame(made, E)
+    whole = [(c, 3, 0, 0, 30, 14, paths(30), paths(14)) for c in ("component::x::a", "component::x::b")] + [("component::x::c", 0, 1, 0, 0, 0, [], [])]
+    assert rows(incremental.component_profile(df)) == whole
+    assert rows(incremental.component_profile(df, 4)) == [(*r[:6], r[6][:4], r[7][:4]) for r in whole]
+    nations, regions = ({r[0]: r[1:] for r in spark.read.parquet(f"{sf_dir}/{t}.parquet").select(*c).collect()} for t, c in (("nation", ("n_name", "n_regionkey")), ("region", ("r_regionkey", "r_name"))))
+    slug = lambda x: x.lower().replace(" ", "_")
+    of = {f"component::tpch::{slug(r)}": ",".join(sorted(f"{slug(r)}/{slug(n)}" for n, (at,) in nations.items() if at == k)) for k, (r,) in regions.items()}
+    assert max(x.count(",") for x in of.values()) > 3
+    assert {r["component_id"]: r["sources"] for r in queries.QUERIES["component_profile"](spark, sf_dir).collect()} == of
+
+
 def test_index_run_with_summaries_and_vectors(spark, tmp_path):
     write_tree(tmp_path / "t", TREE)
     c = config.Config()

@@ -42,16 +42,17 @@ def first_values(rows: DataFrame, keys: list[str], value: str, most: int, name:
     return some.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(name))
 
 
-def component_profile(entities: DataFrame, most: int = 11) -> DataFrame:
-    """Per component: symbols, tests, benches, source units and documents, and the first ``most`` source and document paths in
-    order (names where there is no path)."""
-    owned = entities.where("component_id is not null")
-    counts = owned.groupBy("component_id").agg(*(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("symbol", "test", "bench", "source_unit", "doc")))
-    listed = owned.where("kind in ('source_unit', 'doc')").select("component_id", "kind", F.coalesce("path", "name").alias("at"))
-    first = first_values(listed, ["component_id", "kind"], "at", most, "values")
-    lists = first.groupBy("component_id").agg(*(F.first(F.when(F.col("kind") == k, F.col("values")), True).alias(name) for k, name in (("source_unit", "sources"), ("doc", "docs"))))
+def component_profile(entities: DataFrame, most: int | None = None) -> DataFrame:
+    """Per component: symbols, tests, benches, source units and documents, and its source and document paths in order (names
+    where there is no path): all of them, or the first ``most``, where what lies beyond doesn't come together in a row."""
+    owned, at, listed = entities.where("component_id is not null"), F.coalesce("path", "name"), {"sources": "source_unit", "docs": "doc"}
+    counts = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("symbol", "test", "bench", "source_unit", "doc")]
+    if most is None:
+        return owned.groupBy("component_id").agg(*counts, *(F.array_sort(F.collect_list(F.when(F.col("kind") == k, at))).alias(name) for name, k in listed.items()))
+    first = first_values(owned.where(F.col("kind").isin(*listed.values())).select("component_id", "kind", at.alias("at")), ["component_id", "kind"], "at", most, "values")
+    lists = first.groupBy("component_id").agg(*(F.first(F.when(F.col("kind") == k, F.col("values")), True).alias(name) for name, k in listed.items()))
     none = F.array().cast("array<string>")
-    return counts.join(lists, "component_id", "left").withColumns({c: F.coalesce(c, none) for c in ("sources", "docs")})
+    return owned.groupBy("component_id").agg(*counts).join(lists, "component_id", "left").withColumns({c: F.coalesce(c, none) for c in listed})
 
 
 def repo_profile(entities: DataFrame, kinds: tuple[str, ...] = ("component", "source_unit", "symbol", "test", "bench", "doc", "task", "feature"), listed: int = 11) -> DataFrame:
